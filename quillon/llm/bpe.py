@@ -13,9 +13,12 @@ from __future__ import annotations
 
 import base64
 import json
+import re
+import sys
 from collections import defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -27,6 +30,8 @@ from quillon.llm._frames import pick, repeat_ranges, slices
 
 #: Splits a text into pre-tokens, which are merged independently (the public pattern of the rank files).
 PATTERN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
+#: The same by the standard library's faster engine, right for texts without a character of ``unlike()``.
+_QUICK = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.json"
 _SHIFT = 24
 
@@ -176,6 +181,19 @@ def _merge_slowly(piece: bytes, ranks: dict[bytes, int], below: int) -> list[byt
     return parts
 
 
+@lru_cache(maxsize=1)
+def unlike() -> re.Pattern:
+    """The characters that the two engines class differently, such as numbers that aren't decimal digits; all beyond U+FFFF."""
+    every = "".join(map(chr, chain(range(0xD800), range(0xE000, 0x10000))))
+    pairs = ((r"\p{L}", r"[^\W\d_]"), (r"\p{N}", r"\d"), (r"\s", r"\s"))
+    odd = set().union(*(set(regex.findall(a, every)) ^ set(re.findall(b, every)) for a, b in pairs))
+    return re.compile("[" + "".join(map(re.escape, sorted(odd))) + f"\U00010000-{chr(sys.maxunicode)}]")
+
+
+def pre_tokens(text: str) -> list[str]:
+    return (PATTERN if unlike().search(text) else _QUICK).findall(text)
+
+
 @lru_cache(maxsize=4)
 def load_vocabulary(path: str = VOCABULARY) -> Bpe:
     """Read a ``.json`` (vocabulary and merges) or ``.tiktoken`` (ranks) file of a byte-level BPE."""
@@ -200,12 +218,9 @@ def encode_texts(bpe: Bpe, texts: list[str | None]) -> tuple[np.ndarray, np.ndar
     """(ids of all texts, offsets of each text's ids). A null text has no ids."""
     code: defaultdict[str, int] = defaultdict()
     code.default_factory = code.__len__
-    codes, counts = [], [0]
-    for t in texts:
-        own = [code[p] for p in PATTERN.findall(t)] if t else []
-        codes.append(np.array(own, np.int64))
-        counts.append(len(own))
-    all_codes = np.concatenate(codes) if codes else np.zeros(0, np.int64)
+    pieces = [pre_tokens(t) if t else [] for t in texts]
+    counts = [0, *map(len, pieces)]
+    all_codes = np.fromiter(map(code.__getitem__, chain.from_iterable(pieces)), np.int64, sum(counts))
     flat, starts = bpe.encode_pieces([p.encode() for p in code])
     lengths = (starts[1:] - starts[:-1])[all_codes] if len(code) else np.zeros(0, np.int64)
     ids = flat[repeat_ranges(starts[all_codes], lengths)] if len(all_codes) else np.zeros(0, np.int32)

@@ -26,7 +26,9 @@ LABELS = ("O", "EMAIL", "PHONE", "IP", "CARD", "ID", "SECRET")
 _HIT = re.compile(r"[0-9@=]|[A-Z]{12}")
 _SPACE = " \t\n\r\x0b\x0c"
 _SECRET = r"(?:pass(?:word|wd|phrase)?|pwd|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|key|auth|bearer|credential)s?"
-_EDGES = ".,;:!?\"'<>[]{}«»„“”"
+_EDGES = ".,;:!?\"'<>[]{}«»„“”*|`~"
+#: Signs that, repeated at an end, are ornament.
+_ORNAMENT = "#$%&"
 
 #: Features that look at a piece itself.
 _SHAPES: tuple[tuple[str, re.Pattern], ...] = tuple(
@@ -51,7 +53,7 @@ _SHAPES: tuple[tuple[str, re.Pattern], ...] = tuple(
         ("digits_20", r"\d{20,}"),
         ("card_grouped", r"\d{4}(?:-\d{4}){2,3}-?\d{0,4}"),
         ("money", r"[$€£]\d[\d.,]*|\d[\d.,]*[$€£%]"),
-        ("hex", r"(?=[^a-z]*[a-z])(?=\D*\d)[0-9a-f]{16,}"),
+        ("hex", r"(?=[^a-z]*[a-z])(?=\D*\d)[0-9a-f]{16,}|(?=[^A-Z]*[A-Z])(?=\D*\d)[0-9A-F]{16,}"),
         ("upper_key", r"(?=[A-Z]*\d)(?=[0-9]*[A-Z])[A-Z0-9]{16,40}"),
         ("cloud_key", r"(?:AKIA|ASIA)[A-Z0-9]{14,18}"),
         ("prefixed_key", r"(?:sk|pk|ghp|gho|xox[abp]|glpat)[-_][\w-]{10,}"),
@@ -75,7 +77,7 @@ _CONTEXT: tuple[tuple[str, re.Pattern], ...] = tuple(
         ("after_is", r"(?:is|was|to|at|from|by)[:]?"),
     )
 )
-_EXTRA = ("bias", "left_chained", "right_chained", "second_after_secret", "right_local_number", "left_area_code", "left_country_code", "right_area_code", "in_group_of_4", "length_24")
+_EXTRA = ("bias", "left_chained", "right_chained", "second_after_secret", "right_local_number", "left_area_code", "left_country_code", "right_area_code", "in_group_of_4", "length_24", "check_digit_right", "check_digit_wrong", "group_check_right")
 FEATURES = [*(n for n, _ in _SHAPES), *(n for n, _ in _CONTEXT), *_EXTRA]
 _AT = {n: i for i, n in enumerate(FEATURES)}
 
@@ -111,11 +113,24 @@ def _left_word(text: str, start: int) -> tuple[str, int]:
 
 
 def _core(text: str, a: int, b: int) -> tuple[int, int]:
-    while a < b and text[a] in _EDGES:
-        a += 1
-    while a < b and text[b - 1] in _EDGES:
-        b -= 1
-    return a, b
+    while a < b and (text[a] in _EDGES or b - a > 1 and text[a] in _ORNAMENT and text[a + 1] == text[a]):
+        a += 1 if text[a] in _EDGES else 2
+        while a < b and text[a] in _ORNAMENT and text[a - 1] == text[a]:
+            a += 1
+    while a < b and (text[b - 1] in _EDGES or b - a > 1 and text[b - 1] in _ORNAMENT and text[b - 2] == text[b - 1]):
+        b -= 1 if text[b - 1] in _EDGES else 2
+        while a < b and text[b - 1] in _ORNAMENT and text[b] == text[b - 1]:
+            b -= 1
+    return min(a, b), b
+
+
+def _luhn(digits: str) -> bool:
+    """Whether the last digit is the check digit of a payment card's number."""
+    total = 0
+    for i, c in enumerate(reversed(digits)):
+        d = ord(c) - 48
+        total += d if i % 2 == 0 else d * 2 - 9 * (d > 4)
+    return total % 10 == 0
 
 
 def _content(core: str) -> str:
@@ -140,6 +155,7 @@ class Graph:
             base = len(self.doc)
             spans = pieces(text) if text else []
             shapes = []
+            run = 0  # pieces of four digits up to here
             for k, (a, b) in enumerate(spans):
                 node = base + k
                 a2, b2 = _core(text, a, b)
@@ -147,6 +163,9 @@ class Graph:
                 own = {n for n, p in _SHAPES if p.fullmatch(core)} if len(core) <= 4096 else set()
                 if len(core) > 24:
                     own.add("length_24")
+                if own & {"digits_13_19", "card_grouped"}:
+                    plain = core.replace("-", "")
+                    own.add("check_digit_right" if plain.isascii() and _luhn(plain) else "check_digit_wrong")
                 shapes.append(own)
                 left, at = _left_word(text, a)
                 use = {n for n, p in _CONTEXT if p.fullmatch(left)} | own | {"bias"}
@@ -168,6 +187,16 @@ class Graph:
                     if "digits_4" in own and "digits_4" in before:
                         rows += [node - 1, node]
                         cols += [_AT["in_group_of_4"]] * 2
+                        run = run + 1 if run else 2
+                        if run == 4:
+                            number = "".join(text[x:y] for x, y in (_core(text, *spans[k - 3 + q]) for q in range(4)))
+                            if number.isascii() and _luhn(number):
+                                rows += range(node - 3, node + 1)
+                                cols += [_AT["group_check_right"]] * 4
+                    else:
+                        run = 0
+                else:
+                    run = 0
                 key = _content(core)
                 if len(key) >= 5:
                     if key in seen and seen[key] != node - 1:
@@ -345,6 +374,12 @@ def generate(documents: int, seed: int) -> tuple[list[str], list[list[tuple[int,
             if re.search("[a-f]", h) and re.search("[0-9]", h):
                 return h
 
+    def card(right: bool) -> list[str]:
+        while True:
+            x = number(16)
+            if _luhn(x) == right:
+                return [x[i : i + 4] for i in range(0, 16, 4)]
+
     def entity() -> tuple[str, str, str]:
         """(text before, entity, label)."""
         kind = one(("EMAIL", "PHONE", "IP", "CARD", "ID", "SECRET", "SECRET"))
@@ -357,11 +392,11 @@ def generate(documents: int, seed: int) -> tuple[list[str], list[list[tuple[int,
         if kind == "IP":
             return one(("", "", "host ")), ".".join(str(between(1, 255)) for _ in range(4)), kind
         if kind == "CARD":
-            g = [one("3456") + number(3), number(4), number(4), number(4)]
+            g = card(True)
             return one(("", "", "card ", "visa ")), one(("".join(g), "".join(g), " ".join(g), "-".join(g))), kind
         if kind == "ID":
             return one(("", "ssn ", "iban ")), one((f"{number(3)}-{number(2)}-{number(4)}", text_of(upper, 2) + number(2) + text_of(digits + upper, 4) + number(between(10, 18)))), kind
-        value = one((long_hex(between(16, 40)), long_hex(40), text_of(upper + digits, 16) + number(1), text_of(lower + upper + digits, between(16, 30)) + "aA1"))
+        value = one((long_hex(between(16, 40)), long_hex(40), long_hex(40).upper(), text_of(upper + digits, 16) + number(1), text_of(lower + upper + digits, between(16, 30)) + "aA1"))
         name = one(("password", "token", "secret", "api_key", "key", "passwd", "auth"))
         style = between(0, 5)
         if style <= 1:
@@ -376,6 +411,8 @@ def generate(documents: int, seed: int) -> tuple[list[str], list[list[tuple[int,
 
     def plain() -> str:
         """A piece with digits or signs that is no entity."""
+        if rng.random() < 0.15:
+            return one(("", "", " ", "-")).join(card(False))
         return one((str(between(0, 999)), str(between(1900, 2100)), number(between(5, 9)), f"{between(1, 99)}.{number(2)}", f"${between(1, 9999)}", f"{between(1, 99)}%", f"{between(1, 12)}:{between(10, 59)}", f"{between(1990, 2030)}-{between(10, 12)}-{between(10, 28)}", f"{between(1, 28)}/{between(1, 12)}/{between(1990, 2030)}", f"x={between(0, 99)}", "=", "==", "@", f"v{between(1, 9)}.{between(0, 9)}.{between(0, 9)}", text_of(upper, between(12, 20)), f"{text_of(lower, 5)}{between(1, 9)}", f"{between(1, 20)}th", f"@{text_of(lower, 6)}", f"#{between(1, 999)}", f"{between(1, 9)}-{between(10, 99)}", number(between(10, 12)), f"{between(1, 5)}.{between(0, 9)}.{between(0, 9)}", f"n={between(0, 99)},", "a=b", f"{between(10, 99)}-{between(10, 99)}"))
 
     texts, gold = [], []
@@ -404,7 +441,7 @@ def generate(documents: int, seed: int) -> tuple[list[str], list[list[tuple[int,
                 before, x, label = entity()
                 put(before, x, label)
                 again = (x, label)
-                add(one(("", "", ".", ",")) + " ")
+                add(one(("", "", "", ".", ",", "!!", "###", "$$$", "%%%", "&&&", "***")) + " ")
             elif roll < 0.55 and again:  # the same content once more, without what led to it
                 put("", *again)
                 add(one(("", ".")) + " ")

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillon.llm import bpe, chat, decontam, ngram_join, quality, ring, simhash
+from quillon.llm import bpe, chat, counts, decontam, ngram_join, pii, quality, ring, simhash, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -19,10 +19,18 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(_read(spark, sf_dir, "documents"))
 
 
+def op2_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find(_read(spark, sf_dir, "documents"))
+
+
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ring.assign(_read(spark, sf_dir, "documents"))
 
 
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return counts.count(_read(spark, sf_dir, "documents"))
+
+
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.find(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
 
@@ -36,6 +44,11 @@ def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.join(_read(spark, sf_dir, "documents"))
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.train(docs, _read(spark, sf_dir, "labels")))
+
+
 def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.format_conversations(_read(spark, sf_dir, "conversations"))
 
@@ -54,7 +67,7 @@ GROUP BY conv_id
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_byte_bpe, op3_sharding, op5_decontamination, op6_quality, op7_ngram_join, op9_chat_format, op10_fingerprints)}
+    return {f.__name__: f for f in (op1_byte_bpe, op2_personal_data, op3_sharding, op4_token_counts, op5_decontamination, op6_quality, op7_ngram_join, op8_toxicity, op9_chat_format, op10_fingerprints)}
 
 
 def oracle_sql() -> dict[str, str]:
