@@ -1,15 +1,630 @@
-"""All queries of the library's own operators, with the SQL that gives the same results."""
+"""All queries of the library's own operators over whole tables, with the SQL that gives the same results."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from quillon.functions import lexicons, similarity
+from quillon.functions import text as T
+from quillon.operators import annotated as A
+from quillon.operators import classify, language, lexrank, matching, ngrams, phrases, scoring, segment, sentences, tokens, topics, vectors, windows
+from quillon.sources import dictionaries, documents, lines
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+Query = Callable[[SparkSession, str], DataFrame]
+_ALL: dict[str, tuple[Query, str | None]] = {}
+
+#: A dictionary of frequent pieces of the generated prose: dimension, word, rank.
+DICTIONARY = (("neg", "er", 0), ("neg", "die", 1), ("neg", "le", 2), ("pos", "the", 0), ("pos", "of", 1), ("pos", "er", 2))
+_DIC = "dic(dimension, word, rank) AS (VALUES " + ", ".join(f"('{d}', '{w}', {r})" for d, w, r in DICTIONARY) + ")"
+_TOK = r"tok AS (SELECT doc_id, unnest(regexp_extract_all(text, '\S+')) AS word FROM documents)"
+_TC = _TOK + ", tc AS (SELECT doc_id, word, count(*) AS n FROM tok GROUP BY doc_id, word)"
+_LEN = r"dl AS (SELECT doc_id, CAST(len(regexp_extract_all(text, '\S+')) AS INTEGER) AS document_length FROM documents)"
+_SENT = r"sen AS (SELECT doc_id, list_filter(list_transform(regexp_split_to_array(text, '[.\n]'), lambda x: trim(x, ' ')), lambda x: x <> '') AS l FROM documents)"
+
+
+def _query(sql: str | None = None) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        _ALL[f.__name__] = (f, sql)
+        return f
+
+    return add
+
+
+def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+
+
+def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _read(spark, sf_dir, "documents")
+
+
+def _dictionary(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(list(DICTIONARY), "dimension string, word string, rank int")
+
+
+def _rounded(df: DataFrame, *columns: str, digits: int = 6) -> DataFrame:
+    return df.withColumns({c: F.round(c, digits) for c in columns})
+
+
+# tokens
+
+
+@_query(r"WITH a AS (SELECT doc_id, regexp_extract_all(text, '\S+') AS t FROM documents) SELECT doc_id, CAST(unnest(range(len(t))) AS INTEGER) AS pos, unnest(t) AS word FROM a")
+def token_rows(spark, sf_dir):
+    return tokens.explode_tokens(_docs(spark, sf_dir))
+
+
+@_query(f"WITH {_TC} SELECT doc_id, word, n FROM tc")
+def term_counts(spark, sf_dir):
+    return tokens.term_counts(_docs(spark, sf_dir))
+
+
+@_query(f"WITH {_TC} SELECT word, count(*) AS df FROM tc GROUP BY word")
+def document_frequency(spark, sf_dir):
+    return tokens.document_frequency(_docs(spark, sf_dir))
+
+
+@_query(f"WITH {_LEN} SELECT doc_id, document_length FROM dl")
+def document_lengths(spark, sf_dir):
+    return tokens.document_lengths(_docs(spark, sf_dir))
+
+
+@_query("SELECT doc_id, array_to_string(list_filter(string_split(text, ' '), lambda w: length(w) > 3), ' ') AS text FROM documents")
+def long_tokens(spark, sf_dir):
+    return _docs(spark, sf_dir).select("doc_id", T.drop_short("text", " ", 3).alias("text"))
+
+
+_STOP = ", ".join(f"'{w}'" for w in sorted(lexicons.STOPWORDS_UPPER))
+
+
+@_query(rf"SELECT doc_id, list_filter(regexp_extract_all(text, '\S+'), lambda w: upper(w) NOT IN ({_STOP})) AS tokens FROM documents WHERE lang = 'en'")
+def without_stopwords(spark, sf_dir):
+    """English texts, where the upper case of both engines is the same."""
+    return _docs(spark, sf_dir).where("lang = 'en'").select("doc_id", T.drop_words(T.tokens("text"), lexicons.STOPWORDS).alias("tokens"))
+
+
+@_query(r"SELECT doc_id, regexp_replace(text, '\s+', ' ', 'g') AS text FROM documents")
+def one_line(spark, sf_dir):
+    return _docs(spark, sf_dir).select("doc_id", T.one_line("text").alias("text"))
+
+
+@_query(f"WITH {_SENT}, s AS (SELECT doc_id, unnest(l) AS text, unnest(range(len(l))) AS sent_no FROM sen) SELECT doc_id, CAST(sent_no AS INTEGER) AS sent_no, doc_id || '_' || sent_no AS sent_id, text FROM s")
+def sentence_rows(spark, sf_dir):
+    return sentences.split_sentences(_docs(spark, sf_dir))
+
+
+@_query(f"WITH {_SENT} SELECT CAST(doc_id AS VARCHAR) AS doc_id, array_to_string(l, ' ') AS text, CAST(len(l) AS INTEGER) AS n_sentences FROM sen WHERE len(l) > 0")
+def regrouped_sentences(spark, sf_dir):
+    return tokens.regroup_sentences(sentences.split_sentences(_docs(spark, sf_dir)))
+
+
+@_query("SELECT conv_id || '_' || turn AS turn_id, CAST(conv_id AS VARCHAR) AS doc_id, CAST(turn AS INTEGER) AS number FROM conversations")
+def parsed_ids(spark, sf_dir):
+    own = _read(spark, sf_dir, "conversations").select(F.concat_ws("_", "conv_id", "turn").alias("turn_id"))
+    return own.select("turn_id", T.document_part("turn_id").alias("doc_id"), T.sentence_number("turn_id").alias("number"))
+
+
+@_query("SELECT source, count(*) AS n, min(ascii(text)) AS least_code FROM documents WHERE text <> '' GROUP BY source")
+def first_codes(spark, sf_dir):
+    return _docs(spark, sf_dir).where("text <> ''").groupBy("source").agg(F.count("*").alias("n"), F.min(T.first_code("text")).alias("least_code"))
+
+
+@_query("SELECT doc_id, md5(text) AS digest FROM documents")
+def base64_round_trip(spark, sf_dir):
+    packed = _docs(spark, sf_dir).select("doc_id", F.base64(F.encode("text", "utf-8")).alias("data"))
+    return documents.write_base64(packed).select("doc_id", F.md5("data").alias("digest"))
+
+
+# dictionary scores
+
+
+def _scores_sql(value: str, scale: bool, on: str = "tc.word = dic.word", weights: bool = False, raw: bool = False, extra: str = "") -> str:
+    div = " / nullif(document_length, 0)" if scale else ""
+    w = ", w AS (SELECT word, 1 / ln(2 + arg_max(rank, dimension)) AS weight FROM dic GROUP BY word)" if weights else ""
+    join_w = " JOIN w ON w.word = dic.word" if weights else ""
+    hits = f"hits AS (SELECT DISTINCT tc.doc_id, dic.dimension, tc.word, tc.n{', w.weight' if weights else ''} FROM tc JOIN dic ON {on}{join_w})"
+    return (
+        f"WITH {_TC}, {_LEN}, {_DIC}, df AS (SELECT word, count(*) AS df FROM tc GROUP BY word){w}, total AS (SELECT count(*) AS n_docs FROM documents), {hits}, "
+        f"s AS (SELECT doc_id, dimension, sum({value}) AS v FROM hits JOIN df USING (word), total GROUP BY doc_id, dimension), "
+        f"r AS (SELECT dl.doc_id, coalesce(max(v) FILTER (dimension = 'neg'), 0){div} AS neg, coalesce(max(v) FILTER (dimension = 'pos'), 0){div} AS pos, document_length "
+        f"FROM dl LEFT JOIN s ON s.doc_id = dl.doc_id GROUP BY dl.doc_id, document_length) "
+        + (extra or "SELECT doc_id, round(CAST(neg AS DOUBLE), 6) AS neg, round(CAST(pos AS DOUBLE), 6) AS pos, document_length FROM r")
+    )
+
+
+@_query(_scores_sql("n", False))
+def tf_scores(spark, sf_dir):
+    return _rounded(scoring.tf_scores(_docs(spark, sf_dir), _dictionary(spark)), "neg", "pos")
+
+
+@_query(_scores_sql("n", True))
+def tf_scaled(spark, sf_dir):
+    return _rounded(scoring.tf_scores(_docs(spark, sf_dir), _dictionary(spark), scale=True), "neg", "pos")
+
+
+@_query(_scores_sql("n", False, "contains(tc.word, dic.word)"))
+def tf_vague(spark, sf_dir):
+    return _rounded(scoring.tf_scores(_docs(spark, sf_dir), _dictionary(spark), vague=True), "neg", "pos")
+
+
+@_query(_scores_sql("n * ln(n_docs / df)", True))
+def tfidf_scaled(spark, sf_dir):
+    return _rounded(scoring.tfidf_scores(_docs(spark, sf_dir), _dictionary(spark), "TFIDF"), "neg", "pos")
+
+
+@_query(_scores_sql("n * ln(n_docs / df)", True, "contains(tc.word, dic.word)"))
+def tfidf_vague(spark, sf_dir):
+    return _rounded(scoring.tfidf_scores(_docs(spark, sf_dir), _dictionary(spark), "TFIDF", vague=True), "neg", "pos")
+
+
+@_query(_scores_sql("(1 + ln(n)) * ln(n_docs / df)", True))
+def wfidf_scaled(spark, sf_dir):
+    return _rounded(scoring.tfidf_scores(_docs(spark, sf_dir), _dictionary(spark), "WFIDF"), "neg", "pos")
+
+
+@_query(_scores_sql("n * ln(n_docs / df) * weight", True, weights=True))
+def tfidf_weighted(spark, sf_dir):
+    return _rounded(scoring.tfidf_scores(_docs(spark, sf_dir), _dictionary(spark), "TFIDF+SIMWEIGHT"), "neg", "pos")
+
+
+@_query(_scores_sql("(1 + ln(n)) * ln(n_docs / df) * weight", True, weights=True))
+def wfidf_weighted(spark, sf_dir):
+    return _rounded(scoring.tfidf_scores(_docs(spark, sf_dir), _dictionary(spark), "WFIDF+SIMWEIGHT"), "neg", "pos")
+
+
+@_query(_scores_sql("n * ln(n_docs / df)", True, extra=", q AS (SELECT *, sqrt(neg * neg + pos * pos) AS z FROM r) SELECT doc_id, round(CASE WHEN z > 0 THEN neg / z ELSE neg END, 6) AS neg, round(CASE WHEN z > 0 THEN pos / z ELSE pos END, 6) AS pos, document_length FROM q").replace(") , q", "), q"))
+def tfidf_normalized(spark, sf_dir):
+    return _rounded(scoring.tfidf_scores(_docs(spark, sf_dir), _dictionary(spark), "TFIDF", normalize=True), "neg", "pos")
+
+
+@_query(_scores_sql("n * ln(n_docs / df)", True, extra=", c AS (SELECT word, sum(n * ln(n_docs / df) / document_length) AS contribution FROM hits JOIN df USING (word) JOIN dl USING (doc_id), total GROUP BY word) SELECT word, round(contribution, 6) AS contribution FROM c").replace(") , c", "), c"))
+def word_contributions(spark, sf_dir):
+    return _rounded(scoring.word_contributions(_docs(spark, sf_dir), _dictionary(spark)), "contribution")
+
+
+_CONTRIBUTIONS = " UNION ALL ".join(f"SELECT '{m}' AS method, dimension, word, sum({v}) AS c FROM hits JOIN df USING (word), total GROUP BY dimension, word" for m, v in (("TF", "n"), ("TFIDF", "n * ln(n_docs / df)"), ("WFIDF", "(1 + ln(n)) * ln(n_docs / df)"), ("TFIDF+SIMWEIGHT", "n * ln(n_docs / df) * weight"), ("WFIDF+SIMWEIGHT", "(1 + ln(n)) * ln(n_docs / df) * weight")))
+
+
+@_query(_scores_sql("n", False, weights=True, extra=f", u AS ({_CONTRIBUTIONS}) SELECT method, dimension, word, CAST(row_number() OVER o AS INTEGER) AS rank, round(c, 4) AS contribution, round(c / sum(c) OVER (PARTITION BY method, dimension), 6) AS share, round(sum(c) OVER o / sum(c) OVER (PARTITION BY method, dimension), 6) AS cumulative_share FROM u WINDOW o AS (PARTITION BY method, dimension ORDER BY c DESC, word ROWS UNBOUNDED PRECEDING)").replace(") , u", "), u"))
+def contribution_table(spark, sf_dir):
+    return _rounded(_rounded(scoring.contribution_table(_docs(spark, sf_dir), _dictionary(spark)), "contribution", digits=4), "share", "cumulative_share")
+
+
+@_query(f"WITH {_DIC} SELECT word, round(1 / ln(2 + arg_max(rank, dimension)), 6) AS weight FROM dic GROUP BY word")
+def similarity_weights(spark, sf_dir):
+    return _rounded(scoring.word_weights(_dictionary(spark)), "weight")
+
+
+_VEC = f"{_TC}, total AS (SELECT count(DISTINCT doc_id) AS n_docs FROM documents), df AS (SELECT word, count(*) AS df FROM tc GROUP BY word), raw AS (SELECT doc_id, word, n * log2(n_docs / df) AS raw FROM tc JOIN df USING (word), total WHERE n * log2(n_docs / df) > 0)"
+
+
+@_query(f"WITH {_VEC} SELECT doc_id, word, round(raw / sqrt(sum(raw * raw) OVER (PARTITION BY doc_id)), 6) AS weight FROM raw")
+def tfidf_vectors(spark, sf_dir):
+    return _rounded(tokens.tfidf_vectors(_docs(spark, sf_dir)), "weight")
+
+
+@_query(
+    r"""WITH b AS (SELECT item_id AS y, word, count(*) AS n FROM (SELECT item_id, unnest(regexp_extract_all(text, '\S+')) AS word FROM benchmark) GROUP BY ALL),
+x0 AS (SELECT doc_id AS x, word, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(text, '\S+')) AS word FROM documents) GROUP BY ALL),
+idf AS (SELECT word, log2((SELECT count(DISTINCT y) FROM b) / count(*)) AS idf FROM b GROUP BY word),
+vx AS (SELECT x, word, n * idf AS r FROM x0 JOIN idf USING (word) WHERE n * idf > 0), vy AS (SELECT y, word, n * idf AS r FROM b JOIN idf USING (word) WHERE n * idf > 0),
+nx AS (SELECT x, sqrt(sum(r * r)) AS z FROM vx GROUP BY x), ny AS (SELECT y, sqrt(sum(r * r)) AS z FROM vy GROUP BY y),
+s AS (SELECT x, y, sum(vx.r * vy.r / nx.z / ny.z) AS score FROM vx JOIN vy USING (word) JOIN nx USING (x) JOIN ny USING (y) GROUP BY x, y)
+SELECT doc_id AS x, item_id AS y, round(coalesce(score, 0), 6) AS score FROM documents CROSS JOIN benchmark LEFT JOIN s ON s.x = doc_id AND s.y = item_id"""
+)
+def similarity_matrix(spark, sf_dir):
+    items = _read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("doc_id"), "text")
+    return _rounded(tokens.similarity_matrix(_docs(spark, sf_dir), items), "score")
+
+
+# matching
+
+
+def _names(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    own = _read(spark, sf_dir, "customer").select("c_name", F.col("c_nationkey").alias("nation"))
+    return own, _read(spark, sf_dir, "supplier").select("s_name", F.col("s_nationkey").alias("nation"))
+
+
+_PAIRS = "p AS (SELECT DISTINCT c_nationkey AS nation, c_name AS origin_query, s_name AS match_list, 100.0 * (1 - levenshtein(c_name, s_name)::DOUBLE / greatest(length(c_name), length(s_name))) AS match_score FROM customer JOIN supplier ON c_nationkey = s_nationkey)"
+
+
+def _top_sql(k: int) -> str:
+    return f"WITH {_PAIRS}, r AS (SELECT *, row_number() OVER (PARTITION BY nation, origin_query ORDER BY match_score DESC, match_list) AS k FROM p) SELECT nation, origin_query, match_list, round(match_score, 6) AS match_score FROM r WHERE k <= {k}"
+
+
+@_query(_top_sql(1))
+def group_match_best(spark, sf_dir):
+    q, c = _names(spark, sf_dir)
+    return _rounded(matching.best(q, c, "c_name", "s_name", ["nation"], "levenshtein"), "match_score")
+
+
+@_query(_top_sql(3))
+def group_match_largest(spark, sf_dir):
+    q, c = _names(spark, sf_dir)
+    return _rounded(matching.largest(q, c, "c_name", "s_name", 3, ["nation"], "levenshtein"), "match_score")
+
+
+@_query(f"WITH {_PAIRS} SELECT nation, origin_query, match_list, round(match_score, 6) AS match_score FROM p WHERE match_score >= 55")
+def group_match_within(spark, sf_dir):
+    q, c = _names(spark, sf_dir)
+    return _rounded(matching.within(q, c, "c_name", "s_name", 55.0, "greater_equal", ["nation"], "levenshtein"), "match_score")
+
+
+@_query(f"WITH {_PAIRS} SELECT nation, origin_query, match_list, round(match_score, 6) AS match_score FROM p WHERE match_score < 50")
+def group_match_below(spark, sf_dir):
+    q, c = _names(spark, sf_dir)
+    return _rounded(matching.within(q, c, "c_name", "s_name", 50.0, "less", ["nation"], "levenshtein"), "match_score")
+
+
+@_query("WITH p AS (SELECT DISTINCT c_mktsegment AS origin_query, p_type AS match_list, 100.0 * (1 - levenshtein(c_mktsegment, p_type)::DOUBLE / greatest(length(c_mktsegment), length(p_type))) AS match_score FROM (SELECT DISTINCT c_mktsegment FROM customer), (SELECT DISTINCT p_type FROM part)), r AS (SELECT *, row_number() OVER (PARTITION BY origin_query ORDER BY match_score DESC, match_list) AS k FROM p) SELECT origin_query, match_list, round(match_score, 6) AS match_score FROM r WHERE k <= 4")
+def list_match_largest(spark, sf_dir):
+    return _rounded(matching.largest(_read(spark, sf_dir, "customer"), _read(spark, sf_dir, "part"), "c_mktsegment", "p_type", 4, scorer="levenshtein"), "match_score")
+
+
+@_query()
+def list_match_ratio(spark, sf_dir):
+    """All customers' names against all suppliers' by indel ratio, the best four."""
+    return _rounded(matching.largest(_read(spark, sf_dir, "customer"), _read(spark, sf_dir, "supplier"), "c_name", "s_name", 4), "match_score")
+
+
+@_query()
+def group_match_ratio(spark, sf_dir):
+    q, c = _names(spark, sf_dir)
+    return _rounded(matching.best(q, c, "c_name", "s_name", ["nation"]), "match_score")
+
+
+@_query()
+def list_match_ratio_within(spark, sf_dir):
+    return _rounded(matching.within(_read(spark, sf_dir, "customer"), _read(spark, sf_dir, "supplier"), "c_name", "s_name", 85.0), "match_score")
+
+
+@_query()
+def ratio_column(spark, sf_dir):
+    own = _read(spark, sf_dir, "part")
+    return own.select("p_partkey", F.round(similarity.indel_ratio_column("p_name", "p_type"), 6).alias("ratio"))
+
+
+_CELLS = "cell AS (SELECT vec_id AS row, CAST(unnest(range(len(embedding))) AS INTEGER) AS col, CAST(unnest(embedding) AS DOUBLE) AS value FROM embeddings)"
+
+
+def _cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("row"), F.posexplode("embedding").alias("col", "value")).withColumn("value", F.col("value").cast("double"))
+
+
+def _extremes_sql(outer: str, inner: str, order: str, k: int) -> str:
+    return f"WITH {_CELLS}, r AS (SELECT *, CAST(row_number() OVER (PARTITION BY \"{outer}\" ORDER BY value {order}, \"{inner}\") AS INTEGER) AS rank FROM cell) SELECT \"row\", col, round(value, 6) AS value, rank FROM r WHERE rank <= {k}"
+
+
+@_query(_extremes_sql("row", "col", "DESC", 3))
+def row_largest(spark, sf_dir):
+    return _rounded(matching.pick_extremes(_cells(spark, sf_dir), "row", "col", "value", 3), "value")
+
+
+@_query(_extremes_sql("row", "col", "ASC", 2))
+def row_smallest(spark, sf_dir):
+    return _rounded(matching.pick_extremes(_cells(spark, sf_dir), "row", "col", "value", 2, largest=False), "value")
+
+
+@_query(_extremes_sql("col", "row", "DESC", 3))
+def column_largest(spark, sf_dir):
+    return _rounded(matching.pick_extremes(_cells(spark, sf_dir), "row", "col", "value", 3, axis=0), "value")
+
+
+@_query(_extremes_sql("col", "row", "ASC", 3))
+def column_smallest(spark, sf_dir):
+    return _rounded(matching.pick_extremes(_cells(spark, sf_dir), "row", "col", "value", 3, axis=0, largest=False), "value")
+
+
+def _threshold(name: str, method: str, sign: str, at: float) -> None:
+    def run(spark, sf_dir):
+        return _rounded(matching.pick_threshold(_cells(spark, sf_dir), "value", at, method), "value")
+
+    run.__name__ = name
+    _query(f'WITH {_CELLS} SELECT "row", col, round(value, 6) AS value FROM cell WHERE value {sign} {at}')(run)
+
+
+_threshold("cells_at_least", "greater_equal", ">=", 0.15)
+_threshold("cells_above", "greater", ">", 0.15)
+_threshold("cells_below", "less", "<", -0.15)
+_threshold("cells_at_most", "less_equal", "<=", -0.15)
+
+
+@_query("SELECT o_orderkey AS \"row\", 'price' AS col, o_totalprice AS value FROM orders UNION ALL SELECT o_orderkey, 'customer', CAST(o_custkey AS DOUBLE) FROM orders")
+def unpivoted_scores(spark, sf_dir):
+    own = _read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("row"), F.col("o_totalprice").alias("price"), F.col("o_custkey").cast("double").alias("customer"))
+    return matching.unpivot_scores(own, "row", ["price", "customer"])
+
+
+# windows and n-grams
+
+
+_WINDOWS = f"""WITH {_SENT}, s AS (SELECT doc_id, unnest(l) AS t, unnest(range(len(l))) AS i FROM sen),
+p AS (SELECT doc_id, i, max(regexp_matches(t, '(?i)the')::INT) OVER w AS a, max(regexp_matches(t, '(?i)of')::INT) OVER w AS b, count(*) OVER w AS n FROM s WINDOW w AS (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 3 FOLLOWING)),
+v AS (SELECT doc_id, i FROM p WHERE n = 4 AND a = 1 AND b = 1)"""
+
+
+@_query(_WINDOWS + ', m AS (SELECT *, sum(br) OVER (PARTITION BY doc_id ORDER BY i) AS g FROM (SELECT *, (coalesce(i - lag(i) OVER (PARTITION BY doc_id ORDER BY i), 99) >= 4)::INT AS br FROM v)) SELECT doc_id, CAST(min(i) AS INTEGER) AS "start", CAST(max(i) + 4 AS INTEGER) AS "end" FROM m GROUP BY doc_id, g')
+def paragraph_windows(spark, sf_dir):
+    return windows.paragraph_windows(sentences_of(spark, sf_dir), ["the", "of"], 4)
+
+
+@_query(_WINDOWS + ' SELECT doc_id, CAST(i AS INTEGER) AS "start", CAST(i + 4 AS INTEGER) AS "end" FROM v')
+def paragraph_windows_raw(spark, sf_dir):
+    return windows.paragraph_windows(sentences_of(spark, sf_dir), ["the", "of"], 4, merge=False)
+
+
+def sentences_of(spark, sf_dir):
+    return _docs(spark, sf_dir).select("doc_id", T.sentences("text").alias("sentences"))
+
+
+_TOPICS = {"politics": {("the", "of"): 0.5, ("of", "the"): 1.5, ("to", "the"): 0.25}}
+_SUBJECTS = {"risk": {"er", "in", "and"}, "calm": {"is", "a"}}
+
+
+@_query(
+    """WITH a AS (SELECT doc_id, string_split(lower(text), ' ') AS t FROM documents),
+b AS (SELECT doc_id, t, unnest(range(11, len(t) - 10)) AS p FROM a WHERE len(t) >= 22),
+c AS (SELECT *, CASE t[p] || ' ' || t[p + 1] WHEN 'the of' THEN 0.5 WHEN 'of the' THEN 1.5 WHEN 'to the' THEN 0.25 END AS w FROM b),
+s AS (SELECT doc_id, count(w) AS n, sum(w) AS sw, sum(w * len(list_intersect(list_distinct(t[p - 10:p + 11]), ['er', 'in', 'and']))) AS risk, sum(w * (len(list_intersect(t[p - 10:p + 11], ['is', 'a'])) > 0)::INT) AS calm FROM c WHERE w IS NOT NULL GROUP BY doc_id)
+SELECT a.doc_id, CAST(len(t) AS INTEGER) AS total_words,
+round(len(list_filter(t, lambda x: x IN ('er', 'in', 'and'))) * 100000.0 / len(t), 4) AS subject_count_risk, round(len(list_filter(t, lambda x: x IN ('is', 'a'))) * 100000.0 / len(t), 4) AS subject_count_calm,
+round(coalesce(n, 0) * 100000.0 / len(t), 4) AS topic_ngram_count_politics, round(coalesce(sw, 0) * 100000.0 / len(t), 4) AS topic_ngram_count_weighted_politics,
+round(coalesce(risk, 0) * 100000.0 / len(t), 4) AS topic_subject_score_politics_risk, round(coalesce(calm, 0) * 100000.0 / len(t), 4) AS topic_subject_score_politics_calm
+FROM a LEFT JOIN s USING (doc_id)"""
+)
+def topic_windows(spark, sf_dir):
+    own = _docs(spark, sf_dir).select("doc_id", F.lower("text").alias("text"))
+    out = windows.topic_windows(own, _TOPICS, _SUBJECTS, binary_subjects=["calm"])
+    return _rounded(out, *out.columns[2:], digits=4)
+
+
+_PAIR_STOP = ", ".join(f"'{w}'" for w in sorted(lexicons.STOP_PAIR_WORDS))
+
+
+def _ngram_sql(source: str) -> str:
+    return f"WITH {source}, g AS (SELECT t[i] || ' ' || t[i + 1] AS gram FROM (SELECT t, unnest(range(1, len(t))) AS i FROM src) WHERE lower(t[i]) NOT IN ({_PAIR_STOP}) AND lower(t[i + 1]) NOT IN ({_PAIR_STOP})), c AS (SELECT gram, count(*) AS n FROM g GROUP BY gram) SELECT gram, n AS score, CAST(sum(n) OVER () AS BIGINT) AS total FROM c"
+
+
+@_query(_ngram_sql(rf"{_SENT}, src AS (SELECT regexp_extract_all(s, '\S+') AS t FROM (SELECT unnest(l) AS s FROM sen))"))
+def ngrams_in_sentences(spark, sf_dir):
+    own = ngrams.plain_tokens(sentences.split_sentences(_docs(spark, sf_dir)))
+    return ngrams.ngram_dictionary(own, scorer="count").select(F.array_join("ngram", " ").alias("gram"), "score", "total")
+
+
+@_query(_ngram_sql(r"src AS (SELECT flatten(list(regexp_extract_all(text, '\S+') ORDER BY doc_id)) AS t FROM documents)"))
+def ngrams_across_rows(spark, sf_dir):
+    own = ngrams.plain_tokens(_docs(spark, sf_dir).select("doc_id", "text"))
+    return ngrams.ngram_dictionary(own, scorer="count", by="all", order_cols=["doc_id"]).select(F.array_join("ngram", " ").alias("gram"), "score", "total")
+
+
+@_query(_ngram_sql(rf"{_SENT}, src AS (SELECT list_filter(regexp_extract_all(s, '\S+'), lambda w: length(w) > 2) AS t FROM (SELECT unnest(l) AS s FROM sen))").replace("n AS score", "round(n / sum(n) OVER (), 9) AS score"))
+def ngram_frequencies(spark, sf_dir):
+    own = ngrams.plain_tokens(sentences.split_sentences(_docs(spark, sf_dir)))
+    return ngrams.ngram_dictionary(own, longer_than=2).select(F.array_join("ngram", " ").alias("gram"), F.round("score", 9).alias("score"), "total")
+
+
+@_query()
+def ngrams_of_tagged_words(spark, sf_dir):
+    """Pairs of words of the shape-tagged sentences, without those whose tags are stop tags."""
+    own = sentences.nested(_docs(spark, sf_dir)).select(F.explode("sentences").alias("s")).select(F.transform("s.words", lambda w: F.struct(w["text"].alias("word"), w["pos"])).alias("tokens"))
+    return ngrams.ngram_dictionary(own, scorer="count").select(F.array_join("ngram", " ").alias("gram"), "score", "total")
+
+
+# annotated lines
+
+
+def _annotated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Deterministic annotated lines: every seventh token an entity, every fifth glued to the next, tags by place."""
+    def token(w, i):
+        ner = F.when(i % 7 == 0, F.lit("[NER:PERSON]")).otherwise(F.lit(""))
+        pos = F.when(i % 3 == 0, F.lit("[POS:NN]")).when(i % 3 == 1, F.lit("[POS:DT]")).otherwise(F.lit(""))
+        return F.concat(ner, w, pos, F.when(i % 5 == 4, F.lit("[SEP]")).otherwise(F.lit(" ")))
+
+    line = F.concat(F.lit("[SENTIMENT:Neutral] "), F.array_join(F.transform(T.tokens("text"), token), ""))
+    return _docs(spark, sf_dir).select("doc_id", line.alias("line"))
+
+
+_ANN = r"""w AS (SELECT doc_id, unnest(regexp_extract_all(text, '\S+')) AS w, unnest(range(len(regexp_extract_all(text, '\S+')))) AS i FROM documents)"""
+
+
+@_query(f"WITH {_ANN} SELECT d.doc_id, coalesce(string_agg(CASE WHEN i % 7 = 0 THEN 'PERSON' END, ',' ORDER BY i), '') AS ner, coalesce(string_agg(CASE i % 3 WHEN 0 THEN 'NN' WHEN 1 THEN 'DT' ELSE '-' END, ',' ORDER BY i), '') AS pos, coalesce(string_agg(w, ' ' ORDER BY i), '') AS words, 'Neutral' AS sentiment FROM documents d LEFT JOIN w USING (doc_id) GROUP BY d.doc_id")
+def parsed_annotations(spark, sf_dir):
+    own = _annotated(spark, sf_dir).select("doc_id", F.flatten(A.parse("line")).alias("p"), A.sentiment("line").alias("sentiment"))
+    own = own.withColumn("p", F.filter("p", lambda p: p["original_text"] != ""))
+    value = lambda name, empty: F.array_join(F.transform("p", lambda p: F.when(p[name] == "", F.lit(empty)).otherwise(p[name])), ",")
+    ner = F.array_join(F.filter(F.transform("p", lambda p: p["ner"]), lambda x: x != ""), ",")
+    return own.select("doc_id", ner.alias("ner"), value("pos", "-").alias("pos"), F.array_join(F.transform("p", lambda p: p["original_text"]), " ").alias("words"), "sentiment")
+
+
+@_query()
+def cleaned_annotations(spark, sf_dir):
+    return A.clean(_annotated(spark, sf_dir), A.CORPUS_RULES, "line", with_sentiment=True)
+
+
+@_query()
+def preprocessed_annotations(spark, sf_dir):
+    return A.preprocess(_annotated(spark, sf_dir), A.NGRAM_RULES, "line")
+
+
+@_query()
+def annotated_sentences(spark, sf_dir):
+    return sentences.annotate(_docs(spark, sf_dir))
+
+
+@_query()
+def nested_sentences(spark, sf_dir):
+    return sentences.dump_sentences(sentences.nested(_docs(spark, sf_dir)))
+
+
+@_query(f"WITH {_SENT} SELECT doc_id, l AS \"values\" FROM sen")
+def sentence_texts(spark, sf_dir):
+    return sentences.sentence_attribute(sentences.nested(_docs(spark, sf_dir)), "text")
+
+
+@_query()
+def word_lemmas(spark, sf_dir):
+    return sentences.word_attribute(sentences.nested(_docs(spark, sf_dir)), "lemma")
+
+
+# models
+
+
+def _vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _read(spark, sf_dir, "embeddings").select(F.concat(F.lit("w"), "vec_id").alias("word"), F.col("embedding").alias("vector"), F.col("vec_id").alias("n"))
+
+
+_SEEDS = {"first": ("w0", "w1", "w2"), "second": ("w3", "w4", "missing")}
+_SIM = """sd(dimension, word) AS (VALUES ('first', 'w0'), ('first', 'w1'), ('first', 'w2'), ('second', 'w3'), ('second', 'w4'), ('second', 'missing')),
+v AS (SELECT 'w' || vec_id AS word, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings),
+u AS (SELECT dimension, word, i, e[i] / sqrt(list_sum(list_transform(e, lambda x: x * x))) AS x FROM (SELECT dimension, word, e, unnest(range(1, len(e) + 1)) AS i FROM v JOIN sd USING (word))),
+cen AS (SELECT dimension, list(x ORDER BY i) AS c FROM (SELECT dimension, i, avg(x) AS x FROM u GROUP BY dimension, i) GROUP BY dimension),
+sim AS (SELECT dimension, word, list_cosine_similarity(e, c) AS similarity FROM v, cen)"""
+
+
+@_query(f"WITH {_SIM} SELECT dimension, word, round(similarity, 6) AS similarity FROM sim")
+def seed_similarities(spark, sf_dir):
+    return _rounded(vectors.similarities(_vectors(spark, sf_dir), vectors.seeds_frame(spark, _SEEDS)), "similarity")
+
+
+_EXPANDED = f"WITH {_SIM}, near AS (SELECT *, row_number() OVER (PARTITION BY dimension ORDER BY similarity DESC, word) AS k FROM sim WHERE (dimension, word) NOT IN (SELECT dimension, word FROM sd)), ex AS (SELECT dimension, word FROM near WHERE k <= 50 AND similarity >= 0 AND word NOT IN (SELECT word FROM sd) UNION SELECT dimension, word FROM sd), one AS (SELECT dimension, word FROM (SELECT ex.*, row_number() OVER (PARTITION BY word ORDER BY similarity DESC NULLS LAST, dimension) AS k FROM ex LEFT JOIN sim USING (dimension, word)) WHERE k = 1)"
+
+
+@_query(_EXPANDED + " SELECT dimension, word, round(similarity, 6) AS similarity, CAST(row_number() OVER (PARTITION BY dimension ORDER BY similarity DESC, word) - 1 AS INTEGER) AS rank FROM one JOIN sim USING (dimension, word)")
+def grown_dictionary(spark, sf_dir):
+    return _rounded(vectors.grow_dictionary(_vectors(spark, sf_dir), vectors.seeds_frame(spark, _SEEDS)), "similarity")
+
+
+@_query(_EXPANDED + " SELECT dimension, word FROM ex")
+def expanded_dictionary(spark, sf_dir):
+    return vectors.expand(_vectors(spark, sf_dir), vectors.seeds_frame(spark, _SEEDS))
+
+
+@_query()
+def word_vectors(spark, sf_dir):
+    """Vectors of a small size; partitions grow with the cluster."""
+    out = vectors.train(_docs(spark, sf_dir), size=16, min_count=20, partitions=max(1, spark.sparkContext.defaultParallelism))
+    return out.select("word", "n", F.size("vector").alias("size"))
+
+
+@_query(r"""WITH a AS (SELECT regexp_extract_all(text, '\S+') AS t FROM documents), wc AS (SELECT w, count(*) AS n FROM (SELECT unnest(t) AS w FROM a) GROUP BY w),
+bc AS (SELECT "first", second, count(*) AS n FROM (SELECT unnest(t[1:len(t) - 1]) AS "first", unnest(t[2:len(t)]) AS second FROM a) GROUP BY ALL HAVING count(*) >= 10),
+s AS (SELECT bc."first", bc.second, bc.n, (bc.n - 10) * (SELECT count(*) FROM wc) / (x.n * y.n::DOUBLE) AS score FROM bc JOIN wc x ON x.w = bc."first" JOIN wc y ON y.w = bc.second)
+SELECT "first", second, n, round(score, 6) AS score FROM s WHERE score > 10""")
+def phrase_scores(spark, sf_dir):
+    return _rounded(phrases.fit(_docs(spark, sf_dir), 10.0, 10), "score").drop("middle")
+
+
+@_query()
+def phrases_applied(spark, sf_dir):
+    docs = _docs(spark, sf_dir)
+    return phrases.apply(docs, phrases.fit(docs, 10.0, 10)).select("doc_id", "text")
+
+
+@_query()
+def detected_languages(spark, sf_dir):
+    docs = _docs(spark, sf_dir)
+    return language.detect(docs, language.fit(docs), "max")
+
+
+@_query()
+def language_probabilities(spark, sf_dir):
+    docs = _docs(spark, sf_dir)
+    out = language.detect(docs, language.fit(docs), "max_prob")
+    return out.select("doc_id", F.col("languages.lang").alias("lang"), F.round("languages.prob", 6).alias("prob"))
+
+
+@_query()
+def sentence_centrality(spark, sf_dir):
+    own = _read(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "text"))).alias("x"))
+    own = own.select(F.col("conv_id").alias("doc_id"), F.flatten(F.transform("x", lambda t: T.sentences(t["text"]))).alias("sentences"))
+    return lexrank.lexrank(own).select("doc_id", "sent_no", "score")
+
+
+@_query()
+def sentence_summaries(spark, sf_dir):
+    own = _read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("doc_id"), T.sentences("text").alias("sentences"))
+    return lexrank.summary(lexrank.lexrank(own), 2)
+
+
+@_query(
+    r"""WITH a AS (SELECT item_id AS doc_id, unnest(regexp_extract_all(lower(text), '\S+')) AS word, unnest(range(len(regexp_extract_all(lower(text), '\S+')))) AS pos FROM benchmark),
+v AS (SELECT word, CAST(row_number() OVER (ORDER BY df DESC, word) - 1 AS INTEGER) AS word_id FROM (SELECT word, count(DISTINCT doc_id) AS df FROM a GROUP BY word)),
+c AS (SELECT doc_id, pos, word_id FROM a JOIN v USING (word))
+SELECT x.doc_id, least(x.word_id, y.word_id) AS a, greatest(x.word_id, y.word_id) AS b, count(*) AS n FROM c x JOIN c y ON x.doc_id = y.doc_id AND y.pos > x.pos AND y.pos < x.pos + 15 GROUP BY ALL"""
+)
+def biterms(spark, sf_dir):
+    own = _read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("doc_id"), "text")
+    return topics.biterms(own, topics.vocabulary(own))
+
+
+@_query()
+def document_topics(spark, sf_dir):
+    own = _read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("doc_id"), "text")
+    return topics.top_topic(topics.transform(own, topics.fit(own, topics=4, iterations=10)))
+
+
+@_query()
+def joined_letters(spark, sf_dir):
+    """Spaced words of all texts, joined by the commonest words of the corpus."""
+    docs = _docs(spark, sf_dir)
+    words = [r["word"] for r in tokens.document_frequency(docs).where(r"word rlike '^\\p{L}+$'").orderBy(F.desc("df"), "word").limit(10_000).collect()]
+    return segment.join_letters(docs.select("doc_id", "text"), words)
+
+
+# sources and batches
+
+
+@_query()
+def page_texts(spark, sf_dir):
+    return _read(spark, sf_dir, "pages").select("page_id", documents.html_column("html").alias("text"))
+
+
+@_query(r"SELECT page_id, trim(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<(script|style)\b.*?</(script|style)\s*>|<!--.*?-->', ' ', 'g'), '(?s)<[^>]*>', ' ', 'g'), '\s+', ' ', 'g'), ' ') AS text FROM pages")
+def page_texts_by_pattern(spark, sf_dir):
+    return _read(spark, sf_dir, "pages").select("page_id", documents.strip_tags("html").alias("text"))
+
+
+@_query(r"SELECT doc_id, regexp_replace(text, '[\n\r]', ' ', 'g') AS text FROM documents")
+def flat_lines(spark, sf_dir):
+    return _docs(spark, sf_dir).select("doc_id", lines.flat_line("text").alias("text"))
+
+
+@_query(f"WITH {_DIC} SELECT rank, max(word) FILTER (dimension = 'neg') AS neg, max(word) FILTER (dimension = 'pos') AS pos FROM dic GROUP BY rank")
+def wide_dictionary(spark, sf_dir):
+    return dictionaries.widen(_dictionary(spark))
+
+
+class _Echo:
+    """A client that answers by rule, without a service: the length of each statement's value."""
+
+    def __call__(self, messages: list[dict], stop: str | None) -> str:
+        import json
+
+        text = messages[-1]["content"]
+        rows = json.loads(text[text.rindex("Statements:\n") + 12 : text.rindex("\nJSON =")])
+        return "```json\n" + json.dumps([{"response": str(len(r["statement"])), "id": r["id"]} for r in rows]) + "\n```"
+
+
+@_query("SELECT CAST(item_id AS VARCHAR) AS id, CAST(length(text) AS VARCHAR) AS response FROM benchmark")
+def classified_batches(spark, sf_dir):
+    own = _read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id"), F.col("text").alias("statement"))
+    out = classify.classify(own, {"How long is it?": None}, _Echo, size=10)
+    return out.select(F.col("answer")["id"].alias("id"), F.col("answer")["response"].alias("response"))
+
+
+@_query("SELECT item_id, text FROM benchmark")
+def parsed_replies(spark, sf_dir):
+    """Replies in fenced JSON, parsed in the JVM."""
+    own = _read(spark, sf_dir, "benchmark").select("item_id", F.concat(F.lit("Here:\n```json\n"), F.to_json(F.array(F.struct("text"))), F.lit("\n```")).alias("reply"))
+    return own.select("item_id", classify.reply_rows("reply")[0]["text"].alias("text"))
+
+
+def queries() -> dict[str, Query]:
+    return {name: f for name, (f, _) in _ALL.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: sql for name, (_, sql) in _ALL.items() if sql}
