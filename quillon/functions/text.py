@@ -47,8 +47,7 @@ def one_line(text: Column | str) -> Column:
 
 def ngrams(toks: Column | str, n: int = 2) -> Column:
     """Arrays of ``n`` neighbouring tokens, in order; none where there are fewer tokens."""
-    t = _col(toks)
-    return F.when(F.size(t) >= n, F.transform(F.sequence(F.lit(1), F.greatest(F.size(t) - n + 1, F.lit(1))), lambda i: F.slice(t, i, n))).otherwise(F.array().cast("array<array<string>>"))
+    return let(_col(toks), lambda t: F.when(F.size(t) >= n, F.transform(F.sequence(F.lit(1), F.greatest(F.size(t) - n + 1, F.lit(1))), lambda i: F.slice(t, i, n))).otherwise(F.array().cast("array<array<string>>")))
 
 
 def sentences(text: Column | str, ends: str = r"[.\n]") -> Column:

@@ -12,7 +12,8 @@ MODEL_ROWS = 20_000
 
 def _grams(text: Column, n: int) -> Column:
     own = F.concat(F.lit(" "), F.lower(F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), r"(?U)[\s\d\p{P}\p{S}]+", " "))), F.lit(" "))
-    return F.transform(F.sequence(F.lit(1), F.greatest(F.length(own) - n + 1, F.lit(1))), lambda i: F.substring(own, i, n))
+    # a pattern that looks ahead walks the text once; a substring for each place would walk it each time
+    return F.regexp_extract_all(own, F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1))
 
 
 def fit(df: DataFrame, text_col: str = "text", lang_col: str = "lang", n: int = 2, rows: int = MODEL_ROWS) -> DataFrame:
@@ -41,10 +42,10 @@ def detect(df: DataFrame, model: DataFrame, result: str = "max", n: int = 2, id_
     hits = grams.join(F.broadcast(wide), "gram").crossJoin(F.broadcast(unseen))  # the model is bounded by fit; unseen: a row a language
     score = hits.groupBy(id_col, "lang").agg(F.sum(F.col("n") * F.coalesce(F.element_at("p", F.col("lang")), F.col("low"))).alias("s"))
     every = score.groupBy(id_col).agg(F.collect_list(F.struct("s", "lang")).alias("x"))
-    top = F.array_max(F.transform("x", lambda v: v["s"]))
-    every = every.withColumn("z", F.aggregate("x", F.lit(0.0), lambda acc, v: acc + F.exp(v["s"] - top)))
+    every = every.withColumn("top", F.array_max(F.transform("x", lambda v: v["s"])))
+    every = every.withColumn("z", F.aggregate("x", F.lit(0.0), lambda acc, v: acc + F.exp(v["s"] - F.col("top"))))
     ordered = F.array_sort("x", lambda a, b: F.when(a["s"] > b["s"], -1).when(a["s"] < b["s"], 1).when(a["lang"] < b["lang"], -1).when(a["lang"] > b["lang"], 1).otherwise(0))
-    full = F.transform(ordered, lambda v: F.struct(v["lang"].alias("lang"), (F.exp(v["s"] - top) / F.col("z")).alias("prob")))
+    full = F.transform(ordered, lambda v: F.struct(v["lang"].alias("lang"), (F.exp(v["s"] - F.col("top")) / F.col("z")).alias("prob")))
     value = {"all_prob": full, "all": F.transform(full, lambda v: v["lang"]), "max": F.get(full, 0)["lang"], "max_prob": F.get(full, 0)}[result]
     return df.select(id_col).distinct().join(every.select(id_col, value.alias("languages")), id_col, "left")
 

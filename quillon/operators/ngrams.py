@@ -38,8 +38,7 @@ def ngram_dictionary(
     if by == "all":
         rows = _across(df, toks, n, list(order_cols))
     else:
-        grams = F.when(F.size(toks) >= n, F.transform(F.sequence(F.lit(1), F.greatest(F.size(toks) - n + 1, F.lit(1))), lambda i: F.slice(toks, i, n)))
-        rows = df.select(F.explode(grams).alias("g"))
+        rows = df.select(F.explode(_inside(toks, n)).alias("g"))
     words = F.transform("g", word)
     if stop_words:
         own = sorted({w.lower() for w in stop_words})
@@ -52,6 +51,10 @@ def ngram_dictionary(
     return counted.crossJoin(F.broadcast(total)).select("ngram", score.alias("score"), "total")  # total: one row
 
 
+def _inside(toks, n: int):
+    return T.let(toks, lambda t: F.when(F.size(t) >= n, F.transform(F.sequence(F.lit(1), F.greatest(F.size(t) - n + 1, F.lit(1))), lambda i: F.slice(t, i, n))))
+
+
 def _across(df: DataFrame, toks, n: int, order_cols: list[str]) -> DataFrame:
     """N-grams of the concatenation of all rows' tokens.
 
@@ -62,8 +65,7 @@ def _across(df: DataFrame, toks, n: int, order_cols: list[str]) -> DataFrame:
     if not order_cols:
         raise ValueError('by="all" needs order_cols')
     own = df.select(*order_cols, toks.alias("t")).where(F.size("t") > 0)
-    grams = F.when(F.size("t") >= n, F.transform(F.sequence(F.lit(1), F.greatest(F.size("t") - n + 1, F.lit(1))), lambda i: F.slice(F.col("t"), i, n)))
-    inside = own.select(F.explode(grams).alias("g"))
+    inside = own.select(F.explode(_inside(F.col("t"), n)).alias("g"))
     if n < 2:
         return inside
     last = lambda c: F.slice(c, F.greatest(F.size(c) - n + 2, F.lit(1)), n - 1)
