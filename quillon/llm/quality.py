@@ -14,32 +14,43 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillon.functions.text import let
 from quillon.llm._frames import pick
 
 #: A condition: (statistic, True for "at most" or False for "more than", threshold).
 Condition = tuple[str, bool, float]
 
 
-def statistics(text: Column) -> dict[str, Column]:
-    """Statistics by name; each is 0 for an empty text."""
+def statistics(text: Column) -> Column:
+    """A struct of the statistics by name; each is 0 for an empty text. Words and lines are split once."""
     t = F.coalesce(text, F.lit(""))
-    chars = F.greatest(F.length(t), F.lit(1))
-    words = F.filter(F.split(t, r"\s+"), lambda w: w != "")
-    lines = F.filter(F.split(t, "\n"), lambda w: w != "")
-    again = F.filter(F.zip_with(words, F.slice(words, 2, F.greatest(F.size(words) - 1, F.lit(1))), lambda a, b: a == b), lambda x: x)
-    n, m = F.greatest(F.size(words), F.lit(1)), F.greatest(F.size(lines), F.lit(1))
-    share = lambda pattern: F.regexp_count(t, F.lit(pattern)) / chars
-    return {
-        "words": F.size(words).cast("double"),
-        "word_length": (F.length(t) / n).cast("double"),
-        "upper": share(r"\p{Lu}"),
-        "letters": share(r"\p{L}"),
-        "exclaim": share("[!?]"),
-        "symbols": share(r"[#$%&*|<>^~=_{}\\\[\]]"),
-        "distinct_words": F.size(F.array_distinct(words)) / n,
-        "distinct_lines": F.size(F.array_distinct(lines)) / m,
-        "repeats": F.size(again) / n,
-    }
+    base = F.struct(t.alias("t"), pieces(F.translate(t, "\n\t\r\x0b\x0c", "     "), " ").alias("words"), pieces(t, "\n").alias("lines"))
+
+    def of(v: Column) -> Column:
+        t, words, lines = v["t"], v["words"], v["lines"]
+        chars = F.greatest(F.length(t), F.lit(1))
+        n, m = F.greatest(F.size(words), F.lit(1)), F.greatest(F.size(lines), F.lit(1))
+        again = F.filter(F.zip_with(words, F.slice(words, 2, F.greatest(F.size(words) - 1, F.lit(1))), lambda a, b: a == b), lambda x: x)
+        only = lambda other: F.length(F.regexp_replace(t, other, "")) / chars
+        without = lambda signs: (F.length(t) - F.length(F.translate(t, signs, ""))) / chars
+        values = (
+            F.size(words).cast("double"),
+            (F.length(t) / n).cast("double"),
+            only(r"\P{Lu}+"),
+            only(r"\P{L}+"),
+            without("!?"),
+            without(r"#$%&*|<>^~=_{}\[]"),
+            F.size(F.array_distinct(words)) / n,
+            F.size(F.array_distinct(lines)) / m,
+            F.size(again) / n,
+        )
+        return F.struct(*[v.alias(name) for name, v in zip(STATISTICS, values)])
+
+    return let(base, of)
+
+
+def pieces(text: Column, sep: str) -> Column:
+    return F.filter(F.split(text, sep), lambda w: w != "")
 
 
 STATISTICS = ("words", "word_length", "upper", "letters", "exclaim", "symbols", "distinct_words", "distinct_lines", "repeats")
@@ -142,8 +153,7 @@ def train(documents: DataFrame, labels: DataFrame, max_labelled: int = 20_000, *
     own = pick(labels, doc_id="doc_id", quality="quality").dropna().dropDuplicates(["doc_id"])
     own = own.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled)
     docs = pick(documents, doc_id="doc_id", text="text").join(F.broadcast(own), "doc_id")  # at most max_labelled rows of two numbers
-    columns = statistics(F.col("text"))
-    rows = docs.select("doc_id", "quality", *[columns[s].alias(s) for s in STATISTICS]).toPandas()
+    rows = docs.select("doc_id", "quality", statistics(F.col("text")).alias("s")).select("doc_id", "quality", "s.*").toPandas()
     rows = rows.drop_duplicates("doc_id").sort_values("doc_id")
     return fit(rows[list(STATISTICS)].to_numpy(np.float64), (rows["quality"].to_numpy() > 0).astype(np.float64), **options)
 
@@ -154,16 +164,21 @@ def score(df: DataFrame, model: RuleModel, id_col: str = "doc_id", text_col: str
     A text that is null, empty or white space scores 0 and isn't kept. Repeated rows get equal
     results; a null id stays null; other columns are dropped. No shuffle and no Python.
     """
-    columns = statistics(F.col("text"))
-    stats = pick(df, doc_id=id_col, text=text_col).select("doc_id", *[columns[s].alias(s) for s in STATISTICS])
-    value = F.when(F.col("words") == 0, 0.0).otherwise(model.score({s: F.col(s) for s in STATISTICS}))
-    return stats.select("doc_id", F.round(value, 6).alias("quality_score")).withColumn("keep", F.col("quality_score") >= threshold)
+    value = judged(F.col("text"), model)
+    return pick(df, doc_id=id_col, text=text_col).select("doc_id", value.alias("quality_score")).withColumn("keep", F.col("quality_score") >= threshold)
+
+
+def judged(text: Column, model: RuleModel) -> Column:
+    """The score of a text, 0 for one without words.
+
+    The statistics are worked out once and bound to a name: rules name them many times, and a filter on
+    the score would else be pushed below them with a copy of each for each time.
+    """
+    return let(statistics(text), lambda s: F.when(s["words"] == 0, F.lit(0.0)).otherwise(F.round(model.score({n: s[n] for n in STATISTICS}), 6)))
 
 
 def keep_good(documents: DataFrame, model: RuleModel, threshold: float = 0.5) -> DataFrame:
-    """The documents that ``score`` keeps, by the same rules; all columns, row by row."""
+    """The documents that ``score`` keeps, by the same rules; all columns, row by row. A text without words goes at any threshold above 0."""
     flat = documents.toDF(*[f"_c{i}" for i in range(len(documents.columns))])
-    columns = statistics(F.col(f"_c{documents.columns.index('text')}"))
-    staged = flat.select("*", *[columns[s].alias(f"_s_{s}") for s in STATISTICS])
-    good = F.round(model.score({s: F.col(f"_s_{s}") for s in STATISTICS}), 6) >= threshold
-    return staged.where((F.col("_s_words") > 0) & good).select(*flat.columns).toDF(*documents.columns)
+    text = F.col(f"_c{documents.columns.index('text')}")
+    return flat.where(judged(text, model) >= F.lit(float(threshold))).toDF(*documents.columns)
