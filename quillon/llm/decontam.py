@@ -1,18 +1,21 @@
 """Operator 5: benchmark decontamination by BM25 with block-max WAND.
 
 Test items are cut into segments of up to ``SEGMENT`` words, which an inverted index holds:
-for each term its segments in order, with their BM25 impacts, in blocks that know their
-greatest impact. Impacts are divided by the segment's score for itself, so 1 is a copy and
-one threshold serves all. Every training text is cut into overlapping passages, and every
-passage is a query. A passage whose terms' greatest impacts can't add up to the threshold
-is settled by that bound; the others run block-max WAND, which returns all segments at or
-above it. An item that was retrieved is verified on the text around the passage: enough
-neighbouring word pairs of its question, and enough of its answer, must occur there.
+for each term its segments in order, with their BM25 impacts. Segments lie in blocks, and
+blocks in larger blocks, that know each term's greatest impact inside. Impacts are divided by
+the segment's score for itself, so 1 is a copy and one threshold serves all. Every training
+text is cut into overlapping passages, and every passage is a query. For all passages of a
+batch at once, the terms' block maxima are added up, larger blocks first; blocks whose sum
+can't reach the threshold are skipped, and WAND runs in the others, with the block maxima as
+its second bound. So all segments at or above the threshold are retrieved. An item
+that was retrieved is verified on the text around the passage: enough neighbouring word
+pairs of its question, and enough of its answer, must occur there.
 """
 
 from __future__ import annotations
 
 import math
+from bisect import bisect_left
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -21,13 +24,18 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from quillon.llm._frames import pick, slices, split_words
 
-PASSAGE, STRIDE, SEGMENT, POSTING_BLOCK = 64, 32, 48, 16
-#: Words of items that one index holds; more items make more indexes, each broadcast and run on its own.
-INDEX_WORDS = 2_000_000
+PASSAGE, STRIDE, SEGMENT = 64, 32, 48
+#: Segments of a block, and blocks of a larger block.
+BLOCK, LARGER = 4, 4
+#: Words of items that one index holds, which bounds its table of block maxima.
+INDEX_WORDS = 20_000
+#: Indexes that one pass over the texts broadcasts; a larger benchmark makes more passes.
+INDEXES = 500
+#: Passages whose bounds are worked out at a time.
+QUERIES = 2048
 EDGES = ".,;:!?\"'()[]{}<>«»„“”‘’…*_`|#$%&"
 
 
@@ -62,36 +70,52 @@ class Item:
     answer: list[str]
 
 
+def segments_of(item: Item) -> list[Counter]:
+    """The item's words in parts of equal size, of up to SEGMENT words."""
+    own = item.question + item.answer
+    size = math.ceil(len(own) / math.ceil(len(own) / SEGMENT)) if own else 1
+    return [Counter(own[a : a + size]) for a in range(0, len(own), size)]
+
+
+@dataclass
+class Statistics:
+    """Counts over the segments of the whole benchmark."""
+
+    segments: int
+    words: int
+    df: Counter
+
+    @staticmethod
+    def of(items: list[Item]) -> Statistics:
+        out = Statistics(0, 0, Counter())
+        for item in items:
+            for t in segments_of(item):
+                out.segments += 1
+                out.words += sum(t.values())
+                out.df.update(t.keys())
+        return out
+
+
 class Index:
     """Inverted index of item segments with block maxima."""
 
-    def __init__(self, items: list[Item], k1: float = 1.2, b: float = 0.75):
+    def __init__(self, items: list[Item], stats: Statistics | None = None, k1: float = 1.2, b: float = 0.75):
         self.items = items
+        stats = stats or Statistics.of(items)
         self.segments: list[int] = []
-        texts = []
+        postings = defaultdict(list)
         for i, item in enumerate(items):
-            own = item.question + item.answer
-            parts = max(1, math.ceil(len(own) / SEGMENT))
-            size = math.ceil(len(own) / parts) if own else 0
-            for a in range(0, len(own), size or 1):
-                texts.append(Counter(own[a : a + size]))
+            for t in segments_of(item):
+                norm = k1 * (1 - b + b * sum(t.values()) * stats.segments / stats.words)
+                impact = {w: math.log(1 + (stats.segments - stats.df[w] + 0.5) / (stats.df[w] + 0.5)) * f * (k1 + 1) / (f + norm) for w, f in t.items()}
+                own = sum(impact.values())
+                for w, x in impact.items():
+                    postings[w].append((len(self.segments), x / own))
                 self.segments.append(i)
-        n = len(texts)
-        mean = sum(sum(t.values()) for t in texts) / n if n else 1
-        df = Counter(w for t in texts for w in t)
-        idf = {w: math.log(1 + (n - d + 0.5) / (d + 0.5)) for w, d in df.items()}
-        postings = defaultdict(list)
-        for s, t in enumerate(texts):
-            norm = k1 * (1 - b + b * sum(t.values()) / mean)
-            impact = {w: idf[w] * f * (k1 + 1) / (f + norm) for w, f in t.items()}
-            own = sum(impact.values())
-            for w, x in impact.items():
-                postings[w].append((s, x / own))
         self.terms = sorted(postings)
         self.number = {w: i for i, w in enumerate(self.terms)}
         self.docs = [[s for s, _ in postings[w]] for w in self.terms]
         self.impacts = [[x for _, x in postings[w]] for w in self.terms]
-        self.block_max = [[max(x[a : a + POSTING_BLOCK]) for a in range(0, len(x), POSTING_BLOCK)] for x in self.impacts]
         self.top = np.array([max(x) for x in self.impacts] + [0.0])  # the last: any other word
         self.pairs = []
         for item in items:
@@ -100,12 +124,24 @@ class Index:
             # an answer of one word pairs with the word before it
             self.pairs.append((_bigrams(q), _bigrams(q[-1:] + a if len(a) < 2 else a)))
 
-    def search(self, terms: list[int], threshold: float) -> list[tuple[int, float]]:
-        """All (segment, score) with a score of at least ``threshold``, by block-max WAND."""
+    def maxima(self) -> np.ndarray:
+        """[term, larger block, block]: the greatest impact; the last term is any other word."""
+        larger = max(1, -(-len(self.segments) // (BLOCK * LARGER)))
+        out = np.zeros((len(self.terms) + 1, larger * LARGER), np.float32)
+        term = np.repeat(np.arange(len(self.terms)), [len(x) for x in self.docs])
+        at = np.array([s for x in self.docs for s in x], np.int64) // BLOCK
+        np.maximum.at(out, (term, at), np.array([x for xs in self.impacts for x in xs], np.float32))
+        return out.reshape(len(self.terms) + 1, larger, LARGER)
+
+    def search(self, terms: list[int], threshold: float, maxima: np.ndarray, low: int = 0, high: int | None = None) -> list[tuple[int, float]]:
+        """All (segment, score) of segments in [low, high) with a score of at least ``threshold``, by block-max WAND."""
         eps = threshold - 1e-9
-        lists = [[0, t] for t in terms if self.docs[t]]  # (place in the list, term)
+        high = len(self.segments) if high is None else min(high, len(self.segments))
+        flat = maxima.reshape(len(maxima), -1)
+        lists = [[bisect_left(self.docs[t], low), t] for t in terms]  # (place in the list, term)
         out = []
-        while lists:
+        while True:
+            lists = [x for x in lists if x[0] < len(self.docs[x[1]]) and self.docs[x[1]][x[0]] < high]
             lists.sort(key=lambda x: self.docs[x[1]][x[0]])
             bound, pivot = 0.0, -1
             for k, (_, t) in enumerate(lists):
@@ -118,18 +154,9 @@ class Index:
             doc = self.docs[lists[pivot][1]][lists[pivot][0]]
             while pivot + 1 < len(lists) and self.docs[lists[pivot + 1][1]][lists[pivot + 1][0]] == doc:
                 pivot += 1
-            # the greatest score that the blocks around doc allow, and the last segment they speak for
-            bound, until = 0.0, math.inf
-            for at, t in lists[: pivot + 1]:
-                docs = self.docs[t]
-                block = at // POSTING_BLOCK
-                while block + 1 < len(self.block_max[t]) and docs[(block + 1) * POSTING_BLOCK - 1] < doc:
-                    block += 1
-                end = docs[min((block + 1) * POSTING_BLOCK, len(docs)) - 1]
-                if end >= doc:
-                    bound += self.block_max[t][block]
-                    until = min(until, end)
-            if bound >= eps:
+            # the greatest score that the block of doc allows, and the last segment that it speaks for
+            block = doc // BLOCK
+            if sum(float(flat[t, block]) for _, t in lists[: pivot + 1]) >= eps - 1e-5:
                 score = 0.0
                 for x in lists[: pivot + 1]:
                     docs = self.docs[x[1]]
@@ -141,7 +168,7 @@ class Index:
                 if score >= eps:
                     out.append((doc, score))
             else:
-                after = until + 1
+                after = (block + 1) * BLOCK
                 if pivot + 1 < len(lists):
                     after = min(after, self.docs[lists[pivot + 1][1]][lists[pivot + 1][0]])
                 after = max(after, doc + 1)
@@ -149,16 +176,14 @@ class Index:
                     docs = self.docs[x[1]]
                     while x[0] < len(docs) and docs[x[0]] < after:
                         x[0] += 1
-            lists = [x for x in lists if x[0] < len(self.docs[x[1]])]
-        return out
 
 
 def _bigrams(codes: list[int]) -> set[tuple[int, int]]:
     return set(zip(codes, codes[1:])) if len(codes) > 1 else {(c, c) for c in codes}
 
 
-def load_items(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text") -> list[list[Item]]:
-    """Items in groups of up to INDEX_WORDS words. Those with a null id or without words are left out; repeats count once."""
+def load_indexes(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text") -> list[Index]:
+    """Indexes of up to INDEX_WORDS words each, with statistics over all. Items with a null id or without words are left out; repeats count once."""
     rows = {(r["item_id"], r["text"]) for r in pick(benchmark, item_id=id_col, text=text_col).dropna().toLocalIterator()}
     groups: list[list[Item]] = [[]]
     total = 0
@@ -166,26 +191,26 @@ def load_items(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "t
         q, a = question_and_answer(text)
         if not q + a:
             continue
-        if total + len(q + a) > INDEX_WORDS:
+        if total + len(q + a) > INDEX_WORDS and groups[-1]:
             groups.append([])
             total = 0
         groups[-1].append(Item(item_id, q, a))
         total += len(q + a)
-    return groups
+    stats = Statistics.of([i for g in groups for i in g])
+    return [Index(g, stats) for g in groups]
 
 
-def scan(texts: pa.Array, index: Index, threshold: float, overlap: float) -> Iterator[tuple[int, int, float, float, float]]:
-    """(text, item, score, question overlap, answer overlap) of every verified item."""
-    offsets, words = split_words(texts)
-    if not len(words) or not index.terms:
-        return
-    coded = words.dictionary_encode()
-    own = normalise(coded.dictionary)
+def _codes(offsets: np.ndarray, coded: pa.DictionaryArray, own: pa.Array, index: Index) -> tuple[np.ndarray, np.ndarray]:
+    """(offsets of each text's words, the index's number of each word): what is only punctuation isn't a word."""
     code = pc.index_in(own, value_set=pa.array(index.terms, own.type))
-    code = pc.fill_null(code, len(index.terms)).to_numpy(zero_copy_only=False).astype(np.int64)
+    code = pc.fill_null(code, len(index.terms)).to_numpy(zero_copy_only=False).astype(np.int32)
     code = np.where(pc.equal(pc.binary_length(own), 0).to_numpy(zero_copy_only=False), -1, code)[coded.indices.to_numpy(zero_copy_only=False)]
-    word = code >= 0  # what is only punctuation isn't a word
-    offsets, code = np.r_[0, np.cumsum(word)][offsets], code[word]
+    word = code >= 0
+    return np.r_[0, np.cumsum(word)][offsets], code[word]
+
+
+def retrieve(offsets: np.ndarray, code: np.ndarray, index: Index, threshold: float) -> Iterator[tuple[int, int, int, list[tuple[int, float]]]]:
+    """(text, start, end, segments and scores) of every passage that some segment reaches the threshold for."""
     n = offsets[1:] - offsets[:-1]
     passages = np.where(n > PASSAGE, -(-(n - PASSAGE) // STRIDE) + 1, (n > 0).astype(np.int64))
     doc = np.repeat(np.arange(len(n)), passages)
@@ -193,26 +218,61 @@ def scan(texts: pa.Array, index: Index, threshold: float, overlap: float) -> Ite
     start = offsets[doc] + at * STRIDE
     end = np.minimum(start + PASSAGE, offsets[doc + 1])
     sums = np.r_[0, np.cumsum(index.top[code])]
-    other = len(index.terms)
-    found: dict[tuple[int, int], tuple[float, float, float]] = {}
-    for p in np.flatnonzero(sums[end] - sums[start] >= threshold - 1e-6).tolist():
-        terms = np.unique(code[start[p] : end[p]])
-        terms = terms[terms < other]
-        if index.top[terms].sum() < threshold - 1e-9:
+    some = np.flatnonzero(sums[end] - sums[start] >= threshold - 1e-6)
+    other, eps = len(index.terms), threshold - 1e-4  # the maxima are single precision
+    maxima = index.maxima()
+    larger = maxima.max(2)
+    step = max(1, min(QUERIES, (64 << 20) // (4 * PASSAGE * larger.shape[1])))
+    for a in range(0, len(some), step):
+        p = some[a : a + step]
+        place = start[p][:, None] + np.arange(PASSAGE)
+        terms = np.where(place < end[p][:, None], code[np.minimum(place, len(code) - 1)], other)
+        terms.sort(axis=1)
+        terms[:, 1:][terms[:, 1:] == terms[:, :-1]] = other
+        open_ = np.flatnonzero(index.top[terms].sum(1) >= threshold - 1e-6)
+        terms, p = terms[open_], p[open_]
+        row, block = np.nonzero(larger[terms].sum(1) >= eps)
+        blocks: dict[int, list[int]] = defaultdict(list)
+        for b in range(0, len(row), 8192):
+            r, k = row[b : b + 8192], block[b : b + 8192]
+            x, y = np.nonzero(maxima[terms[r], k[:, None]].sum(1) >= eps)
+            for i, j in zip(r[x].tolist(), (k[x] * LARGER + y).tolist()):
+                blocks[i].append(j)
+        for i, own in sorted(blocks.items()):
+            t = terms[i][terms[i] < other].tolist()
+            found = [hit for j in own for hit in index.search(t, threshold, maxima, j * BLOCK, (j + 1) * BLOCK)]
+            if found:
+                yield int(doc[p[i]]), int(start[p[i]]), int(end[p[i]]), found
+
+
+def scan(texts: pa.Array, indexes: list[Index], threshold: float, overlap: float) -> Iterator[tuple[int, object, float, float, float]]:
+    """(text, item id, score, question overlap, answer overlap) of every verified item, the texts in order for each index."""
+    all_offsets, words = split_words(texts)
+    if not len(words):
+        return
+    coded = words.dictionary_encode()
+    own = normalise(coded.dictionary)
+    for index in indexes:
+        if not index.terms:
             continue
-        for s, score in index.search(terms.tolist(), threshold):
-            item = index.segments[s]
-            questions, answers = index.pairs[item]
-            reach = len(index.items[item].question) + len(index.items[item].answer)
-            d = int(doc[p])
-            around = code[max(offsets[d], start[p] - reach) : min(offsets[d + 1], end[p] + reach)].tolist()
-            here = set(zip(around, around[1:])) | {(c, c) for c in around}
-            q = len(questions & here) / len(questions) if questions else 1.0
-            a = len(answers & here) / len(answers) if answers else 1.0
-            if q >= overlap and a >= overlap and (q + a, score) > (sum(found.get((d, item), (0, -1, 0))[1:]), found.get((d, item), (0, 0, 0))[0]):
-                found[d, item] = (score, q, a)
-    for (d, item), (score, q, a) in sorted(found.items()):
-        yield d, item, round(min(score, 1.0), 6), round(q, 6), round(a, 6)
+        offsets, code = _codes(all_offsets, coded, own, index)
+        if not len(code):
+            return
+        best: dict[tuple[int, int], tuple[float, float, float]] = {}
+        for d, start, end, hits in retrieve(offsets, code, index, threshold):
+            for s, score in hits:
+                item = index.segments[s]
+                questions, answers = index.pairs[item]
+                reach = len(index.items[item].question) + len(index.items[item].answer)
+                around = code[max(offsets[d], start - reach) : min(offsets[d + 1], end + reach)].tolist()
+                here = set(zip(around, around[1:])) | {(c, c) for c in around}
+                q = len(questions & here) / len(questions) if questions else 1.0
+                a = len(answers & here) / len(answers) if answers else 1.0
+                old = best.get((d, item), (0.0, -1.0, 0.0))
+                if q >= overlap and a >= overlap and (q + a, score) > (old[1] + old[2], old[0]):
+                    best[d, item] = (score, q, a)
+        for (d, item), (score, q, a) in sorted(best.items()):
+            yield d, index.items[item].item_id, round(min(score, 1.0), 6), round(q, 6), round(a, 6)
 
 
 def find(documents: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.4, overlap: float = 0.6) -> DataFrame:
@@ -220,26 +280,25 @@ def find(documents: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", tex
 
     Words are compared in lower case without punctuation at their ends. Null or empty texts
     contain nothing; repeated rows give repeated results; a null doc_id stays null; an empty
-    benchmark gives an empty result; extra columns are dropped. No shuffle: the index,
-    whose size INDEX_WORDS bounds, is broadcast, and the texts are read once for each index.
+    benchmark gives an empty result; extra columns are dropped. No shuffle: up to INDEXES
+    indexes of INDEX_WORDS words are broadcast to a pass over the texts.
     """
-    spark = documents.sparkSession
-    docs = pick(documents, doc_id=id_col, text=text_col)
-    kinds = docs.schema["doc_id"].dataType.simpleString(), benchmark.schema["item_id"].dataType.simpleString()
     from pyspark.sql.pandas.types import to_arrow_type
 
-    item_type = to_arrow_type(benchmark.schema["item_id"].dataType)
-    out = None
-    for items in load_items(benchmark):
-        shared = spark.sparkContext.broadcast(Index(items))
+    spark = documents.sparkSession
+    docs = pick(documents, doc_id=id_col, text=text_col)
+    item = pick(benchmark, item_id="item_id").schema["item_id"].dataType
+    kinds, item_type = (docs.schema["doc_id"].dataType.simpleString(), item.simpleString()), to_arrow_type(item)
+    indexes, out = load_indexes(benchmark), None
+    for a in range(0, len(indexes), INDEXES):
+        shared = spark.sparkContext.broadcast(indexes[a : a + INDEXES])
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            index = shared.value
             for batch in slices(batches):
-                rows = list(scan(batch.column("text"), index, threshold, overlap))
+                rows = list(scan(batch.column("text"), shared.value, threshold, overlap))
                 d, i, s, q, a = zip(*rows) if rows else ((), (), (), (), ())
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").take(pa.array(d, pa.int64())), pa.array([index.items[x].item_id for x in i], item_type), *(pa.array(x, pa.float64()) for x in (s, q, a))],
+                    [batch.column("doc_id").take(pa.array(d, pa.int64())), pa.array(i, item_type), *(pa.array(x, pa.float64()) for x in (s, q, a))],
                     ["doc_id", "item_id", "score", "question_overlap", "answer_overlap"],
                 )
 
@@ -248,17 +307,17 @@ def find(documents: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", tex
     return out
 
 
-def drop_contaminated(documents: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """The documents that hold no item; all columns. Documents with a null id stay unless their own text holds one.
+def drop_contaminated(documents: DataFrame, benchmark: DataFrame, text_col: str = "text", threshold: float = 0.4, overlap: float = 0.6) -> DataFrame:
+    """The documents that hold no item; all columns.
 
-    Decided row by row in the scan, so rows of equal id don't decide for each other.
+    Decided row by row in the scan, so rows of equal id, or of none, don't decide for each other.
     """
     flat = documents.toDF(*[f"_c{i}" for i in range(len(documents.columns))])
     schema = flat.schema
-    text = f"_c{documents.columns.index(options.pop('text_col', 'text'))}"
-    threshold, overlap = options.pop("threshold", 0.4), options.pop("overlap", 0.6)
-    for items in load_items(benchmark):
-        shared = documents.sparkSession.sparkContext.broadcast(Index(items))
+    text = f"_c{documents.columns.index(text_col)}"
+    indexes = load_indexes(benchmark)
+    for a in range(0, len(indexes), INDEXES):
+        shared = documents.sparkSession.sparkContext.broadcast(indexes[a : a + INDEXES])
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             for batch in slices(batches, text):
