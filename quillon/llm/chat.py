@@ -51,7 +51,9 @@ def render(messages: DataFrame) -> DataFrame:
 
 def format_conversations(df: DataFrame) -> DataFrame:
     """``render(fold(df))``. A table without ``kind`` has whole messages, one without ``seq`` is in turn order."""
+    have = {c: c for c in ("conv_id", "seq", "kind", "turn", "role", "text") if c in df.columns}
+    own = pick(df, **have)
     for name, value in (("kind", F.lit("message")), ("seq", F.col("turn"))):
-        if name not in df.columns:
-            df = df.withColumn(name, value)
-    return render(fold(df))
+        if name not in have:
+            own = own.withColumn(name, value)
+    return render(fold(own))

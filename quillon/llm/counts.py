@@ -226,8 +226,8 @@ class Merger:
         out = np.zeros(n, np.int8)
         first = np.flatnonzero(starts)
         # a lane begins at the first pre-token of each chunk
-        begin = first[np.unique(np.searchsorted(first, np.arange(0, n, lane)))[: len(first)]] if len(first) else first
-        begin = np.unique(begin[begin < n])
+        at = np.unique(np.searchsorted(first, np.arange(0, n, lane)))
+        begin = first[at[at < len(first)]]
         stop = np.r_[begin[1:], n]
         order = np.argsort(begin - stop, kind="stable")  # the longest first: lanes that are done fall off the end
         begin, length = begin[order], (stop - begin)[order]

@@ -169,10 +169,12 @@ class Graph:
                 shapes.append(own)
                 left, at = _left_word(text, a)
                 use = {n for n, p in _CONTEXT if p.fullmatch(left)} | own | {"bias"}
+                chained = False
                 if _CONTEXT[0][1].fullmatch(_left_word(text, at)[0]):
                     use.add("second_after_secret")
                 if k and not text[spans[k - 1][1] : a].strip(_SPACE) and "\n" not in text[spans[k - 1][1] : a]:
                     chain.append((node - 1, node))
+                    chained = True
                     before = shapes[k - 1]
                     use.add("left_chained")
                     cols += [_AT[n] for n in ("right_chained",)]
@@ -199,7 +201,7 @@ class Graph:
                     run = 0
                 key = _content(core)
                 if len(key) >= 5:
-                    if key in seen and seen[key] != node - 1:
+                    if key in seen and not (chained and seen[key] == node - 1):
                         skip.append((seen[key], node))
                     seen[key] = node
                 rows += [node] * len(use)

@@ -115,7 +115,7 @@ def _grow(x: np.ndarray, g: np.ndarray, h: np.ndarray, rows: np.ndarray, path: t
 
 
 def fit(x: np.ndarray, y: np.ndarray, trees: int = 30, depth: int = 3, penalty: float = 0.002, steps: int = 400, seed: int = 7) -> RuleModel:
-    """Rules of boosted trees under lasso logistic weights. With one class only, or no rows, the model keeps everything."""
+    """Rules of boosted trees under lasso logistic weights. With one class only, or too few rows, the model keeps everything."""
     if not len(y) or y.min() == y.max():
         return RuleModel(10.0)
     rng = np.random.default_rng(seed)
@@ -129,6 +129,8 @@ def fit(x: np.ndarray, y: np.ndarray, trees: int = 30, depth: int = 3, penalty:
         _grow(x, y - p, p * (1 - p), rows, (), depth, cuts, rules, step, 0.3)
         z += step
     names = list(rules)
+    if not names:  # too few rows for any split
+        return RuleModel(10.0)
     m = np.stack([_holds(x, r) for r in names], 1).astype(np.float64)
     used = (m.mean(0) > 0.001) & (m.mean(0) < 0.999)
     names, m = [r for r, u in zip(names, used) if u], m[:, used]
