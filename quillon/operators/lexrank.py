@@ -79,7 +79,9 @@ def lexrank(df: DataFrame, threshold: float | None = None, id_col: str = "doc_id
         for frame in frames:
             for doc, own in zip(frame["id"], frame["s"]):
                 own = [] if own is None else [x or "" for x in own]
-                score = centrality(sentence_similarity(own), threshold) if own else np.zeros(0)
+                if not own:
+                    continue
+                score = centrality(sentence_similarity(own), threshold)
                 yield pd.DataFrame({"id": pd.Series([doc] * len(own), dtype=frame["id"].dtype), "sent_no": np.arange(len(own), dtype=np.int32), "score": np.round(score, 9), "sentence": own})
 
     return df.select(F.col(id_col).alias("id"), F.col(sentences_col).alias("s")).mapInPandas(run, f"id {kind}, sent_no int, score double, sentence string").withColumnRenamed("id", id_col)

@@ -54,7 +54,8 @@ def annotate(df: DataFrame, annotator: Callable[[], Callable[[str], list[tuple[s
                     if on_error == "raise":
                         raise
                     out.append((f"{doc}_0", "", f"{type(e).__name__}: {e}"))
-            yield pd.DataFrame(out, columns=["sent_id", "text", "error"])
+            if out:
+                yield pd.DataFrame(out, columns=["sent_id", "text", "error"])
 
     return df.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text")).mapInPandas(run, "sent_id string, text string, error string")
 

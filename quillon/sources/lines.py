@@ -63,6 +63,8 @@ def read_lines(spark: SparkSession, path: str, start: int | None = None, end: in
                 data = bytes(data)
                 lines = data.decode(encoding or guess_encoding(data), "backslashreplace").splitlines()[start:end]
                 first = start or 0
+                if not lines:
+                    continue
                 yield pd.DataFrame({"path": [p] * len(lines), "line_no": range(first, first + len(lines)), "text": [x.strip() for x in lines]})
 
     return files.select("path", "content").mapInPandas(run, "path string, line_no long, text string")
@@ -80,10 +82,11 @@ def blocks(df: DataFrame, function: Callable[[list[str]], list[str]], size: int
         for f in frames:
             held += f["text"].tolist()
             while len(held) >= size:
-                yield pd.DataFrame({"text": function(held[:size])})
+                if out := function(held[:size]):
+                    yield pd.DataFrame({"text": out})
                 held = held[size:]
-        if held:
-            yield pd.DataFrame({"text": function(held)})
+        if held and (out := function(held)):
+            yield pd.DataFrame({"text": out})
 
     return df.select(F.col(text_col).alias("text")).mapInPandas(run, "text string")
 
