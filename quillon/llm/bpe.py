@@ -218,9 +218,12 @@ def encode_texts(bpe: Bpe, texts: list[str | None]) -> tuple[np.ndarray, np.ndar
     """(ids of all texts, offsets of each text's ids). A null text has no ids."""
     code: defaultdict[str, int] = defaultdict()
     code.default_factory = code.__len__
-    pieces = [pre_tokens(t) if t else [] for t in texts]
-    counts = [0, *map(len, pieces)]
-    all_codes = np.fromiter(map(code.__getitem__, chain.from_iterable(pieces)), np.int64, sum(counts))
+    codes, counts = [np.zeros(0, np.int32)], [0]
+    for t in texts:  # a text's pre-tokens are dropped as soon as they have their numbers
+        pieces = pre_tokens(t) if t else []
+        codes.append(np.fromiter(map(code.__getitem__, pieces), np.int32, len(pieces)))
+        counts.append(len(pieces))
+    all_codes = np.concatenate(codes)
     flat, starts = bpe.encode_pieces([p.encode() for p in code])
     lengths = (starts[1:] - starts[:-1])[all_codes] if len(code) else np.zeros(0, np.int64)
     ids = flat[repeat_ranges(starts[all_codes], lengths)] if len(all_codes) else np.zeros(0, np.int32)
@@ -241,7 +244,7 @@ def encode(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabu
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = tables.value
-        for batch in slices(batches, limit=16 << 20):
+        for batch in slices(batches):
             texts = batch.column("text")
             ids, offsets = encode_texts(bpe, texts.to_pylist())
             back, ends = bpe.decode_bytes(ids, offsets)
