@@ -47,5 +47,5 @@ STOP_TAG_PAIRS = frozenset(
 #: Single words that such a dictionary leaves out, in lower case.
 STOP_PAIR_WORDS = frozenset("id im wed were weve ive i thats that youd youre youve".split())
 
-PUNCTUATION_TAGS = frozenset(". , : ; ? ! LRB RRB SQT EQT HYPH NFP 'S `` '' ` ' \" ( ) [ ] { }".split()) | {f"-{side}{kind}B-" for side in "LR" for kind in "RSC"}
+PUNCTUATION_TAGS = frozenset("SQT NFP LRB ! HYPH ? EQT ; RRB : , . 'S `` '' ` ' \" ( ) [ ] { }".split()) | {f"-{side}{kind}B-" for side in "LR" for kind in "RSC"}
 ENTITY_TAGS = frozenset("DATE TIME DURATION SET MONEY NUMBER ORDINAL PERCENT PERSON LOCATION ORGANIZATION MISC".split())
