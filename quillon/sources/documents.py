@@ -229,14 +229,15 @@ def pdf_text(data: bytes, start: int | None = None, end: int | None = None) -> s
     return re.sub(r"\s+", " ", "".join(out)).strip()
 
 
-def external(command: Sequence[str], suffix: str, out_suffix: str = ".txt", timeout: float = 600) -> Decoder:
+def external(command: Sequence[str], suffix: str, folder: str, out_suffix: str = ".txt", timeout: float = 600) -> Decoder:
     """A decoder that runs a program on a file; ``{in}`` and ``{dir}`` in its arguments stand for the file and the folder of its output.
 
     For word processors' files and character recognition: the program has to be on the executors.
+    ``folder`` is one that all executors can write to; each record has its own in it while it is decoded.
     """
 
     def decode(data: bytes) -> str:
-        with tempfile.TemporaryDirectory() as d:  # one record's own file, gone when it is decoded
+        with tempfile.TemporaryDirectory(dir=folder) as d:
             source = Path(d, "in" + suffix)
             source.write_bytes(data)
             done = subprocess.run([a.replace("{in}", str(source)).replace("{dir}", d) for a in command], capture_output=True, timeout=timeout, check=True)

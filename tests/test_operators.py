@@ -519,6 +519,12 @@ def test_read_documents(spark, tmp_path):
     assert got["a.html"].text == "hi" and got["d.up"].text == "Q" and got["b.xyz"].text is None and got["c.xml"].error.startswith("ParseError")
 
 
+def test_external_decoder(tmp_path):
+    upper = documents.external(["sh", "-c", "tr a-z A-Z < {in} > {dir}/in.txt"], ".doc", str(tmp_path))
+    assert upper(b"some  text") == "SOME TEXT" and not list(tmp_path.iterdir())
+    assert documents.external(["cat", "{in}"], ".doc", str(tmp_path))(b"x\n y") == "x y"
+
+
 def test_stream_resumes(spark, tmp_path):
     (tmp_path / "in").mkdir()
     (tmp_path / "in" / "a.txt").write_text("x y\nz\n")
