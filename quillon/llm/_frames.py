@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import tempfile
 from collections.abc import Iterator
@@ -50,6 +51,14 @@ def slices(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = S
         starts = np.flatnonzero(np.r_[True, part[1:] != part[:-1]])
         for a, b in zip(starts, np.r_[starts[1:], batch.num_rows]):
             yield batch.slice(int(a), int(b - a))
+            give_back()
+
+
+def give_back() -> None:
+    """Return freed memory to the system: Python workers live on from task to task, beside each other and the JVM."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # glibc has it
+        trim(0)
 
 
 def split_words(texts: pa.Array, lower: bool = False) -> tuple[np.ndarray, pa.Array]:

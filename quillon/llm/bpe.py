@@ -244,7 +244,7 @@ def encode(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabu
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = tables.value
-        for batch in slices(batches):
+        for batch in slices(batches, limit=3 << 20):
             texts = batch.column("text")
             ids, offsets = encode_texts(bpe, texts.to_pylist())
             back, ends = bpe.decode_bytes(ids, offsets)
