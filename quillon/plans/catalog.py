@@ -86,6 +86,12 @@ def without_stopwords(spark, sf_dir):
     return _docs(spark, sf_dir).where("lang = 'en'").select("doc_id", T.drop_words(T.tokens("text"), lexicons.STOPWORDS).alias("tokens"))
 
 
+@_query()
+def all_without_stopwords(spark, sf_dir):
+    """Texts of all languages. No SQL: upper() of the engines differs on letters like the ligature ff."""
+    return _docs(spark, sf_dir).select("doc_id", T.drop_words(T.tokens("text"), lexicons.STOPWORDS).alias("tokens"))
+
+
 @_query(r"SELECT doc_id, regexp_replace(text, '\s+', ' ', 'g') AS text FROM documents")
 def one_line(spark, sf_dir):
     return _docs(spark, sf_dir).select("doc_id", T.one_line("text").alias("text"))

@@ -17,6 +17,7 @@ from quillon.functions import lexicons, limits, similarity
 from quillon.functions import text as T
 from quillon.operators import annotated as A
 from quillon.operators import classify, language, lexrank, matching, ngrams, phrases, scoring, segment, sentences, tokens, topics, vectors, windows
+from quillon.plans import catalog
 from quillon.sources import dictionaries, documents, lines
 from quillon.streaming import lines as stream
 
@@ -55,6 +56,15 @@ def test_similarity_weights(spark):
     assert np.allclose(got, [1 / math.log(2), 1 / math.log(11), 1 / math.log(101)])
 
 
+def test_stop_words_of_all_languages(spark, tmp_path):
+    """Every document has a row; words are dropped as plain Python would."""
+    rows = [(1, "en", "The bank IS here"), (2, "fr", "Été à la forêt THE où"), (3, "de", "daß An ﬀ Über o\ufb00 maß"), (4, "zz", "и the は Δεν ıt ıs"), (5, None, "so née"), (6, "es", ""), (7, "es", None)]
+    spark.createDataFrame(rows, "doc_id long, lang string, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r.tokens for r in catalog.queries()["all_without_stopwords"](spark, str(tmp_path)).collect()}
+    assert got == {i: None if t is None else [w for w in t.split() if w.upper() not in lexicons.STOPWORDS_UPPER] for i, _, t in rows}
+    assert got[3] == ["daß", "ﬀ", "Über", "maß"] and got[4] == ["и", "は", "Δεν"]
+
+
 def test_word_lists():
     assert len(lexicons.STOPWORDS_UPPER) == 121 and len(lexicons.STOPWORDS) == 242 and len(lexicons.ENTITY_TAGS) == 12
     assert ("IN", "DT") in lexicons.STOP_TAG_PAIRS and ("NN", "DT") not in lexicons.STOP_TAG_PAIRS
