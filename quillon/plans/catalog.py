@@ -574,10 +574,9 @@ def document_topics(spark, sf_dir):
 
 @_query()
 def joined_letters(spark, sf_dir):
-    """Spaced words of all texts, joined by the commonest words of the corpus."""
+    """Spaced words of all texts, joined by all words of the corpus."""
     docs = _docs(spark, sf_dir)
-    words = [r["word"] for r in tokens.document_frequency(docs).where(r"word rlike '^\\p{L}+$'").orderBy(F.desc("df"), "word").limit(10_000).collect()]
-    return segment.join_letters(docs.select("doc_id", "text"), words)
+    return segment.join_corpus_letters(docs.select("doc_id", "text"), tokens.document_frequency(docs).where(r"word rlike '^\\p{L}+$'"))
 
 
 # sources and batches

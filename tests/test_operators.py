@@ -436,6 +436,25 @@ def test_word_vectors(spark):
     assert a == b and {r.word for r in a} <= set(VOCAB) and len(a[0].vector) == 8
 
 
+def test_letters_joined_by_all_words(spark, tmp_path):
+    """Words beyond the 10,000 commonest are joined too, by the ranks that a plain sort gives."""
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    many = sorted({"".join(R.choice(letters) for _ in range(6)) for _ in range(10_500)})
+    rows = [(0, " ".join(many)), (1, " ".join(many)), (2, "zebraish the forêt"), (3, "the"), (4, "a z e b r a i s h b"), (5, "x t h e f o r ê t x"), (6, None)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = texts(catalog.queries()["joined_letters"](spark, str(tmp_path)))
+    df = {}
+    for _, t in rows:
+        for w in set((t or "").split()):
+            df[w] = df.get(w, 0) + 1
+    order = sorted((w for w in df if w.isalpha()), key=lambda w: (-df[w], w.encode()))
+    whole = segment.Words(order)
+    assert order.index("zebraish") > 10_000 and "zebraish" in got[4].split() and "forêt" in got[5].split()
+    assert got == {i: None if t is None else whole.join_letters(t) for i, t in rows}
+    counts = spark.createDataFrame(list(df.items()), "word string, df long").where("word rlike '^\\\\p{L}+$'")
+    assert {r.word: r["rank"] for r in segment.ranked(counts, counts.select("word")).collect()} == {w: i for i, w in enumerate(order)}
+
+
 def test_letters_joined(spark):
     words = "the a market salary make lowing will falls".split()
     w = segment.Words(words)
