@@ -1,7 +1,8 @@
 """Operator 2: personal data and secrets by a skip-chain conditional random field.
 
-Nodes are the pieces between white space that can be part of an entity: those with a
-digit, ``@``, ``=`` or a long run of capitals. Every other piece can only be "no entity"
+Nodes are the pieces between white space, or between separators where a piece has no
+shape as it is, that can be part of an entity: those with a digit, ``@``, ``=`` or a
+long run of capitals. Every other piece can only be "no entity"
 (a structural zero of the model), so no message passes through it, and leaving it out
 of the graph is exact. Edges join neighbouring pieces (the chain) and, across the whole
 document, each piece with the next one of the same content (the skip edges, with a
@@ -25,6 +26,7 @@ from quillon.llm._frames import pick, slices
 LABELS = ("O", "EMAIL", "PHONE", "IP", "CARD", "ID", "SECRET")
 _HIT = re.compile(r"[0-9@=]|[A-Z]{12}")
 _SPACE = " \t\n\r\x0b\x0c"
+_LONG = re.compile(f"[^{_SPACE}]{{25}}")
 _SECRET = r"(?:pass(?:word|wd|phrase)?|pwd|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|key|auth|bearer|credential)s?"
 _EDGES = ".,;:!?\"'<>[]{}«»„“”*|`~"
 #: Signs that, repeated at an end, are ornament.
@@ -82,6 +84,42 @@ FEATURES = [*(n for n, _ in _SHAPES), *(n for n, _ in _CONTEXT), *_EXTRA]
 _AT = {n: i for i, n in enumerate(FEATURES)}
 
 
+#: Letters of scripts without spaces, and full-width signs: always between pieces.
+_FOREIGN = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u2e80-\u9fff\uac00-\ud7af\uf900-\ufaff\uff01-\uff0f\uff1a-\uff20\uff3b-\uff40\uff5b-\uffef\U00020000-\U0003ffff"
+#: Separators, the weaker ones last; a piece is cut at those of a level only if it has no shape as it is. Parentheses of an area code stay.
+_CUTS = tuple(re.compile(p) for p in (f"[{_FOREIGN}]+", r"""[,;{}"'<>|&?!`«»„“”\\\[\]*]+""", r"[=:/]+", r"(?:\((?!\d{2,4}\))|(?<!\(\d\d)(?<!\(\d{3})(?<!\(\d{4})\))+"))
+#: Another named value behind the first.
+_NEXT_NAME = re.compile(r"""[,;&|}]["'{\[]*[A-Za-z_][\w.-]{0,40}["']*[=:]""")
+#: Shapes for which a piece is cut. A long piece without one is a secret as a whole.
+_OWN = {"email", "ip", "full_number", "ssn", "iban", "card_grouped", "digits_13_19", "secret_value"}
+_SIGNS = re.compile(rf"[{_FOREIGN}\s,;{{}}\"'<>|&?!`«»„“”\\\[\]*=:/()]")
+
+
+def _shapes(core: str) -> set[str]:
+    return {n for n, p in _SHAPES if p.fullmatch(core)}
+
+
+def _cut(text: str, a: int, b: int, level: int = 0) -> list[tuple[int, int]]:
+    """The parts of text[a:b] that can be an entity of their own; all of it where it has a shape or no part has one of ``_OWN``."""
+    a2, b2 = _core(text, a, b)
+    if level:
+        own = _shapes(text[a2:b2])
+        if level == len(_CUTS) or own - {"secret_value"} or own and not _NEXT_NAME.search(text, a2, b2):
+            return [(a, b)]
+    out: list[tuple[int, int]] = []
+    at = a2
+    for m in (*_CUTS[level].finditer(text, a2, b2), None):
+        end = m.start() if m else b2
+        if m is None and at == a2:
+            return _cut(text, a, b, level + 1)
+        if _HIT.search(text, at, end):
+            out += _cut(text, at, end, level + 1)
+        at = m.end() if m else end
+    if not out or level and not any(_shapes(text[slice(*_core(text, *x))]) & _OWN for x in out):
+        return [(a, b)]
+    return out
+
+
 def _bounds(text: str, i: int) -> tuple[int, int]:
     a = b = i
     while a and text[a - 1] not in _SPACE:
@@ -97,13 +135,20 @@ def pieces(text: str) -> list[tuple[int, int]]:
     out = []
     i = 0
     while m := _HIT.search(text, i):
-        out.append(_bounds(text, m.start()))
-        i = out[-1][1]
+        a, i = _bounds(text, m.start())
+        out += _cut(text, a, i)
     return out
 
 
 def _left_word(text: str, start: int) -> tuple[str, int]:
     b = start
+    if b and text[b - 1] not in _SPACE:  # cut from what is before it
+        while b and start - b < 40 and _SIGNS.match(text[b - 1]):
+            b -= 1
+        a = b
+        while a and b - a < 40 and not _SIGNS.match(text[a - 1]):
+            a -= 1
+        return text[a:b], a
     while b and text[b - 1] in _SPACE:
         b -= 1
     a = b
@@ -160,14 +205,16 @@ class Graph:
                 node = base + k
                 a2, b2 = _core(text, a, b)
                 core = text[a2:b2]
-                own = {n for n, p in _SHAPES if p.fullmatch(core)} if len(core) <= 4096 else set()
-                if len(core) > 24:
+                own = _shapes(core)
+                left, at = _left_word(text, a)
+                glued = a and text[a - 1] not in _SPACE or b < len(text) and text[b] not in _SPACE
+                named = "secret_value" in own or glued and _CONTEXT[0][1].fullmatch(left)
+                if len(core) > 24 or glued and named and _LONG.match(text, _bounds(text[a - 25 : a], 25)[0] + a - 25 if a >= 25 else _bounds(text[:a], a)[0]):  # a secret cut from a long piece
                     own.add("length_24")
                 if own & {"digits_13_19", "card_grouped"}:
                     plain = core.replace("-", "")
                     own.add("check_digit_right" if plain.isascii() and _luhn(plain) else "check_digit_wrong")
                 shapes.append(own)
-                left, at = _left_word(text, a)
                 use = {n for n, p in _CONTEXT if p.fullmatch(left)} | own | {"bias"}
                 chained = False
                 if _CONTEXT[0][1].fullmatch(_left_word(text, at)[0]):
@@ -295,7 +342,7 @@ def entities(texts: list[str | None], p: dict[str, np.ndarray]) -> list[list[tup
             at = text.find("=", a, b - 1)
             if b - a == 1 and text[a] == "=":
                 continue
-            if at >= 0:
+            if at >= 0 and text[at:b].strip("="):  # else it's padding at the end
                 a, b = _core(text, at + 1, b)
                 if a >= b:
                     continue
