@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillon.operators.scoring import _small
+
 RESULTS = ("max", "max_prob", "all", "all_prob")
-#: N-grams of a model that one broadcast holds.
-MODEL_ROWS = 20_000
 
 
 def _grams(text: Column, n: int) -> Column:
@@ -16,17 +16,21 @@ def _grams(text: Column, n: int) -> Column:
     return F.regexp_extract_all(own, F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1))
 
 
-def fit(df: DataFrame, text_col: str = "text", lang_col: str = "lang", n: int = 2, rows: int = MODEL_ROWS) -> DataFrame:
-    """``lang, gram, log_p``: smoothed log likelihoods of the ``rows`` commonest n-grams of the corpus for each language.
+def fit(df: DataFrame, text_col: str = "text", lang_col: str = "lang", n: int = 2, rows: int | None = None) -> DataFrame:
+    """``lang, gram, log_p``: smoothed log likelihoods of the corpus's n-grams for each language; ``rows`` keeps the commonest only.
 
-    ``gram`` null holds what an unseen n-gram costs. ``rows`` bounds the model, which is what makes it small enough to broadcast.
+    ``gram`` null holds what an unseen n-gram costs.
     """
     counted = df.where(F.col(lang_col).isNotNull()).select(F.col(lang_col).alias("lang"), F.explode(_grams(F.col(text_col), n)).alias("gram")).groupBy("lang", "gram").agg(F.count("*").alias("n"))
-    kept = counted.groupBy("gram").agg(F.sum("n").alias("all")).orderBy(F.desc("all"), "gram").limit(rows).select("gram")
-    counted = counted.join(F.broadcast(kept), "gram")
+    if rows is not None:
+        kept = counted.groupBy("gram").agg(F.sum("n").alias("all")).orderBy(F.desc("all"), "gram").limit(rows).select("gram")
+        counted = counted.join(_small(kept), "gram")
     total = counted.groupBy("lang").agg(F.sum("n").alias("total"), F.count("*").alias("v"))
-    p = counted.join(F.broadcast(total), "lang").select("lang", "gram", F.log((F.col("n") + 0.5) / (F.col("total") + 0.5 * rows)).alias("log_p"))
-    return p.unionByName(total.select("lang", F.lit(None).cast("string").alias("gram"), F.log(0.5 / (F.col("total") + 0.5 * rows)).alias("log_p")))
+    size = F.lit(rows) if rows is not None else F.col("size")
+    if rows is None:
+        total = total.crossJoin(F.broadcast(counted.select("gram").distinct().agg(F.count("*").alias("size"))))  # one row
+    p = counted.join(F.broadcast(total), "lang").select("lang", "gram", F.log((F.col("n") + 0.5) / (F.col("total") + 0.5 * size)).alias("log_p"))
+    return p.unionByName(total.select("lang", F.lit(None).cast("string").alias("gram"), F.log(0.5 / (F.col("total") + 0.5 * size)).alias("log_p")))
 
 
 def detect(df: DataFrame, model: DataFrame, result: str = "max", n: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -39,7 +43,7 @@ def detect(df: DataFrame, model: DataFrame, result: str = "max", n: int = 2, id_
     grams = df.select(F.col(id_col), F.explode(_grams(F.col(text_col), n)).alias("gram")).groupBy(id_col, "gram").agg(F.count("*").alias("n"))
     unseen = model.where("gram is null").select("lang", F.col("log_p").alias("low"))
     wide = model.where("gram is not null").groupBy("gram").agg(F.map_from_entries(F.collect_list(F.struct("lang", "log_p"))).alias("p"))
-    hits = grams.join(F.broadcast(wide), "gram").crossJoin(F.broadcast(unseen))  # the model is bounded by fit; unseen: a row a language
+    hits = grams.join(_small(wide), "gram").crossJoin(F.broadcast(unseen))  # unseen: a row a language
     score = hits.groupBy(id_col, "lang").agg(F.sum(F.col("n") * F.coalesce(F.element_at("p", F.col("lang")), F.col("low"))).alias("s"))
     every = score.groupBy(id_col).agg(F.collect_list(F.struct("s", "lang")).alias("x"))
     every = every.withColumn("top", F.array_max(F.transform("x", lambda v: v["s"])))

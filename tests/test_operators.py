@@ -404,6 +404,19 @@ def test_language_held_out(spark):
         language.detect(df, model, "best")
 
 
+def test_language_of_many_characters(spark):
+    """A model of more than 20,000 n-grams keeps those of the rare language."""
+    wide = [chr(0x4E00 + i) for i in range(20_500)]
+    rows = [(i, "".join(wide[i * 500 : i * 500 + 500]) * 2, "zh") for i in range(41)] + [(100, "ξένος λόγος", "el")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language.fit(df)
+    assert model.where("gram is not null").select("gram").distinct().count() > 20_000
+    total, size = len("ξένος λόγος") + 1, model.where("gram is not null").select("gram").distinct().count()
+    assert abs(model.where("lang = 'el' and gram = 'ος'").first().log_p - math.log(2.5 / (total + size / 2))) < 1e-9
+    got = {r.doc_id: r.languages for r in language.detect(df, model).collect()}
+    assert got[100] == "el" and all(got[i] == "zh" for i in range(41))
+
+
 def test_lexrank(spark):
     m = np.array([[1, 0.5, 0.2], [0.5, 1, 0.1], [0.2, 0.1, 1]])
     p = m / m.sum(1, keepdims=True)
