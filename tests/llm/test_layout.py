@@ -93,8 +93,7 @@ def test_fold_against_events_in_order(spark):
     rng.shuffle(events)
     schema = "conv_id long, seq long, kind string, turn long, role string, text string"
     got = {tuple(r) for r in chat.fold(spark.createDataFrame(events, schema)).collect()}
-    keep_role = lambda rows: {(c, t, x) for c, t, _, x in rows}
-    assert keep_role(got) == keep_role(slow_fold(events))
+    assert got == slow_fold(events)
 
 
 def test_render(spark):
@@ -125,15 +124,10 @@ def test_stages_against_brute_force(spark, tables):
     original = {r.doc_id: r for r in before.collect()}
     model = quality.train(before, spark.read.parquet(f"{sf}/labels.parquet"))
     assert set(seen["quality"]) == {r.doc_id for r in quality.score(before, model).where("keep").collect()}
-    from tests.llm.test_search import brute_pairs
-
-    own = [(d, r.text) for d, r in seen["quality"].items()]
-    leader = {d: d for d, _ in own}
-    pairs = brute_pairs(own, 0.5)
-    for _ in range(50):
-        for a, b in pairs:
-            leader[a] = leader[b] = min(leader[a], leader[b])
-    want = {d for d in leader if leader[d] == d}
+    from tests.llm.test_search import brute_classes
+
+    leader = brute_classes([(d, r.text) for d, r in seen["quality"].items()], 0.5)[1]
+    want = {x[0] for x, y in leader.items() if x == y}
     assert len(want ^ set(seen["near_duplicates"])) <= 2
     held = {r.doc_id for r in decontam.find(before, spark.read.parquet(f"{sf}/benchmark.parquet")).collect()}
     assert set(seen["decontamination"]) == set(seen["near_duplicates"]) - held

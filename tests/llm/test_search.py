@@ -10,7 +10,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from quillon.llm import decontam, ngram_join, simhash
+from quillon.llm import _frames, decontam, ngram_join, simhash
 from tests.llm.conftest import prose
 
 
@@ -39,47 +39,80 @@ def copies(spark):
     return rows
 
 
-def brute_pairs(rows, threshold):
-    sets = {d: grams(t) for d, t in rows if grams(t)}
-    least = {}
-    for d in sorted(sets):
-        least.setdefault(sets[d], d)
-    out = {(least[s], d) for d, s in sets.items() if least[s] != d}
-    for a, b in combinations(sorted(least.values()), 2):
-        both = len(sets[a] & sets[b])
-        if both / (len(sets[a]) + len(sets[b]) - both) >= threshold:
-            out.add((a, b))
-    return out
+def brute_classes(rows, threshold):
+    """By (id, set): (class, links, greatest similarity); and the least (id, set) of each class."""
+    sets = {}
+    for d, t in rows:
+        if t and grams(t):
+            sets[d, grams(t)] = None
+    own = list(sets)
+    order = lambda x: (x[0] is None, x[0] or 0)
+    leader = {x: x for x in own}
+    links, best = Counter(), Counter()
+    edges = []
+    for a, b in combinations(own, 2):
+        both = len(a[1] & b[1])
+        j = both / (len(a[1]) + len(b[1]) - both)
+        if j >= threshold:
+            edges.append((a, b))
+            for x in (a, b):
+                links[x] += 1
+                best[x] = max(best[x], j)
+    moved = True
+    while moved:
+        moved = False
+        for a, b in edges:
+            low = min(leader[a], leader[b], key=order)
+            moved |= order(leader[a]) != order(low) or order(leader[b]) != order(low)
+            leader[a] = leader[b] = low
+    return {x: (leader[x][0], links[x], round(best[x], 6)) for x in own if links[x]}, leader
 
 
 @pytest.mark.parametrize("threshold", [0.5, 0.7])
 def test_join_against_all_pairs(spark, copies, threshold):
-    want = brute_pairs(copies, threshold)
-    got = {(r.doc_a, r.doc_b): r.jaccard for r in ngram_join.join(spark.createDataFrame(copies, "doc_id long, text string"), threshold=threshold).collect()}
-    assert set(got) <= want and len(set(got) & want) >= 0.97 * len(want)
-    sets = {d: grams(t) for d, t in copies}
-    for (a, b), j in got.items():
-        assert j == round(len(sets[a] & sets[b]) / len(sets[a] | sets[b]), 6)
+    want = {(d, *v) for (d, _), v in brute_classes(copies, threshold)[0].items()}
+    got = {tuple(r) for r in ngram_join.join(spark.createDataFrame(copies, "doc_id long, text string"), threshold=threshold).collect()}
+    assert {x[0] for x in got} <= {x[0] for x in want} and len(got & want) >= 0.97 * len(want)
+    assert sum(x[2] for x in got) >= 0.97 * sum(x[2] for x in want)
 
 
-def test_join_does_not_depend_on_blocks(spark, copies, monkeypatch):
+def test_join_does_not_depend_on_blocks_or_hot_keys(spark, copies, monkeypatch):
     df = spark.createDataFrame(copies, "doc_id long, text string")
     want = set(ngram_join.join(df).collect())
-    monkeypatch.setattr(ngram_join, "BLOCK", 7)
+    kept = {d for d, _ in copies} - {r.doc_id for r in want if r.doc_id != r.class_id}
+    for module, name, value in ((ngram_join, "BLOCK", 7), (_frames, "HOT_ROWS", 3), (_frames, "HOT_SHARE", 1_000_000), (_frames, "BROADCAST_KEYS", 0), (ngram_join, "BROADCAST_KEYS", 0), (ngram_join, "FEW_EDGES", 0)):
+        monkeypatch.setattr(module, name, value)
     assert set(ngram_join.join(df).collect()) == want
-
-
-def test_groups_and_dropping(spark, copies):
+    assert {r.doc_id for r in ngram_join.drop_duplicates(df).collect()} == kept
+
+
+def test_repeated_ids_in_any_order(spark):
+    """Different texts of one id are documents of their own; rows that repeat aren't; nothing depends on the order."""
+    a, b = prose(120, 1), prose(120, 2)
+    near = changed(a, 0.02, 5)
+    rows = [(1, near), (2, a), (2, b), (2, a), (2, a.replace(" ", "\n")), (None, a), (None, prose(50, 3)), (None, prose(50, 3)), (3, None), (4, " ")]
+    want, leader = brute_classes(rows, 0.5)
+    for own in (rows, rows[::-1]):
+        df = spark.createDataFrame(own, "doc_id long, text string").repartition(3)
+        assert sorted(map(repr, ((r.doc_id, r.class_id, r.links, r.jaccard) for r in ngram_join.join(df).collect()))) == sorted(map(repr, ((d, *v) for (d, _), v in want.items())))
+        kept = [(r.doc_id, r.text) for r in ngram_join.drop_duplicates(df).collect()]
+        assert sorted(map(repr, kept)) == sorted(map(repr, [(1, near), (2, b), (None, prose(50, 3)), (3, None), (4, " ")]))
+    assert {x for x, y in leader.items() if x == y} == {(1, grams(near)), (2, grams(b)), (None, grams(prose(50, 3)))}
+
+
+@pytest.mark.parametrize("few", [0, 10**6])
+def test_groups(spark, few, monkeypatch):
+    monkeypatch.setattr(ngram_join, "FEW_EDGES", few)
     rng = random.Random(4)
     edges = [(i, i + 1) for i in range(0, 50)] + [tuple(sorted(rng.sample(range(100, 160), 2))) for _ in range(40)]
-    got = {r.doc_id: r.leader for r in ngram_join.groups(spark.createDataFrame(edges, "doc_a long, doc_b long")).collect()}
-    leader = {x: x for e in edges for x in e}
+    odd = [(7, 7), (None, 3), (3, None), (500, 500), (51, 50)]
+    got = {r.doc_id: r.leader for r in ngram_join.groups(spark.createDataFrame(edges + odd, "doc_a long, doc_b long")).collect()}
+    leader = {x: x for e in [*edges, (50, 51)] for x in e}
     for _ in range(200):
-        for a, b in edges:
+        for a, b in [*edges, (50, 51)]:
             leader[a] = leader[b] = min(leader[a], leader[b])
     assert got == leader
-    kept = {r.doc_id for r in ngram_join.drop_duplicates(spark.createDataFrame(copies, "doc_id long, text string")).collect()}
-    assert set(range(len(copies) - 60, len(copies))) <= kept and len(kept) < len(copies) - 80
+    assert ngram_join.groups(spark.createDataFrame([], "doc_a long, doc_b long")).count() == 0
 
 
 def test_fewest_matches_is_the_posterior():
@@ -94,13 +127,15 @@ def test_fewest_matches_is_the_posterior():
 
 
 def test_join_awkward(awkward, empty):
-    got = {(r.doc_a, r.doc_b) for r in ngram_join.join(awkward).collect()}
-    assert (1, 8) in got and all(None not in p for p in got)
+    rows = [(r[0], r[1]) for r in awkward.collect()]
+    got = [(r.doc_id, r.class_id, r.links, r.jaccard) for r in ngram_join.join(awkward).collect()]
+    assert sorted(map(repr, got)) == sorted(map(repr, ((d, *v) for (d, _), v in brute_classes(rows, 0.5)[0].items())))
+    assert {g[0] for g in got} == {1, 8, 9}
     assert ngram_join.join(empty).count() == 0
     kept = ngram_join.drop_duplicates(awkward)
     assert kept.columns == awkward.columns
     ids = [r[0] for r in kept.collect()]
-    assert ids.count(1) == 1 and 8 not in ids and ids.count(None) == 2 and {2, 3, 4, 5, 6, 7, 10} <= set(ids)
+    assert ids.count(1) == 1 and 8 not in ids and ids.count(9) == 1 and ids.count(None) == 2 and {2, 3, 4, 5, 6, 7, 10} <= set(ids)
     assert ngram_join.drop_duplicates(empty).count() == 0
 
 
