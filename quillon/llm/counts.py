@@ -2,7 +2,7 @@
 
 A byte-level BPE tokenizer is compiled into two deterministic transducers.
 
-*Splitter.* Thirteen states over ten classes of characters cut a text into pre-tokens. Each
+*Splitter.* Eleven states over ten classes of characters cut a text into pre-tokens. Each
 transition says whether a pre-token begins at this character, and whether one began at the
 one before (which is only known now). Texts are laid end to end and cut into chunks; each
 chunk's map from every entry state to its exit state is computed for all chunks at once,
@@ -14,19 +14,22 @@ the one suffix token that is compatible with the last token before it. So a stat
 more than, for each suffix that can still grow into a token, the token before that suffix and
 the number of tokens since. Such states are made deterministic as they are met; a
 transition carries the change of the token count that its byte causes. A pre-token
-resets the state, so a lane runs from a chunk's first pre-token; where a chunk has none, its
-map is the composition with the chunk before, which the lane runs through.
+resets the state, so texts are cut into lanes at pre-tokens, and all lanes run at once. A
+pre-token that is longer than a lane is cut inside: the map of such a part is worked out for the
+states that the parts before it can end in, all parts at once, round by round until the
+maps, composed through the same prefix scan, lead from the pre-token's start to its end.
 """
 
 from __future__ import annotations
 
 import sys
-import unicodedata
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 
 from quillon.llm._frames import pick, segment_sum, slices
@@ -38,22 +41,22 @@ LETTER, NUMBER, OTHER, SPACE, BLANK, QUOTE, STMD, RV, E, L, END = range(11)
 START, IN_LETTERS, IN_NUMBER, IN_OTHER, ONE_SPACE, ONE_BLANK, RUN_SPACE, RUN_BLANK, AFTER_QUOTE, QUOTE_RV, QUOTE_L = range(11)
 STATES = 11
 CHUNK = 256
-#: States of the merger that are kept; beyond them it begins anew with none, which changes no count.
+#: Bytes of a lane, about.
+LANE = 1024
+#: States of the merger that are kept; beyond them it begins anew with those that are in use, which changes no count.
 MAX_STATES = 250_000
 BOUNDARY = 0x110000
+#: What the merger may still do: for each suffix that can grow, its node, the token before it and the tokens since.
+State = tuple[tuple[int, int, int], ...]
 
 
 @lru_cache(maxsize=1)
 def character_classes() -> np.ndarray:
-    """The class of every code point, and END for the mark between texts."""
+    """The class of every code point, by the engine that splits texts elsewhere, and END for the mark between texts."""
     out = np.full(BOUNDARY + 1, OTHER, np.uint8)
-    kind = {"L": LETTER, "N": NUMBER}
-    for c in range(sys.maxunicode + 1):
-        k = unicodedata.category(chr(c))[0]
-        if k in kind:
-            out[c] = kind[k]
-    for c in (*range(9, 14), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000):
-        out[c] = BLANK
+    every = "".join(map(chr, chain(range(0xD800), range(0xE000, sys.maxunicode + 1))))
+    for kind, pattern in ((LETTER, r"\p{L}+"), (NUMBER, r"\p{N}+"), (BLANK, r"\s+")):
+        out[np.frombuffer("".join(regex.findall(pattern, every)).encode("utf-32-le"), np.uint32)] = kind
     out[0x20], out[0x27], out[BOUNDARY] = SPACE, QUOTE, END
     for s, k in (("stmd", STMD), ("rv", RV), ("e", E), ("l", L)):
         for c in s:
@@ -162,22 +165,36 @@ class Merger:
             if t:
                 self.token[node] = i
         self.fits: dict[tuple[int, int], bool] = {}
-        self.reset()
+        self.column = np.full(256, -1, np.int32)  # of each byte that texts have had
+        self.width = 64
+        self.forget(())
 
-    def reset(self) -> None:
+    def forget(self, kept: Iterable[int]) -> np.ndarray:
+        """Begin anew with these states only; gives their new numbers."""
+        keys = [self.states[x] for x in kept]
         start = ((0, -1, 0),)
-        self.number = {start: 0}
-        self.states = [start]
-        self.column = np.full(256, -1, np.int32)  # of each byte that texts have had
-        self.next = np.full((1024, 64), -1, np.int32)
-        self.delta = np.zeros((1024, 64), np.int8)
+        self.number, self.states = {start: 0}, [start]
+        self.next = np.full((1024, self.width), -1, np.int32)
+        self.delta = np.zeros((1024, self.width), np.int8)
+        return np.array([self.numbered(k) for k in keys], np.int64)
+
+    def numbered(self, key: State) -> int:
+        """The number of a state, a new one where it is new."""
+        to = self.number.setdefault(key, len(self.states))
+        if to == len(self.states):
+            self.states.append(key)
+            if to >= len(self.next):
+                self.next = np.concatenate([self.next, np.full_like(self.next, -1)])
+                self.delta = np.concatenate([self.delta, np.zeros_like(self.delta)])
+        return to
 
     def columns(self, data: np.ndarray) -> np.ndarray:
         """The table's column for each byte; bytes that are new get one."""
         fresh = [b for b in np.flatnonzero(np.bincount(data, minlength=256)) if self.column[b] < 0]
         used = int(self.column.max()) + 1
         self.column[fresh] = np.arange(used, used + len(fresh))
-        while used + len(fresh) > self.next.shape[1]:
+        while used + len(fresh) > self.width:
+            self.width += 32
             self.next = np.concatenate([self.next, np.full((len(self.next), 32), -1, np.int32)], 1)
             self.delta = np.concatenate([self.delta, np.zeros((len(self.delta), 32), np.int8)], 1)
         return self.column[data]
@@ -208,46 +225,94 @@ class Merger:
                 last, change = token, 1 - since
             if self.child[to]:
                 grown.append((to, before, since))
-        key = (*((n, b, s + change) for n, b, s in grown), (0, last, 0))
-        to = self.number.setdefault(key, len(self.states))
-        if to == len(self.states):
-            self.states.append(key)
-            if to >= len(self.next):
-                self.next = np.concatenate([self.next, np.full_like(self.next, -1)])
-                self.delta = np.concatenate([self.delta, np.zeros_like(self.delta)])
+        to = self.numbered((*((n, b, s + change) for n, b, s in grown), (0, last, 0)))
         self.next[state, self.column[byte]], self.delta[state, self.column[byte]] = to, change
 
-    def count(self, data: np.ndarray, starts: np.ndarray, lane: int = 4 * CHUNK) -> np.ndarray:
-        """The change of the token count at every byte; ``starts`` says where pre-tokens begin (the first byte does)."""
-        if len(self.states) > MAX_STATES:
-            self.reset()
-        n = len(data)
-        symbol = self.columns(data)
-        out = np.zeros(n, np.int8)
-        first = np.flatnonzero(starts)
-        # a lane begins at the first pre-token of each chunk
-        at = np.unique(np.searchsorted(first, np.arange(0, n, lane)))
-        begin = first[at[at < len(first)]]
-        stop = np.r_[begin[1:], n]
+    def walk(self, data: np.ndarray, symbol: np.ndarray, begin: np.ndarray, stop: np.ndarray, state: np.ndarray, starts: np.ndarray | None = None, out: np.ndarray | None = None) -> tuple[list[State], np.ndarray]:
+        """(state, change of the token count) at the end of each lane that is entered in ``state``; ``out`` gets the change at every byte."""
         order = np.argsort(begin - stop, kind="stable")  # the longest first: lanes that are done fall off the end
-        begin, length = begin[order], (stop - begin)[order]
-        state = np.zeros(len(begin), np.int64)
+        begin, length, state = begin[order], (stop - begin)[order], state[order].astype(np.int64)
+        total = np.zeros(len(begin), np.int64)
         live = len(begin)
         for k in range(int(length[0]) if live else 0):
             while length[live - 1] <= k:
                 live -= 1
             at = begin[:live] + k
             byte = symbol[at]
-            now = np.where(starts[at], 0, state[:live])
+            now = state[:live] if starts is None else np.where(starts[at], 0, state[:live])
             to = self.next[now, byte]
             if (unknown := to < 0).any():
+                if len(self.states) > MAX_STATES:
+                    used, place = np.unique(np.r_[now, state], return_inverse=True)
+                    place = self.forget(used.tolist())[place]
+                    now, state = place[:live], place[live:]
+                    unknown = np.ones(live, bool)
                 for s, b in {(int(s), int(b)) for s, b in zip(now[unknown], data[at[unknown]])}:
-                    self.extend(s, b)
+                    if self.next[s, self.column[b]] < 0:
+                        self.extend(s, b)
                 to = self.next[now, byte]
-            out[at] = self.delta[now, byte]
+            change = self.delta[now, byte]
+            total[:live] += change
+            if out is not None:
+                out[at] = change
             state[:live] = to
+        back = np.argsort(order)
+        return [self.states[x] for x in state[back].tolist()], total[back]
+
+    def count(self, data: np.ndarray, starts: np.ndarray, lane: int | None = None) -> np.ndarray:
+        """The change of the token count at every byte, or all of it at the first byte of a part of a long pre-token.
+
+        ``starts`` says where pre-tokens begin (the first byte does).
+        """
+        lane = lane or LANE
+        n = len(data)
+        symbol = self.columns(data)
+        out = np.zeros(n, np.int64)
+        first = np.flatnonzero(starts)
+        if not len(first):
+            return out
+        ends = np.r_[first[1:], n]
+        # a lane begins at the first pre-token of each chunk, and behind a long pre-token
+        at = np.searchsorted(first, np.arange(0, n, lane))
+        long = np.flatnonzero(ends - first > 2 * lane)
+        begin = first[np.unique(np.r_[at[at < len(first)], long, long[long + 1 < len(first)] + 1])]
+        stop = np.r_[begin[1:], n]
+        cut = np.minimum(stop, np.where(np.isin(begin, first[long]), begin + lane, n))
+        exits, _ = self.walk(data, symbol, begin, cut, np.zeros(len(begin), np.int64), starts, out)
+        for b, c, s, state in zip(begin.tolist(), cut.tolist(), stop.tolist(), exits):
+            if c < s:
+                part = np.arange(c, s, lane)
+                out[part] = self.parts(data, symbol, part, np.minimum(part + lane, s), state)
         return out
 
+    def parts(self, data: np.ndarray, symbol: np.ndarray, begin: np.ndarray, stop: np.ndarray, state: State) -> np.ndarray:
+        """The change of the token count in each of the parts of one pre-token, the first of which is entered in ``state``."""
+        n = len(begin)
+        kind: dict[bytes, int] = {}  # parts of one content have one map
+        of = np.array([kind.setdefault(data[a:b].tobytes(), len(kind)) for a, b in zip(begin, stop)])
+        known: list[dict[State, tuple[State, int]]] = [{} for _ in kind]
+        where = np.unique(of, return_index=True)[1]
+        asked = {(int(of[0]), state), *((int(k), self.states[0]) for k in of[1:])}
+        while True:
+            todo = [(k, s) for k, s in asked if s not in known[k]]
+            if todo:
+                at = where[[k for k, _ in todo]]
+                exits, change = self.walk(data, symbol, begin[at], stop[at], np.array([self.numbered(s) for _, s in todo]))
+                for (k, s), e, c in zip(todo, exits, change.tolist()):
+                    known[k][s] = (e, c)
+            entries = [list(m) for m in known]
+            width = max(map(len, entries)) + 1  # the last column: not known yet
+            place = [{s: i for i, s in enumerate(x)} for x in entries]
+            maps = np.full((n, width), width - 1)
+            for i in range(n - 1):
+                for j, s in enumerate(entries[of[i]]):
+                    maps[i, j] = place[of[i + 1]].get(known[of[i]][s][0], width - 1)
+            begun = place[of[0]][state]
+            at = np.r_[begun, prefix_scan(maps)[:-1, begun]]
+            if (at < width - 1).all():
+                return np.array([known[k][entries[k][j]][1] for k, j in zip(of, at)])
+            asked = {(int(of[i]), known[of[i - 1]][s][0]) for i in range(1, n) if at[i] == width - 1 for s in entries[of[i - 1]]}
+
 
 #: By vocabulary: a Python worker keeps the states it has met from task to task.
 _MERGERS: dict[str, Merger] = {}
@@ -272,7 +337,7 @@ def count_texts(merger: Merger, texts: list[str]) -> tuple[np.ndarray, np.ndarra
     at = np.zeros(len(data), bool)
     at[(ends - width)[starts]] = True
     change = merger.count(data, at)
-    return segment_sum(change.astype(np.int64), np.r_[0, ends][offsets]), pre
+    return segment_sum(change, np.r_[0, ends][offsets]), pre
 
 
 def count(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = VOCABULARY) -> DataFrame:
