@@ -7,6 +7,7 @@ import math
 import random
 import subprocess
 import sys
+from bisect import bisect_left
 from collections import Counter, defaultdict
 from pathlib import Path
 
@@ -21,23 +22,24 @@ ROOT = Path(__file__).parents[2]
 
 
 def slow_assign(keys, shards, virtual_nodes, slack):
-    points = ring.ring_points(shards, virtual_nodes)
+    """How many rows of each key are at each (shard, hops), a key after another."""
+    points = sorted((int(hashlib.md5(f"shard-{s}-{v}".encode()).hexdigest(), 16) >> 96, s) for s in range(shards) for v in range(virtual_nodes))
     capacity = math.ceil((1 + slack) * len(keys) / shards)
     digest = {k: hashlib.md5(str("null" if k is None else k).encode()).hexdigest() for k in keys}
-    slot = {k: int(d[:8], 16) % ring.SLOTS for k, d in digest.items()}
-    rank = {k: (int(d[8:23], 16), k) for k, d in digest.items()}
-    load, out, waiting, hops = Counter(), {}, list(keys), 0
+    place = {k: int(d[:8], 16) for k, d in digest.items()}
+    rank = {k: (int(d[8:23], 16), k is not None, k) for k, d in digest.items()}
+    load, out, waiting, hops = Counter(), Counter(), list(keys), 0
     while waiting:
         full = {s for s in range(shards) if load[s] == capacity}
         asked = defaultdict(list)
         for k in waiting:
-            later = [s for x, s in points if x >= slot[k] and s not in full] + [s for _, s in points if s not in full]
+            later = [s for x, s in points if x >= place[k] and s not in full] + [s for _, s in points if s not in full]
             asked[later[0]].append(k)
         waiting = []
         for s, ks in asked.items():
             ks.sort(key=rank.get)
             room = capacity - load[s]
-            out.update(dict.fromkeys(ks[:room], (s, hops)))
+            out.update((k, s, hops) for k in ks[:room])
             load[s] += len(ks[:room])
             waiting += ks[room:]
         hops += 1
@@ -46,10 +48,24 @@ def slow_assign(keys, shards, virtual_nodes, slack):
 
 @pytest.mark.parametrize("shards,nodes,slack", [(8, 16, 0.1), (5, 4, 0.0), (1, 1, 0.5), (12, 3, 0.25)])
 def test_ring_against_simulation(spark, shards, nodes, slack):
-    keys = list(range(700))
-    got = {r.doc_id: (r.shard, r.hops) for r in ring.assign(spark.range(700).withColumnRenamed("id", "doc_id"), shards=shards, virtual_nodes=nodes, slack=slack).collect()}
+    keys = [*range(700), *[9] * 300, *[None] * 20]  # one key has a third of all rows
+    df = spark.createDataFrame([(k,) for k in keys], "doc_id long")
+    got = Counter(tuple(r) for r in ring.assign(df, shards=shards, virtual_nodes=nodes, slack=slack).collect())
     assert got == slow_assign(keys, shards, nodes, slack)
-    assert max(Counter(s for s, _ in got.values()).values()) <= math.ceil((1 + slack) * 700 / shards)
+    assert max(Counter(s for _, s, _ in got.elements()).values()) <= math.ceil((1 + slack) * len(keys) / shards)
+
+
+@pytest.mark.parametrize("most", [10**7, 0])
+def test_ring_of_many_shards(spark, most, monkeypatch):
+    """2,000 shards of 128 points, by broadcast and by shuffle."""
+    monkeypatch.setattr(ring, "BROADCAST_POINTS", most)
+    got = ring.assign(spark.range(4000).withColumnRenamed("id", "doc_id"), shards=2000, slack=5.0).collect()
+    points = ring.ring_points(2000, 128)
+    places = [x for x, _ in points]
+    for r in got[::40]:
+        at = int(hashlib.md5(str(r.doc_id).encode()).hexdigest()[:8], 16)
+        assert r.hops or r.shard == points[bisect_left(places, at) % len(points)][1]
+    assert len(got) == 4000 and max(Counter(r.shard for r in got).values()) <= 12
 
 
 def test_few_keys_move(spark):
