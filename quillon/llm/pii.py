@@ -13,9 +13,12 @@ documents with the same inference.
 
 from __future__ import annotations
 
+import json
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 from functools import lru_cache
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -26,6 +29,7 @@ from quillon.llm._frames import pick, slices
 LABELS = ("O", "EMAIL", "PHONE", "IP", "CARD", "ID", "SECRET")
 _HIT = re.compile(r"[0-9@=]|[A-Z]{12}")
 _SPACE = " \t\n\r\x0b\x0c"
+_BLANK = re.compile(f"[{_SPACE}]")
 _LONG = re.compile(f"[^{_SPACE}]{{25}}")
 _SECRET = r"(?:pass(?:word|wd|phrase)?|pwd|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|key|auth|bearer|credential)s?"
 _EDGES = ".,;:!?\"'<>[]{}«»„“”*|`~"
@@ -140,21 +144,37 @@ def pieces(text: str) -> list[tuple[int, int]]:
     return out
 
 
-def _left_word(text: str, start: int) -> tuple[str, int]:
-    b = start
-    if b and text[b - 1] not in _SPACE:  # cut from what is before it
-        while b and start - b < 40 and _SIGNS.match(text[b - 1]):
-            b -= 1
+class _Left:
+    """The words to the left of places in a text, however long they are; each sign that ends one is looked for once at most."""
+
+    def __init__(self, text: str):
+        self.text = text
+        self.ends: dict[bool, list[int]] = {}
+
+    def _start(self, b: int, glued: bool) -> int:
+        """Where the word that ends at ``b`` begins."""
         a = b
-        while a and b - a < 40 and not _SIGNS.match(text[a - 1]):
+        while a and b - a < 40 and not _ends_word(self.text[a - 1], glued):
             a -= 1
+        if b - a < 40:
+            return a
+        if glued not in self.ends:
+            self.ends[glued] = [m.end() for m in (_SIGNS if glued else _BLANK).finditer(self.text)]
+        at = bisect_right(self.ends[glued], a)
+        return self.ends[glued][at - 1] if at else 0
+
+    def __call__(self, start: int) -> tuple[str, int]:
+        """(the word before ``start``, its place)."""
+        text, b = self.text, start
+        glued = b > 0 and text[b - 1] not in _SPACE  # cut from what is before it
+        while b and _ends_word(text[b - 1], glued) and (not glued or start - b < 40):
+            b -= 1
+        a = self._start(b, glued)
         return text[a:b], a
-    while b and text[b - 1] in _SPACE:
-        b -= 1
-    a = b
-    while a and b - a < 40 and text[a - 1] not in _SPACE:
-        a -= 1
-    return text[a:b], a
+
+
+def _ends_word(c: str, glued: bool) -> bool:
+    return bool(_SIGNS.match(c)) if glued else c in _SPACE
 
 
 def _core(text: str, a: int, b: int) -> tuple[int, int]:
@@ -199,6 +219,7 @@ class Graph:
             seen: dict[str, int] = {}
             base = len(self.doc)
             spans = pieces(text) if text else []
+            left_word = _Left(text or "")
             shapes = []
             run = 0  # pieces of four digits up to here
             for k, (a, b) in enumerate(spans):
@@ -206,7 +227,7 @@ class Graph:
                 a2, b2 = _core(text, a, b)
                 core = text[a2:b2]
                 own = _shapes(core)
-                left, at = _left_word(text, a)
+                left, at = left_word(a)
                 glued = a and text[a - 1] not in _SPACE or b < len(text) and text[b] not in _SPACE
                 named = "secret_value" in own or glued and _CONTEXT[0][1].fullmatch(left)
                 if len(core) > 24 or glued and named and _LONG.match(text, _bounds(text[a - 25 : a], 25)[0] + a - 25 if a >= 25 else _bounds(text[:a], a)[0]):  # a secret cut from a long piece
@@ -217,7 +238,7 @@ class Graph:
                 shapes.append(own)
                 use = {n for n, p in _CONTEXT if p.fullmatch(left)} | own | {"bias"}
                 chained = False
-                if _CONTEXT[0][1].fullmatch(_left_word(text, at)[0]):
+                if _CONTEXT[0][1].fullmatch(left_word(at)[0]):
                     use.add("second_after_secret")
                 if k and not text[spans[k - 1][1] : a].strip(_SPACE) and "\n" not in text[spans[k - 1][1] : a]:
                     chain.append((node - 1, node))
@@ -325,6 +346,19 @@ def train(documents: int = 700, steps: int = 250, seed: int = 5, decay: float =
     return p
 
 
+#: Potentials that ``train()`` has given; ``python -m quillon.llm.pii`` fits and writes them anew.
+FITTED = Path(__file__).with_name("pii_potentials.json")
+
+
+@lru_cache(maxsize=1)
+def fitted() -> dict[str, np.ndarray]:
+    """The potentials of ``train()``, read from their file."""
+    own = json.loads(FITTED.read_text())
+    if own["features"] != FEATURES or own["labels"] != list(LABELS):
+        raise ValueError(f"{FITTED.name} is of other features: fit it anew")
+    return {n: np.array(own[n]) for n in ("unary", "chain", "skip")}
+
+
 def entities(texts: list[str | None], p: dict[str, np.ndarray]) -> list[list[tuple[int, int, str]]]:
     """(start, end, label) of the entities of each text, in characters, in order."""
     out: list[list[tuple[int, int, str]]] = [[] for _ in texts]
@@ -365,10 +399,12 @@ def find(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataF
     """``doc_id, entities ARRAY<STRUCT<start INT, end INT, label STRING>>, text`` for every row.
 
     Positions count characters from 0, the end excluded; ``text`` has ``<LABEL>`` in the place of
-    each entity. A null text stays null and has no entities. Repeated rows give repeated results; a
-    null id stays null; other columns are dropped. Whole texts in one Arrow pass, no shuffle.
+    each entity. A null text stays null, an empty one empty, and neither has entities; pieces of any length are looked
+    at whole. Of labels that are equally likely the first in ``LABELS`` counts, so "no entity" before any. Repeated rows
+    give repeated results; a null id stays null; other columns are dropped; an empty table gives an empty result. Whole
+    texts in one Arrow pass, no shuffle.
     """
-    shared = df.sparkSession.sparkContext.broadcast(train())
+    shared = df.sparkSession.sparkContext.broadcast(fitted())
     narrow = pick(df, doc_id=id_col, text=text_col)
     kind = narrow.schema["doc_id"].dataType.simpleString()
     entity = pa.struct([("start", pa.int32()), ("end", pa.int32()), ("label", pa.string())])
@@ -386,8 +422,12 @@ def find(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataF
 
 
 def mask(documents: DataFrame) -> DataFrame:
-    """All documents, each entity of ``text`` replaced by ``<LABEL>``; ``n_chars``, where there is one, follows."""
-    shared = documents.sparkSession.sparkContext.broadcast(train())
+    """All documents, each entity of ``text`` replaced by ``<LABEL>``; ``n_chars``, where there is one, follows.
+
+    Rows, repeated ones too, stay in number and order of columns. A null text stays null, an empty one empty, and their
+    ``n_chars`` as it is; texts of any length are masked whole, by the rules of ``find`` for ties; an empty table stays empty.
+    """
+    shared = documents.sparkSession.sparkContext.broadcast(fitted())
     flat = documents.toDF(*[f"_c{i}" for i in range(len(documents.columns))])
     at = documents.columns.index("text")
     size = documents.columns.index("n_chars") if "n_chars" in documents.columns else -1
@@ -502,3 +542,7 @@ def generate(documents: int, seed: int) -> tuple[list[str], list[list[tuple[int,
         texts.append("".join(parts).rstrip())
         gold.append(places)
     return texts, gold
+
+
+if __name__ == "__main__":
+    FITTED.write_text(json.dumps({"labels": LABELS, "features": FEATURES, **{n: np.round(v, 5).tolist() for n, v in train().items()}}) + "\n")
