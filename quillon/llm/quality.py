@@ -151,20 +151,25 @@ def fit(x: np.ndarray, y: np.ndarray, trees: int = 30, depth: int = 3, penalty:
 
 
 def train(documents: DataFrame, labels: DataFrame, max_labelled: int = 20_000, **options) -> RuleModel:
-    """Fit on at most ``max_labelled`` labelled rows, those of least hash; rows with a null label or id are left out."""
-    own = pick(labels, doc_id="doc_id", quality="quality").dropna().dropDuplicates(["doc_id"])
+    """Fit on at most ``max_labelled`` labelled rows, those of least hash; rows with a null label or id are left out.
+
+    Of repeated labels the lower one counts, of repeated ids the text of least statistics. Without labels, or
+    with those of one class only, everything with words is kept.
+    """
+    own = pick(labels, doc_id="doc_id", quality="quality").dropna().groupBy("doc_id").agg(F.min("quality").alias("quality"))
     own = own.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled)
     docs = pick(documents, doc_id="doc_id", text="text").join(F.broadcast(own), "doc_id")  # at most max_labelled rows of two numbers
-    rows = docs.select("doc_id", "quality", statistics(F.col("text")).alias("s")).select("doc_id", "quality", "s.*").toPandas()
-    rows = rows.drop_duplicates("doc_id").sort_values("doc_id")
+    rows = docs.select("doc_id", "quality", statistics(F.col("text")).alias("s")).groupBy("doc_id", "quality").agg(F.min("s").alias("s"))
+    rows = rows.select("doc_id", "quality", "s.*").toPandas().sort_values("doc_id")
     return fit(rows[list(STATISTICS)].to_numpy(np.float64), (rows["quality"].to_numpy() > 0).astype(np.float64), **options)
 
 
 def score(df: DataFrame, model: RuleModel, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5) -> DataFrame:
     """``doc_id, quality_score DOUBLE, keep BOOLEAN`` for every row.
 
-    A text that is null, empty or white space scores 0 and isn't kept. Repeated rows get equal
-    results; a null id stays null; other columns are dropped. No shuffle and no Python.
+    A text that is null, empty or white space scores 0 and isn't kept; one of any length is looked at
+    whole. Repeated rows get equal results; a null id stays null; other columns are dropped; an empty table
+    gives an empty result. No shuffle and no Python.
     """
     value = judged(F.col("text"), model)
     return pick(df, doc_id=id_col, text=text_col).select("doc_id", value.alias("quality_score")).withColumn("keep", F.col("quality_score") >= threshold)
@@ -180,7 +185,11 @@ def judged(text: Column, model: RuleModel) -> Column:
 
 
 def keep_good(documents: DataFrame, model: RuleModel, threshold: float = 0.5) -> DataFrame:
-    """The documents that ``score`` keeps, by the same rules; all columns, row by row. A text without words goes at any threshold above 0."""
+    """The documents that ``score`` keeps, by the same rules; all columns, row by row.
+
+    A text that is null, empty or blank goes at any threshold above 0; nulls in other columns don't matter. Repeated
+    rows stay or go together; a score at the threshold stays; an empty table stays empty.
+    """
     flat = documents.toDF(*[f"_c{i}" for i in range(len(documents.columns))])
     text = F.col(f"_c{documents.columns.index('text')}")
     return flat.where(judged(text, model) >= F.lit(float(threshold))).toDF(*documents.columns)
