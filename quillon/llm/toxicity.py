@@ -202,8 +202,9 @@ def _evidence(words: list[list[str]], y: np.ndarray) -> dict[str, float]:
 def fit(texts: list[str], toxic: np.ndarray, epochs: int = 6, batch: int = 192, seed: int = 3) -> Model:
     """Train on labelled texts; a fifth of them only choose the threshold. With one class, or none, the model finds nothing toxic.
 
-    A label speaks for a text, not for a window. Positive windows are those around a toxic
-    text's strongest evidence; negative ones are a text's at random and its most misleading.
+    A label speaks for a text, not for a window. Positive windows are those around every place of
+    strong evidence in a toxic text; negative ones are a text's most misleading and three at random.
+    All words that occur four times in the sample have an embedding of their own.
     """
     rng = np.random.default_rng(seed)
     y = np.asarray(toxic, np.float32)
@@ -216,7 +217,7 @@ def fit(texts: list[str], toxic: np.ndarray, epochs: int = 6, batch: int = 192,
     used = [i for i in range(len(y)) if not held[i] and words[i]]
     odds = _evidence([words[i] for i in used], y[used])
     counts = Counter(w for i in used for w in words[i])
-    vocabulary = {w: k + 1 for k, (w, n) in enumerate(counts.most_common(8000)) if n >= 4}
+    vocabulary = {w: k + 1 for k, w in enumerate(w for w, n in counts.most_common() if n >= 4)}
     worth = {w: max(odds.get(w, -9.0), odds.get(w[:4] + "-", -9.0), odds.get(w[:5] + "-", -9.0)) for w in counts}
     rows, target = [], []
     for i in used:
@@ -224,8 +225,11 @@ def fit(texts: list[str], toxic: np.ndarray, epochs: int = 6, batch: int = 192,
         s = np.array([worth[w] for w in own])
         top = int(s.argmax())
         if y[i]:
-            best = np.flatnonzero(s > max(s[top] - 1.0, 0))[:3]
-            centres = [int(c) for c in best] or [top]
+            centres, end = [], -1
+            for c in np.flatnonzero(s > max(s[top] - 1.0, 0)).tolist() or [top]:
+                if c > end:  # what is near it is in its window
+                    centres.append(c)
+                    end = c + WINDOW // 2
         else:
             centres = [top, *rng.integers(0, len(own), 3).tolist()]
         for c in centres:
@@ -279,13 +283,17 @@ def _best_threshold(score: np.ndarray, y: np.ndarray) -> float:
 
 
 def train(documents: DataFrame, labels: DataFrame, max_labelled: int = 4000, **options) -> Model:
-    """Fit on at most ``max_labelled`` labelled texts, those of least hash, up to half of them toxic."""
-    own = pick(labels, doc_id="doc_id", toxic="toxic").dropna().dropDuplicates(["doc_id"])
+    """Fit on at most ``max_labelled`` labelled texts, those of least hash, up to half of them toxic.
+
+    Of repeated labels the toxic one counts, of repeated ids the least text; rows with a null are left out. The
+    sample's whole texts go to the driver.
+    """
+    own = pick(labels, doc_id="doc_id", toxic="toxic").dropna().groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     half = max_labelled // 2
     part = lambda on: own.where((F.col("toxic") > 0) == on).orderBy(F.xxhash64("doc_id"), "doc_id").limit(half)
     sample = F.broadcast(part(True).unionByName(part(False)))  # at most max_labelled rows of two numbers
-    rows = pick(documents, doc_id="doc_id", text="text").dropna().join(sample, "doc_id").toPandas()
-    rows = rows.drop_duplicates("doc_id").sort_values("doc_id")
+    rows = pick(documents, doc_id="doc_id", text="text").dropna().join(sample, "doc_id")
+    rows = rows.groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).toPandas().sort_values("doc_id")
     return fit(rows["text"].tolist(), (rows["toxic"].to_numpy() > 0).astype(np.float32), **options)
 
 
@@ -293,8 +301,9 @@ def score(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "
     """``doc_id, windows INT, toxicity DOUBLE, worst_word INT, toxic BOOLEAN`` for every row.
 
     ``worst_word`` is the first word of the most toxic window (the first of equals), null
-    without words. A null or empty text has no windows and toxicity 0. Repeated rows get
-    equal results; a null id stays null; other columns are dropped. Whole texts, no shuffle.
+    without words. A null or empty text has no windows and toxicity 0, a text of any length all of its
+    windows. Repeated rows get equal results; a null id stays null; other columns are dropped; an
+    empty table gives an empty result. No shuffle.
     """
     shared = df.sparkSession.sparkContext.broadcast(model)
     narrow = pick(df, doc_id=id_col, text=text_col)
