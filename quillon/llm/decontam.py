@@ -34,6 +34,8 @@ BLOCK, LARGER = 4, 4
 INDEX_WORDS = 20_000
 #: Indexes that one pass over the texts broadcasts; a larger benchmark makes more passes.
 INDEXES = 500
+#: Up to so many indexes, some 8 MB each, a Python worker keeps their tables of block maxima.
+KEPT = 12
 #: Passages whose bounds are worked out at a time.
 QUERIES = 2048
 EDGES = ".,;:!?\"'()[]{}<>«»„“”‘’…*_`|#$%&"
@@ -101,6 +103,7 @@ class Index:
 
     def __init__(self, items: list[Item], stats: Statistics | None = None, k1: float = 1.2, b: float = 0.75):
         self.items = items
+        self.keep, self.kept = False, None
         stats = stats or Statistics.of(items)
         self.segments: list[int] = []
         postings = defaultdict(list)
@@ -126,12 +129,17 @@ class Index:
 
     def maxima(self) -> np.ndarray:
         """[term, larger block, block]: the greatest impact; the last term is any other word."""
+        if self.kept is not None:
+            return self.kept
         larger = max(1, -(-len(self.segments) // (BLOCK * LARGER)))
         out = np.zeros((len(self.terms) + 1, larger * LARGER), np.float32)
         term = np.repeat(np.arange(len(self.terms)), [len(x) for x in self.docs])
         at = np.array([s for x in self.docs for s in x], np.int64) // BLOCK
         np.maximum.at(out, (term, at), np.array([x for xs in self.impacts for x in xs], np.float32))
-        return out.reshape(len(self.terms) + 1, larger, LARGER)
+        out = out.reshape(len(self.terms) + 1, larger, LARGER)
+        if self.keep:
+            self.kept = out
+        return out
 
     def search(self, terms: list[int], threshold: float, maxima: np.ndarray, low: int = 0, high: int | None = None) -> list[tuple[int, float]]:
         """All (segment, score) of segments in [low, high) with a score of at least ``threshold``, by block-max WAND."""
@@ -197,7 +205,10 @@ def load_indexes(benchmark: DataFrame, id_col: str = "item_id", text_col: str =
         groups[-1].append(Item(item_id, q, a))
         total += len(q + a)
     stats = Statistics.of([i for g in groups for i in g])
-    return [Index(g, stats) for g in groups]
+    out = [Index(g, stats) for g in groups]
+    for index in out:
+        index.keep = len(out) <= KEPT
+    return out
 
 
 def _codes(offsets: np.ndarray, coded: pa.DictionaryArray, own: pa.Array, index: Index) -> tuple[np.ndarray, np.ndarray]:
@@ -310,7 +321,9 @@ def find(documents: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", tex
 def drop_contaminated(documents: DataFrame, benchmark: DataFrame, text_col: str = "text", threshold: float = 0.4, overlap: float = 0.6) -> DataFrame:
     """The documents that hold no item; all columns.
 
-    Decided row by row in the scan, so rows of equal id, or of none, don't decide for each other.
+    Decided row by row in the scan, so rows of equal id, or of none, don't decide for each other. Null, empty
+    and blank texts stay; whole texts of any length are searched; an empty benchmark drops nothing, and an
+    empty table stays empty.
     """
     flat = documents.toDF(*[f"_c{i}" for i in range(len(documents.columns))])
     schema = flat.schema
