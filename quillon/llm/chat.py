@@ -24,7 +24,8 @@ def fold(events: DataFrame, conv_col: str = "conv_id", seq_col: str = "seq", kin
     ``seq``: the greatest text) and the deltas after it, by ``seq``, then text. The role is the
     last that isn't null. Exact repeats of an event count once. Events without a
     conversation, a turn or a ``seq`` are dropped, as are unknown kinds; a null kind is
-    a ``message``; a null text is an empty one.
+    a ``message``; a null text is an empty one. Texts of any length are kept whole, other columns are
+    dropped, and an empty log gives an empty result.
     """
     log = pick(events, conv_id=conv_col, seq=seq_col, kind=kind_col, turn=turn_col, role=role_col, text=text_col)
     log = log.withColumn("kind", F.coalesce("kind", F.lit("message"))).withColumn("text", F.coalesce("text", F.lit("")))

@@ -63,7 +63,12 @@ def simhash(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, fingerprint BIGINT``; rows whose text is null or has no words are left out."""
+    """``doc_id, fingerprint BIGINT``; rows whose text is null or has no words are left out.
+
+    A bit whose votes are tied is 0. Texts of any length vote with all their words; a text of one word has
+    that word as its only term. Repeated rows give repeated results, a null id stays null, extra columns
+    are dropped, and an empty table gives an empty result.
+    """
     narrow = pick(df, doc_id=id_col, text=text_col)
     kind = narrow.schema["doc_id"].dataType.simpleString()
 
@@ -89,11 +94,13 @@ def near(prints: DataFrame, radius: int = 3, blocks: int = 6) -> DataFrame:
     Documents of one fingerprint pair with the least of them only, at distance 0, and that one
     stands for all in the pairs of other fingerprints: two documents are within ``radius`` just
     if their least ones are. So groups of copies cost their size, not its square, and nothing
-    is lost or capped. Null ids and repeated rows of an id count once or not at all.
+    is lost or capped. Rows with a null id or a null fingerprint pair with nothing. Rows that repeat an id and
+    its fingerprint count once; an id with several fingerprints pairs by each of them, with itself never.
+    An empty table gives an empty result.
     """
     if blocks <= radius:
         raise ValueError("blocks must exceed radius")
-    prints = cut(prints.where(F.col("doc_id").isNotNull()).dropDuplicates(["doc_id", "fingerprint"]))
+    prints = cut(prints.where(F.col("doc_id").isNotNull() & F.col("fingerprint").isNotNull()).select("doc_id", "fingerprint").distinct())
     least = cut(prints.groupBy("fingerprint").agg(F.min("doc_id").alias("doc"), F.count("*").alias("n")))
     copies = prints.join(least.where("n > 1"), "fingerprint").where("doc_id <> doc").select(F.col("doc").alias("doc_a"), F.col("doc_id").alias("doc_b"), F.lit(0).alias("distance"))
     tables = F.array(*[F.lit(m) for m in masks(radius, blocks)])
