@@ -2,19 +2,17 @@
 
 from __future__ import annotations
 
-import atexit
 import ctypes
-import os
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillon.sources.checkpoints import Cut, cut  # noqa: F401
+
 #: Bytes of text that one vectorised step handles; bounds a Python worker's memory.
 SLICE_BYTES = 6 << 20
 
@@ -28,64 +26,10 @@ def pick(df: DataFrame, **columns: str) -> DataFrame:
     return flat.select(*[F.col(place[old]).alias(new) for new, old in columns.items()])
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that ``spark.checkpoint.dir`` names. Where it is unset a temporary one serves a local session, as in tests; on a cluster that is an error, for executors couldn't read it."""
-    sc = spark.sparkContext
-    named = sc._jsc.sc().getCheckpointDir()
-    if named.isDefined():
-        return named.get()
-    if shared := spark.conf.get("spark.checkpoint.dir", None):
-        return shared
-    if not sc.master.partition("[")[0] == "local":
-        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-    return os.path.join(tempfile.gettempdir(), "quillon-checkpoints")
-
-
-#: Folders of written tables by application; they go with the session's driver.
-_WRITTEN: dict[str, tuple[object, str]] = {}
-
-
-def _remove(spark: SparkSession, path: str) -> None:
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
-
-
-@atexit.register
-def _remove_all() -> None:
-    for spark, path in _WRITTEN.values():
-        try:
-            _remove(spark, path)
-        except Exception:  # the session has ended before: nothing can be done from here
-            pass
-
-
-class Cut:
-    """A frame without its lineage: a Parquet table in the shared folder, which any executor can read again."""
-
-    def __init__(self, df: DataFrame):
-        self.spark = df.sparkSession
-        app = self.spark.sparkContext.applicationId
-        if app not in _WRITTEN:
-            _WRITTEN[app] = (self.spark, f"{shared_folder(self.spark)}/quillon-{app}-{uuid.uuid4().hex[:8]}")
-        self.path = f"{_WRITTEN[app][1]}/{uuid.uuid4().hex}"
-        flat = df.toDF(*[f"_c{i}" for i in range(len(df.columns))])  # Parquet refuses names that differ in case only
-        flat.write.parquet(self.path)
-        self.df = self.spark.read.schema(flat.schema).parquet(self.path).toDF(*df.columns)
-
-    def drop(self) -> None:
-        """Delete the table; nothing may read it any more."""
-        _remove(self.spark, self.path)
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """The frame, written and read again. Its files go when the driver ends; ``Cut`` can drop them before."""
-    return Cut(df).df
-
-
 #: Keys with more rows than this, and than a thousandth of all rows, are hot.
 HOT_ROWS, HOT_SHARE = 1_000_000, 1_000
-#: Rows of two longs that a broadcast may have, 32 MB; larger frames are joined by shuffle.
-BROADCAST_KEYS = 2_000_000
+#: Rows of two numbers that a broadcast may have, some 32 MB; larger frames are joined by shuffle.
+BROADCAST_KEYS = 500_000
 
 
 def join_hot(left: DataFrame, right: DataFrame, key: str | list[str], size: str, how: str = "inner") -> DataFrame:

@@ -129,7 +129,7 @@ def candidates(t: pa.Table, fewest: list[int]) -> Iterator[tuple[int, np.ndarray
     places = np.arange(len(own)) - np.repeat(np.cumsum(width) - width, width)
     groups = np.full((len(width), int(width.max())), np.iinfo(np.int64).max)
     groups[own, places] = lists.flatten().to_numpy(zero_copy_only=False)
-    here = t["gh"][0].as_py()
+    here = t["g"][0].as_py()
     groups[groups >= here] = np.iinfo(np.int64).max
     earlier = (groups < here).any(1)
     n = len(part)
@@ -223,17 +223,20 @@ def _in_blocks(df: DataFrame) -> DataFrame:
 
 
 def _meetings(nodes: DataFrame) -> DataFrame:
-    """``g, lo, hi, own, digest, gh, groups``: every node once for each pair of blocks, of each of its groups, that it is in."""
-    buckets = nodes.select("digest", "size", F.explode("bands").alias("band"))
-    least = cut(buckets.groupBy("band").agg(F.min("digest").alias("g"), F.count("*").alias("n")).where("n > 1"))
-    member = cut(join_hot(buckets, least, "band", "n").groupBy("g", "digest").agg(F.first("size").alias("size")))
+    """``g, lo, hi, own, digest, groups``: every node once for each pair of blocks, of each of its groups, that it is in.
+
+    A group's number is the least hash of a node in one of its buckets; that groups could share one does no harm.
+    """
+    buckets = nodes.select("digest", F.explode("bands").alias("band"))
+    least = cut(buckets.groupBy("band").agg(F.min(F.xxhash64("digest")).alias("g"), F.count("*").alias("n")).where("n > 1"))
+    member = cut(join_hot(buckets, least, "band", "n").select("digest", "g").distinct().join(nodes.select("digest", "size"), "digest"))
     sized = member.groupBy("g").agg(F.count("*").alias("n"), F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("size") / BLOCK_BYTES)).cast("int").alias("blocks"))
-    member = join_hot(member, sized, "g", "n").withColumn("own", F.pmod(F.xxhash64("digest"), F.col("blocks")).cast("int"))
+    member = join_hot(member, sized.where("n > 1"), "g", "n").withColumn("own", F.pmod(F.xxhash64("digest"), F.col("blocks")).cast("int"))
     # a node has at most a group a band
-    mine = member.groupBy("digest").agg(F.array_sort(F.collect_list(F.struct(F.xxhash64("g").alias("gh"), "g", "own", "blocks"))).alias("m"))
-    each = mine.select("digest", F.transform("m", lambda m: m["gh"]).alias("groups"), F.explode("m").alias("m")).select("digest", "groups", "m.*")
+    mine = member.groupBy("digest").agg(F.array_sort(F.collect_list(F.struct("g", "own", "blocks"))).alias("m"))
+    each = mine.select("digest", F.transform("m", lambda m: m["g"]).alias("groups"), F.explode("m").alias("m")).select("digest", "groups", "m.*")
     each = each.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    return each.select("g", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "digest", "gh", "groups")
+    return each.select("g", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "digest", "groups")
 
 
 class Classes:
