@@ -1,13 +1,14 @@
 """Fuzzy matching of two lists of strings, whole or within groups, and picks from score tables.
 
 Scorers: ``levenshtein`` stays in the JVM as a join with an expression; ``ratio`` (indel, from 0
-to 100) compares blocks of queries with blocks of choices in vectorised Python. Each block
-meets each one of its group once, so a task's memory is bounded whatever the sizes.
+to 100) compares blocks of queries with blocks of choices in vectorised Python; a function of
+two equally long series of strings is applied to blocks as well. Each block meets each one of its group
+once, so a task's memory is bounded whatever the sizes, and leaves no more than each query's best.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 import numpy as np
 import pandas as pd
@@ -16,8 +17,10 @@ from pyspark.sql import functions as F
 
 from quillon.functions.similarity import Choices, levenshtein_ratio
 
-#: Strings of a block of queries, and of a block of choices.
+#: Strings of a block of queries at most, and of a block of choices.
 QUERY_BLOCK, CHOICE_BLOCK = 5_000, 50_000
+#: A name, or a function from series of queries and choices to their scores.
+Scorer = str | Callable[[pd.Series, pd.Series], pd.Series]
 PREDICATES = {"greater_equal": lambda x, t: x >= t, "greater": lambda x, t: x > t, "less": lambda x, t: x < t, "less_equal": lambda x, t: x <= t}
 
 
@@ -27,29 +30,38 @@ def clean(df: DataFrame, value_col: str, groups: Sequence[str] = ()) -> DataFram
     return own.dropna().distinct()
 
 
-def panel(queries: DataFrame, choices: DataFrame, query_col: str, choice_col: str, groups: Sequence[str] = (), scorer: str = "ratio", least: float = 0.0) -> DataFrame:
-    """``<groups>, origin_query, match_list, match_score`` of all pairs (of a group) that can score ``least``.
+def _score(left: str, choices: np.ndarray, table: Choices | None, scorer: Scorer, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """(choice, score) of one query, those below ``least`` left out."""
+    if table is not None:
+        at, value = table.ratios(left, least)
+    else:
+        at, value = np.arange(len(choices)), np.asarray(scorer(pd.Series([left] * len(choices), dtype=object), pd.Series(choices, dtype=object)), np.float64)
+    keep = value >= least - 1e-9 if least > 0 else ~np.isnan(value)
+    return at[keep], value[keep]
 
-    A result of |queries| * |choices| rows by definition where ``least`` is 0.
-    """
-    groups = list(groups)
-    q, c = clean(queries, query_col, groups).withColumnRenamed("_v", "origin_query"), clean(choices, choice_col, groups).withColumnRenamed("_v", "match_list")
-    if scorer == "levenshtein":
-        pairs = q.join(c, groups) if groups else q.crossJoin(c)
-        if least > 0:  # the distance is at least the difference of lengths
-            a, b = F.length("origin_query"), F.length("match_list")
-            pairs = pairs.where(F.least(a, b) * 100.0 >= F.greatest(a, b) * least - 1e-6)
-        out = pairs.select(*groups, "origin_query", "match_list", levenshtein_ratio("origin_query", "match_list").alias("match_score"))
-        return out.where(F.col("match_score") >= least - 1e-9) if least > 0 else out
-    if scorer != "ratio":
-        raise ValueError("scorer: ratio or levenshtein")
 
-    def blocked(df: DataFrame, value: str, size: int, name: str) -> DataFrame:
-        count = df.groupBy(*groups).agg(F.ceil(F.count("*") / size).cast("int").alias(f"{name}s"))
+def _best(at: np.ndarray, value: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The ``k`` greatest; of equal ones the first."""
+    if len(at) > k:
+        bound = np.partition(value, len(value) - k)[len(value) - k]
+        keep = value >= bound
+        at, value = at[keep], value[keep]
+    order = np.lexsort((at, -value))[:k]
+    return at[order], value[order]
+
+
+def _blocked(q: DataFrame, c: DataFrame, groups: list[str], scorer: Scorer, least: float, k: int | None) -> DataFrame:
+    """Scores of all pairs by blocks; with ``k`` the best of each query in each block of choices only."""
+    cores = q.sparkSession.sparkContext.defaultParallelism
+
+    def sized(df: DataFrame, value: str, size: int, name: str, least_blocks: int) -> DataFrame:
+        # small tables are cut into a block a core
+        blocks = F.greatest(F.ceil(F.count("*") / size), F.least(F.lit(least_blocks), F.ceil(F.count("*") / 64))).cast("int")
+        count = df.groupBy(*groups).agg(blocks.alias(f"{name}s"))
         joined = df.join(count, groups) if groups else df.crossJoin(F.broadcast(count))  # without groups: one row
         return joined.withColumn(name, F.pmod(F.xxhash64(value), F.col(f"{name}s")).cast("int"))
 
-    qb, cb = blocked(q, "origin_query", QUERY_BLOCK, "_qb"), blocked(c, "match_list", CHOICE_BLOCK, "_cb")
+    qb, cb = sized(q, "origin_query", QUERY_BLOCK, "_qb", 1 if groups else 2 * cores), sized(c, "match_list", CHOICE_BLOCK, "_cb", 1)
     n_q, n_c = qb.select(*groups, "_qbs").distinct(), cb.select(*groups, "_cbs").distinct()
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     meet = (lambda a, b: a.join(b, groups)) if groups else (lambda a, b: a.crossJoin(F.broadcast(b)))  # one row again
@@ -57,45 +69,75 @@ def panel(queries: DataFrame, choices: DataFrame, query_col: str, choice_col: st
     c_all = meet(cb, n_q).withColumn("_qb", every("_qbs")).select(*groups, "_qb", "_cb", "match_list")
     kinds = dict(q.dtypes)
     schema = ", ".join([f"`{g}` {kinds[g]}" for g in groups] + ["origin_query string", "match_list string", "match_score double"])
+    names = [*groups, "origin_query", "match_list", "match_score"]
 
-    def score(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        names = [*groups, "origin_query", "match_list", "match_score"]
+    def run(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left) or not len(right):
             return pd.DataFrame({n: [] for n in names})
-        strings = np.array(right["match_list"], object)
-        table = Choices(strings.tolist())
+        strings = np.array(sorted(right["match_list"]), object)  # in order, so that the first of equals is the first by text
+        table = Choices(strings.tolist()) if scorer == "ratio" else None
+        queries = left["origin_query"].to_numpy()
         own, at, value = [], [], []
-        for s in left["origin_query"]:
-            i, r = table.ratios(s, least)
-            if least > 0:
-                i, r = i[r >= least - 1e-9], r[r >= least - 1e-9]
-            own.append(np.repeat(np.array([s], object), len(i)))
-            at.append(i)
+        for i, s in enumerate(queries):
+            x, r = _score(s, strings, table, scorer, least)
+            if k is not None:
+                x, r = _best(x, r, k)
+            own.append(np.full(len(x), i))
+            at.append(x)
             value.append(r)
-        out = pd.DataFrame({"origin_query": np.concatenate(own), "match_list": strings[np.concatenate(at)], "match_score": np.concatenate(value)})
-        for k, g in enumerate(groups):
-            out[g] = key[k]
+        out = pd.DataFrame({"origin_query": queries[np.concatenate(own)], "match_list": strings[np.concatenate(at)], "match_score": np.concatenate(value)})
+        for g, v in zip(groups, key):
+            out[g] = v
         return out[names]
 
     keys = [*groups, "_qb", "_cb"]
-    return q_all.groupBy(*keys).cogroup(c_all.groupBy(*keys)).applyInPandas(score, schema)
+    return q_all.groupBy(*keys).cogroup(c_all.groupBy(*keys)).applyInPandas(run, schema)
+
+
+def _cleaned(queries: DataFrame, choices: DataFrame, query_col: str, choice_col: str, groups: list[str], drop_first_group: bool) -> tuple[DataFrame, DataFrame]:
+    q, c = clean(queries, query_col, groups).withColumnRenamed("_v", "origin_query"), clean(choices, choice_col, groups).withColumnRenamed("_v", "match_list")
+    if drop_first_group and groups:
+        first = c.agg(F.min(F.struct(*groups)).alias("f"))
+        c = c.crossJoin(F.broadcast(first)).where(F.struct(*groups) != F.col("f")).drop("f")  # one row
+    return q, c
+
+
+def panel(queries: DataFrame, choices: DataFrame, query_col: str, choice_col: str, groups: Sequence[str] = (), scorer: Scorer = "ratio", least: float = 0.0, best_of: int | None = None, drop_first_group: bool = False) -> DataFrame:
+    """``<groups>, origin_query, match_list, match_score`` of all pairs (of a group) that can score ``least``.
+
+    A result of |queries| * |choices| rows by definition where ``least`` is 0. ``best_of`` lets blocks leave
+    out what isn't among a query's best there; scores of NaN are left out always. ``drop_first_group``
+    leaves out the least group of the choices, as an older implementation did.
+    """
+    groups = list(groups)
+    q, c = _cleaned(queries, choices, query_col, choice_col, groups, drop_first_group)
+    if scorer == "levenshtein":
+        pairs = q.join(c, groups) if groups else q.crossJoin(c)
+        if least > 0:  # the distance is at least the difference of lengths
+            a, b = F.length("origin_query"), F.length("match_list")
+            pairs = pairs.where(F.least(a, b) * 100.0 >= F.greatest(a, b) * least - 1e-6)
+        out = pairs.select(*groups, "origin_query", "match_list", levenshtein_ratio("origin_query", "match_list").alias("match_score"))
+        return out.where(F.col("match_score") >= least - 1e-9) if least > 0 else out
+    if scorer != "ratio" and not callable(scorer):
+        raise ValueError("scorer: ratio, levenshtein or a function")
+    return _blocked(q, c, groups, scorer, least, best_of)
 
 
-def best(queries: DataFrame, choices: DataFrame, query_col: str, choice_col: str, groups: Sequence[str] = (), scorer: str = "ratio") -> DataFrame:
+def best(queries: DataFrame, choices: DataFrame, query_col: str, choice_col: str, groups: Sequence[str] = (), scorer: Scorer = "ratio", **options) -> DataFrame:
     """The best choice of each query; of equal scores the first by text."""
-    return largest(queries, choices, query_col, choice_col, 1, groups, scorer)
+    return largest(queries, choices, query_col, choice_col, 1, groups, scorer, **options)
 
 
-def largest(queries: DataFrame, choices: DataFrame, query_col: str, choice_col: str, k: int = 4, groups: Sequence[str] = (), scorer: str = "ratio") -> DataFrame:
-    """The ``k`` best choices of each query; of equal scores the first by text."""
-    every = panel(queries, choices, query_col, choice_col, groups, scorer)
+def largest(queries: DataFrame, choices: DataFrame, query_col: str, choice_col: str, k: int = 4, groups: Sequence[str] = (), scorer: Scorer = "ratio", **options) -> DataFrame:
+    """The ``k`` best choices of each query; of equal scores the first by text. Blocks leave k rows a query each."""
+    every = panel(queries, choices, query_col, choice_col, groups, scorer, best_of=k, **options)
     order = Window.partitionBy(*groups, "origin_query").orderBy(F.desc("match_score"), "match_list")
     return every.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= k).drop("_r")
 
 
-def within(queries: DataFrame, choices: DataFrame, query_col: str, choice_col: str, threshold: float = 70.0, method: str = "greater_equal", groups: Sequence[str] = (), scorer: str = "ratio") -> DataFrame:
+def within(queries: DataFrame, choices: DataFrame, query_col: str, choice_col: str, threshold: float = 70.0, method: str = "greater_equal", groups: Sequence[str] = (), scorer: Scorer = "ratio", **options) -> DataFrame:
     """All pairs whose score passes the predicate; queries without one vanish. Lengths prune pairs for ``greater``, ``greater_equal``."""
-    every = panel(queries, choices, query_col, choice_col, groups, scorer, max(threshold, 0.0) if method.startswith("greater") else 0.0)
+    every = panel(queries, choices, query_col, choice_col, groups, scorer, max(threshold, 0.0) if method.startswith("greater") else 0.0, **options)
     return every.where(PREDICATES[method](F.col("match_score"), F.lit(float(threshold))))
 
 
