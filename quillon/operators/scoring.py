@@ -1,7 +1,7 @@
 """Dictionary scores of documents: TF, TF-IDF and its variants, word contributions.
 
-A dictionary is a frame ``dimension, word`` (``rank`` where ranks count); tokens are counted by
-document and word before they meet it, so the join carries one row for each distinct word.
+A dictionary is a frame ``dimension, word`` (``rank`` where ranks count). Tokens meet its words before anything
+is counted, so what is shuffled are counts of the words that matched, not of all words.
 """
 
 from __future__ import annotations
@@ -11,15 +11,14 @@ from pyspark.sql import functions as F
 
 from quillon.functions import text as T
 from quillon.operators import tokens as K
+from quillon.sources.checkpoints import small
 
 METHODS = ("TFIDF", "WFIDF", "TFIDF+SIMWEIGHT", "WFIDF+SIMWEIGHT")
-#: Dictionaries of up to so many rows are broadcast; larger ones are joined by shuffle.
-BROADCAST_ROWS = 500_000
 
 
-def _small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """A broadcast hint if the frame is small enough; its size is looked at, not assumed."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+def _hint(df: DataFrame, fits: bool) -> DataFrame:
+    """A broadcast hint if what bounds the frame has been found small; larger ones are joined by shuffle."""
+    return F.broadcast(df) if fits else df
 
 
 def dimensions(dictionary: DataFrame) -> list[str]:
@@ -32,26 +31,31 @@ def word_weights(dictionary: DataFrame) -> DataFrame:
     return dictionary.groupBy("word").agg(T.similarity_weight(F.max_by("rank", F.struct("dimension", "rank"))).alias("weight"))
 
 
-def matched(tc: DataFrame, dictionary: DataFrame, vague: bool = False) -> DataFrame:
-    """Rows of ``tc`` with each dimension that has the word; vague: a dictionary word inside it.
+def counted_hits(df: DataFrame, dictionary: DataFrame, id_col: str = "doc_id", text_col: str = "text", vague: bool = False) -> DataFrame:
+    """``id, word, n, dimensions ARRAY<STRING>``: how often each word of the dictionary is in each document, and its dimensions.
 
-    Vague matching looks at distinct words only, then joins back by equality.
+    Vague: words that hold a dictionary word; of those, distinct words only are searched, then joined back by equality.
     """
     words = dictionary.select("dimension", "word").where("word is not null and dimension is not null").distinct()
-    if not vague:
-        return tc.join(_small(words), "word")
-    part = words.withColumnRenamed("word", "_part")
-    hits = tc.select("word").distinct().join(_small(part), F.contains(F.col("word"), F.col("_part"))).select("word", "dimension").distinct()
-    return tc.join(hits, "word")
-
-
-def _wide(scored: DataFrame, lengths: DataFrame, dims: list[str], id_col: str, scale: bool, normalize: bool) -> DataFrame:
-    wide = scored.groupBy(id_col).pivot("dimension", dims).agg(F.sum("value")) if dims else scored.select(id_col).distinct()
+    fits = small(words)
+    if vague:
+        part = words.withColumnRenamed("word", "_part")
+        every = df.select(F.explode(F.array_distinct(T.tokens(text_col))).alias("word")).distinct()
+        words = every.join(_hint(part, fits), F.contains(F.col("word"), F.col("_part"))).select("word", "dimension")
+    table = words.groupBy("word").agg(F.collect_set("dimension").alias("dimensions"))
+    tokens = df.select(F.col(id_col), F.explode(T.tokens(text_col)).alias("word"))
+    found = tokens.join(_hint(table, fits and not vague), "word")
+    return found.groupBy(id_col, "word").agg(F.count("*").alias("n"), F.first("dimensions").alias("dimensions"))
+
+
+def _wide(hits: DataFrame, value: Column, lengths: DataFrame, dims: list[str], id_col: str, scale: bool, normalize: bool) -> DataFrame:
+    sums = [F.sum(F.when(F.array_contains("dimensions", d), value)).alias(d) for d in dims]
+    wide = hits.groupBy(id_col).agg(*sums) if dims else hits.select(id_col).distinct()
     out = lengths.join(wide, id_col, "left")
-    value: dict[str, Column] = {d: F.coalesce(F.col(f"`{d}`"), F.lit(0)).cast("double") for d in dims}
+    scores: dict[str, Column] = {d: F.coalesce(F.col(f"`{d}`"), F.lit(0)).cast("double") for d in dims}
     if scale:
-        value = {d: F.try_divide(v, F.col("document_length")) for d, v in value.items()}
-    out = out.select(id_col, *[v.alias(d) for d, v in value.items()], "document_length")
+        scores = {d: F.try_divide(v, F.col("document_length")) for d, v in scores.items()}
+    out = out.select(id_col, *[v.alias(d) for d, v in scores.items()], "document_length")
     if normalize and dims:
         norm = F.sqrt(sum((F.col(f"`{d}`") * F.col(f"`{d}`") for d in dims), F.lit(0.0)))
         out = out.withColumn("_norm", norm).select(id_col, *[F.when(F.col("_norm") > 0, F.col(f"`{d}`") / F.col("_norm")).otherwise(F.col(f"`{d}`")).alias(d) for d in dims], "document_length")
@@ -63,33 +67,49 @@ def tf_scores(df: DataFrame, dictionary: DataFrame, id_col: str = "doc_id", text
 
     A word in several dimensions counts in each. ``scale`` divides by the length (null for an empty document).
     """
-    hits = matched(K.term_counts(df, id_col, text_col), dictionary, vague).select(id_col, "dimension", F.col("n").alias("value"))
-    return _wide(hits, K.document_lengths(df, id_col, text_col), dimensions(dictionary), id_col, scale, False)
+    hits = counted_hits(df, dictionary, id_col, text_col, vague)
+    return _wide(hits, F.col("n"), K.document_lengths(df, id_col, text_col), dimensions(dictionary), id_col, scale, False)
 
 
-def weighted_terms(df: DataFrame, dictionary: DataFrame, method: str = "TFIDF", weights: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text", vague: bool = False) -> DataFrame:
-    """``id, dimension, word, n, value``: the weight of each matched word, by natural logarithms, unsmoothed."""
+def _value(method: str) -> Column:
+    """The weight of ``n`` occurrences of a word that ``df`` of ``n_docs`` documents have, by natural logarithms, unsmoothed."""
+    n = F.col("n").cast("double")
+    if method == "TF":
+        return n
+    value = (n if method.startswith("TF") else 1 + F.log(n)) * F.log(F.col("n_docs") / F.col("df"))
+    return value * F.col("_weight") if method.endswith("SIMWEIGHT") else value
+
+
+def _with_frequencies(df: DataFrame, dictionary: DataFrame, weights: DataFrame | None, id_col: str, text_col: str, vague: bool, weighted: bool) -> DataFrame:
+    """``counted_hits`` with ``df, n_docs`` and, for weighted methods, ``_weight``."""
+    hits = counted_hits(df, dictionary, id_col, text_col, vague)
+    fits = small(dictionary.select("dimension", "word"))
+    # a row a document and word that matched: frequencies are counted on them; there are no more than words in the dictionary
+    hits = hits.join(_hint(hits.groupBy("word").agg(F.count("*").alias("df")), fits and not vague), "word")
+    total = df.agg(F.count_distinct(F.col(id_col)).alias("n_docs"))
+    hits = hits.crossJoin(F.broadcast(total))  # one row
+    if weighted:
+        own = (weights if weights is not None else word_weights(dictionary)).select("word", F.col("weight").alias("_weight"))
+        hits = hits.join(_hint(own, fits if weights is None else small(own)), "word")
+    return hits
+
+
+def _checked(method: str) -> str:
     if method not in METHODS:
         raise ValueError(f"method must be one of {METHODS}")
-    tc = K.term_counts(df, id_col, text_col)
-    freq = tc.groupBy("word").agg(F.count("*").alias("df"))
-    total = df.agg(F.count_distinct(F.col(id_col)).alias("n_docs"))
-    hits = matched(tc, dictionary, vague)
-    # only the frequencies of words that matched are needed: the dictionary prunes the join's build side
-    hits = hits.join(matched(freq, dictionary, vague).select("word", "df").distinct(), "word").crossJoin(F.broadcast(total))  # total: one row
-    tf = F.col("n").cast("double") if method.startswith("TF") else 1 + F.log(F.col("n").cast("double"))
-    value = tf * F.log(F.col("n_docs") / F.col("df"))
-    if method.endswith("SIMWEIGHT"):
-        own = weights if weights is not None else word_weights(dictionary)
-        hits = hits.join(_small(own.select("word", F.col("weight").alias("_weight"))), "word")
-        value = value * F.col("_weight")
-    return hits.select(id_col, "dimension", "word", "n", value.alias("value"))
+    return method
+
+
+def weighted_terms(df: DataFrame, dictionary: DataFrame, method: str = "TFIDF", weights: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text", vague: bool = False) -> DataFrame:
+    """``id, dimension, word, n, value``: the weight of each matched word."""
+    hits = _with_frequencies(df, dictionary, weights, id_col, text_col, vague, _checked(method).endswith("SIMWEIGHT"))
+    return hits.select(id_col, F.explode("dimensions").alias("dimension"), "word", "n", _value(method).alias("value"))
 
 
 def tfidf_scores(df: DataFrame, dictionary: DataFrame, method: str = "TFIDF", weights: DataFrame | None = None, scale: bool = True, normalize: bool = False, vague: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id, <dimensions> DOUBLE, document_length``; ``normalize`` divides by the L2 norm over the dimensions (after scaling)."""
-    hits = weighted_terms(df, dictionary, method, weights, id_col, text_col, vague)
-    return _wide(hits, K.document_lengths(df, id_col, text_col), dimensions(dictionary), id_col, scale, normalize)
+    hits = _with_frequencies(df, dictionary, weights, id_col, text_col, vague, _checked(method).endswith("SIMWEIGHT"))
+    return _wide(hits, _value(method), K.document_lengths(df, id_col, text_col), dimensions(dictionary), id_col, scale, normalize)
 
 
 def word_contributions(df: DataFrame, dictionary: DataFrame, method: str = "TFIDF", weights: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text", vague: bool = False) -> DataFrame:
@@ -101,14 +121,13 @@ def word_contributions(df: DataFrame, dictionary: DataFrame, method: str = "TFID
 def contribution_table(df: DataFrame, dictionary: DataFrame, weights: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``method, dimension, word, rank INT, contribution, share, cumulative_share`` for TF and the four weightings.
 
-    Contributions aren't divided by lengths. Ranks: greatest first, then by word.
+    Contributions aren't divided by lengths. Ranks: greatest first, then by word. All methods come from one pass over the texts.
     """
-    parts = [matched(K.term_counts(df, id_col, text_col), dictionary).select(F.lit("TF").alias("method"), "dimension", "word", F.col("n").cast("double").alias("value"))]
-    parts += [weighted_terms(df, dictionary, m, weights, id_col, text_col).select(F.lit(m).alias("method"), "dimension", "word", "value") for m in METHODS]
-    every = parts[0]
-    for p in parts[1:]:
-        every = every.unionByName(p)
-    by_word = every.groupBy("method", "dimension", "word").agg(F.sum("value").alias("contribution"))
+    hits = _with_frequencies(df, dictionary, weights, id_col, text_col, False, True)
+    methods = ("TF", *METHODS)
+    sums = hits.groupBy("word", "dimensions").agg(*[F.sum(_value(m)).alias(m) for m in methods])
+    every = F.array(*[F.struct(F.lit(m).alias("method"), F.col(f"`{m}`").alias("contribution")) for m in methods])
+    by_word = sums.select("word", "dimensions", F.explode(every).alias("v")).select(F.explode("dimensions").alias("dimension"), "word", "v.*")
     part = Window.partitionBy("method", "dimension")
     order = part.orderBy(F.desc("contribution"), "word")
     running = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
