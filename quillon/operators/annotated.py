@@ -75,30 +75,48 @@ def _sentiment_pattern(rules: Rules) -> str:
 
 def sentiment(line: Column | str, rules: Rules = Rules()) -> Column:
     """The label of the first token that is one; an empty text if there is none."""
-    pattern = _sentiment_pattern(rules)
-    hits = F.filter(_raw_tokens(line, rules), lambda t: t.rlike(pattern))
-    return F.when(F.size(hits) > 0, F.regexp_extract(F.try_element_at(hits, F.lit(1)), pattern, 1)).otherwise(F.lit(""))
+    pattern, mark = _sentiment_pattern(rules), f"[{rules.sentiment_label}:".lower()
+    hits = F.filter(_raw_tokens(line, rules), lambda t: t.startswith("[") & F.lower(t).startswith(mark) & t.rlike(pattern))
+    found = F.coalesce(F.regexp_extract(F.try_element_at(hits, F.lit(1)), pattern, 1), F.lit(""))
+    own = F.col(line) if isinstance(line, str) else line
+    # most lines have no such mark, and one search of the line tells
+    return F.when(F.contains(F.lower(own), F.lit(mark)), found).otherwise(F.lit(""))
 
 
 def parse(line: Column | str, rules: Rules = Rules()) -> Column:
     """The line's tokens without the first sentiment token."""
-    pattern = _sentiment_pattern(rules)
-    toks = T.let(_raw_tokens(line, rules), lambda t: T.let(F.struct(t.alias("t"), F.array_position(F.transform(t, lambda x: x.rlike(pattern)), True).alias("at")), lambda v: F.filter(v["t"], lambda x, i: i + 1 != v["at"])))
-    ner, pos = re.escape(rules.ner_label), re.escape(rules.pos_label)
-    ner_pattern, pos_pattern = rf"(?is)^\[{ner}:(.+?)\]", rf"(?is)^(.*)\[{pos}:(.+?)\]$"
+    pattern, mark = _sentiment_pattern(rules), f"[{rules.sentiment_label}:".lower()
+    is_one = lambda x: x.startswith("[") & F.lower(x).startswith(mark) & x.rlike(pattern)
+    without = lambda t: T.let(F.struct(t.alias("t"), F.array_position(F.transform(t, is_one), True).alias("at")), lambda v: F.filter(v["t"], lambda x, i: i + 1 != v["at"]))
+    own = F.col(line) if isinstance(line, str) else line
+    raw = _raw_tokens(line, rules)
+    toks = F.when(F.contains(F.lower(own), F.lit(mark)), T.let(raw, without)).otherwise(raw)
+    ner_pattern = rf"(?is)^\[{re.escape(rules.ner_label)}:(.+?)\]"
+    # what follows the last tag: found by one pattern, the rest by its length
+    pos_pattern = rf"(?is)^.*(\[{re.escape(rules.pos_label)}:.+?\]$)"
+    skip = len(rules.pos_label) + 2
 
     def part(p: Column) -> Column:
         def tail(rest: Column) -> Column:
-            tagged = rest.rlike(pos_pattern)
-            return F.struct(
-                F.regexp_extract(p, ner_pattern, 1).alias("ner"),
-                F.when(tagged, F.regexp_extract(rest, pos_pattern, 2)).otherwise(F.lit("")).alias("pos"),
-                F.when(tagged, F.regexp_extract(rest, pos_pattern, 1)).otherwise(rest).alias("original_text"),
-            )
-
-        return T.let(F.regexp_replace(p, ner_pattern, ""), tail)
-
-    return F.transform(toks, lambda t: F.transform(T.split_on(t, _cased(rules.part_sep, rules)), part))
+            def tagged(v: Column) -> Column:
+                tag, rest = v["tag"], v["rest"]
+                some = tag != ""
+                # a line break behind the tag goes with it
+                return F.struct(
+                    v["ner"].alias("ner"),
+                    F.when(some, F.substring(tag, skip + 1, F.length(tag) - skip - 1)).otherwise(F.lit("")).alias("pos"),
+                    F.when(some, F.substring(rest, F.lit(1), F.length(F.regexp_replace(rest, "(?:\r\n|[\n\r\u0085\u2028\u2029])\\z", "")) - F.length(tag))).otherwise(rest).alias("original_text"),
+                )
+
+            return T.let(F.struct(rest["ner"].alias("ner"), rest["rest"].alias("rest"), F.when(F.contains(rest["rest"], F.lit("[")), F.regexp_extract(rest["rest"], pos_pattern, 1)).otherwise(F.lit("")).alias("tag")), tagged)
+
+        bare = F.struct(F.lit("").alias("ner"), p.alias("rest"))
+        marked = F.struct(F.regexp_extract(p, ner_pattern, 1).alias("ner"), F.regexp_replace(p, ner_pattern, "").alias("rest"))
+        return T.let(F.when(p.startswith("["), marked).otherwise(bare), tail)
+
+    split = lambda t: F.when(F.contains(t, F.lit(sep)), T.split_on(t, sep)).otherwise(F.array(t)) if sep else T.split_on(t, sep)
+    sep = _cased(rules.part_sep, rules)
+    return F.transform(toks, lambda t: F.transform(split(t), part))
 
 
 def render(tokens: Column | str, rules: Rules = Rules()) -> Column:

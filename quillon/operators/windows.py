@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+import json
+import zlib
+from collections.abc import Callable, Collection, Mapping, Sequence
 from functools import reduce
 from operator import and_
 
@@ -28,16 +30,18 @@ def paragraph_windows(df: DataFrame, patterns: Sequence[str], window: int, merge
     good = F.filter(starts, ok)
     if not merge:
         return base.select(id_col, F.explode(F.transform(good, lambda i: F.struct(i.alias("start"), (i + window).alias("end")))).alias("w")).select(id_col, "w.start", "w.end")
-    kind = "array<struct<start:int,end:int>>"
-    merged = F.aggregate(
-        good,
-        F.array().cast(kind),
-        lambda acc, i: F.when(
-            (F.size(acc) > 0) & (i < F.try_element_at(acc, F.lit(-1))["end"]),
-            F.concat(F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))), F.array(F.struct(F.try_element_at(acc, F.lit(-1))["start"].alias("start"), (i + window).alias("end")))),
-        ).otherwise(F.concat(acc, F.array(F.struct(i.alias("start"), (i + window).alias("end"))))).cast(kind),
-    )
-    return base.select(id_col, F.explode(merged).alias("w")).select(id_col, "w.start", "w.end")
+    # a window that begins a group is a whole window or more behind the one before it, one that ends it before the next one
+    far = lambda x, y: x.isNull() | y.isNull() | (y - x >= window)
+
+    def merged(g: Column) -> Column:
+        before = F.concat(F.array(F.lit(None).cast("int")), g)  # the last one is of no use, zip_with makes it a null pair
+        after = F.slice(g, 2, F.greatest(F.size(g), F.lit(1)))
+        pairs = lambda x, y: F.zip_with(x, y, lambda p, q: F.struct(p.alias("p"), q.alias("q")))
+        first = F.filter(pairs(before, g), lambda v: v["q"].isNotNull() & far(v["p"], v["q"]))
+        last = F.filter(pairs(g, after), lambda v: far(v["p"], v["q"]))
+        return F.zip_with(first, last, lambda f, t: F.struct(f["q"].alias("start"), (t["p"] + window).alias("end")))
+
+    return base.select(id_col, F.explode(T.let(good, merged)).alias("w")).select(id_col, "w.start", "w.end")
 
 
 def _found(sentences: Column, pattern: str) -> Column:
@@ -77,42 +81,51 @@ def topic_windows(
     glue = "\x1f"
     centred = F.transform(places, lambda p: F.struct(F.array_join(F.slice(F.col("_w"), p, n), glue).alias("g"), p.alias("p")))
     base = base.select(id_col, "_w", centred.alias("_c"))
-    tables = [{glue.join(g): float(w) for g, w in weights.items()} for weights in topics.values()]
-    base = base.select(id_col, "_w", *[_hits("_c", list(t)).alias(f"_t{k}") for k, t in enumerate(tables)])
+    tables = [_lookup({glue.join(g): float(w) for g, w in weights.items()}) for weights in topics.values()]
+    members = {s: _member(own) for s, own in subjects.items()}
+    known = lambda table: F.filter("_c", lambda c: table(c["g"]).isNotNull())
+    base = base.select(id_col, "_w", *[known(t).alias(f"_t{k}") for k, t in enumerate(tables)])
     factor = F.try_divide(F.lit(float(multiplier)), total) if scale else F.lit(float(multiplier))
     out: list[Column] = [total.alias("total_words")]
-    out += [(F.size(_among("_w", own)) * factor).alias(f"subject_count_{s}") for s, own in subjects.items()]
+    out += [(F.size(F.filter("_w", own)) * factor).alias(f"subject_count_{s}") for s, own in members.items()]
     for k, (t, table) in enumerate(zip(topics, tables)):
         hits = F.col(f"_t{k}")
-        lookup = F.create_map(*[F.lit(x) for kv in table.items() for x in kv]) if table else F.create_map(F.lit(""), F.lit(0.0))
         out.append((F.size(hits) * factor).alias(f"topic_ngram_count_{t}"))
-        out.append((_total(hits, lookup, None) * factor).alias(f"topic_ngram_count_weighted_{t}"))
-        for s, own in subjects.items():
+        out.append((_total(hits, table, None) * factor).alias(f"topic_ngram_count_weighted_{t}"))
+        for s, own in members.items():
             near = _near("_w", centre, window + n, own, s in binary_subjects)
-            out.append((_total(hits, lookup, near) * factor).alias(f"topic_subject_score_{t}_{s}"))
+            out.append((_total(hits, table, near) * factor).alias(f"topic_subject_score_{t}_{s}"))
     return base.select(id_col, *out)
 
 
-def _hits(places: str, grams: list[str]) -> Column:
-    keys = F.lit(grams) if grams else F.array().cast("array<string>")
-    return F.filter(F.col(places), lambda c: F.array_contains(keys, c["g"]))
+def _lookup(table: Mapping[str, float]) -> Callable[[Column], Column]:
+    """The value of a key, null for another one: a literal array of small maps by checksum, for a map is searched from its begin."""
+    size = 1 << max(0, len(table).bit_length() - 1)
+    maps: list[dict[str, float]] = [{} for _ in range(size)]
+    for k, v in table.items():
+        maps[zlib.crc32(k.encode()) % size][k] = v
+    own = F.from_json(F.lit(json.dumps(maps)), "array<map<string,double>>")
+    return lambda key: F.get(own, F.pmod(F.crc32(key.cast("binary")), F.lit(size)).cast("int"))[key]
 
 
-def _among(words: str, own: set[str]) -> Column:
+def _member(own: Collection[str]) -> Callable[[Column], Column]:
+    """Whether a word is one of these: a set of literals if they are few."""
+    if len(own) > 200:
+        table = _lookup(dict.fromkeys(own, 1.0))
+        return lambda w: table(w).isNotNull()
     keys = sorted(own)
-    return F.filter(F.col(words), lambda w: w.isin(*keys) if keys else F.lit(False))
+    return lambda w: w.isin(*keys) if keys else F.lit(False)
 
 
-def _near(words: str, before: int, size: int, own: set[str], binary: bool):
+def _near(words: str, before: int, size: int, own: Callable[[Column], Column], binary: bool) -> Callable[[Column], Column]:
     """How many distinct words of a subject are in the window around a centre; 1 or 0 if ``binary``."""
-    keys = F.lit(sorted(own)) if own else F.array().cast("array<string>")
 
     def count(centre: Column) -> Column:
-        n = F.size(F.array_intersect(F.slice(F.col(words), centre["p"] - before, size), keys))
+        n = F.size(F.array_distinct(F.filter(F.slice(F.col(words), centre["p"] - before, size), own)))
         return (n > 0).cast("double") if binary else n
 
     return count
 
 
-def _total(hits: Column, lookup: Column, count) -> Column:
-    return F.aggregate(hits, F.lit(0.0), lambda acc, c: acc + lookup[c["g"]] * (count(c) if count else F.lit(1.0)))
+def _total(hits: Column, table: Callable[[Column], Column], count: Callable[[Column], Column] | None) -> Column:
+    return F.aggregate(hits, F.lit(0.0), lambda acc, c: acc + table(c["g"]) * (count(c) if count else F.lit(1.0)))
