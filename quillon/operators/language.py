@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillon.operators.scoring import _small
+from quillon.sources.checkpoints import cut, small
 
 RESULTS = ("max", "max_prob", "all", "all_prob")
 
@@ -24,28 +24,36 @@ def fit(df: DataFrame, text_col: str = "text", lang_col: str = "lang", n: int =
     counted = df.where(F.col(lang_col).isNotNull()).select(F.col(lang_col).alias("lang"), F.explode(_grams(F.col(text_col), n)).alias("gram")).groupBy("lang", "gram").agg(F.count("*").alias("n"))
     if rows is not None:
         kept = counted.groupBy("gram").agg(F.sum("n").alias("all")).orderBy(F.desc("all"), "gram").limit(rows).select("gram")
-        counted = counted.join(_small(kept), "gram")
+        counted = counted.join(kept, "gram")
     total = counted.groupBy("lang").agg(F.sum("n").alias("total"), F.count("*").alias("v"))
     size = F.lit(rows) if rows is not None else F.col("size")
     if rows is None:
         total = total.crossJoin(F.broadcast(counted.select("gram").distinct().agg(F.count("*").alias("size"))))  # one row
-    p = counted.join(F.broadcast(total), "lang").select("lang", "gram", F.log((F.col("n") + 0.5) / (F.col("total") + 0.5 * size)).alias("log_p"))
-    return p.unionByName(total.select("lang", F.lit(None).cast("string").alias("gram"), F.log(0.5 / (F.col("total") + 0.5 * size)).alias("log_p")))
+    p = counted.join(F.broadcast(total), "lang").select("lang", "gram", F.log((F.col("n") + 0.5) / (F.col("total") + 0.5 * size)).alias("log_p"))  # total: a row a language
+    return cut(p.unionByName(total.select("lang", F.lit(None).cast("string").alias("gram"), F.log(0.5 / (F.col("total") + 0.5 * size)).alias("log_p"))))
 
 
 def detect(df: DataFrame, model: DataFrame, result: str = "max", n: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id, languages``: the likeliest language (``max``), with its probability (``max_prob``), or all by probability.
 
-    N-grams are counted within a document before they meet the model. A text without a known n-gram has null.
+    A text without a known n-gram has null. Where the model can be broadcast, n-grams meet it where they are,
+    and only sums by document travel; else they are counted within a document before they meet it by shuffle.
     """
     if result not in RESULTS:
         raise ValueError(f"result must be one of {RESULTS}")
-    grams = df.select(F.col(id_col), F.explode(_grams(F.col(text_col), n)).alias("gram")).groupBy(id_col, "gram").agg(F.count("*").alias("n"))
-    unseen = model.where("gram is null").select("lang", F.col("log_p").alias("low"))
-    wide = model.where("gram is not null").groupBy("gram").agg(F.map_from_entries(F.collect_list(F.struct("lang", "log_p"))).alias("p"))
-    hits = grams.join(_small(wide), "gram").crossJoin(F.broadcast(unseen))  # unseen: a row a language
-    score = hits.groupBy(id_col, "lang").agg(F.sum(F.col("n") * F.coalesce(F.element_at("p", F.col("lang")), F.col("low"))).alias("s"))
-    every = score.groupBy(id_col).agg(F.collect_list(F.struct("s", "lang")).alias("x"))
+    low = {r["lang"]: r["log_p"] for r in model.where("gram is null").collect()}  # a row a language
+    langs = sorted(low)
+    if not langs:
+        raise ValueError("a model without languages")
+    # what each language gains from an n-gram that it knows, over an unseen one
+    known = model.where("gram is not null").groupBy("gram").agg(*[F.coalesce(F.max(F.when(F.col("lang") == x, F.col("log_p"))), F.lit(low[x])).alias(f"_l{i}") for i, x in enumerate(langs)])
+    grams = df.select(F.col(id_col), F.explode(_grams(F.col(text_col), n)).alias("gram"))
+    if small(model):
+        hits = grams.withColumn("n", F.lit(1)).join(F.broadcast(known), "gram")
+    else:
+        hits = grams.groupBy(id_col, "gram").agg(F.count("*").alias("n")).join(known, "gram")
+    sums = hits.groupBy(id_col).agg(*[F.sum(F.col("n") * F.col(f"_l{i}")).alias(f"_s{i}") for i in range(len(langs))])
+    every = sums.select(id_col, F.array(*[F.struct(F.col(f"_s{i}").alias("s"), F.lit(x).alias("lang")) for i, x in enumerate(langs)]).alias("x"))
     every = every.withColumn("top", F.array_max(F.transform("x", lambda v: v["s"])))
     every = every.withColumn("z", F.aggregate("x", F.lit(0.0), lambda acc, v: acc + F.exp(v["s"] - F.col("top"))))
     ordered = F.array_sort("x", lambda a, b: F.when(a["s"] > b["s"], -1).when(a["s"] < b["s"], 1).when(a["lang"] < b["lang"], -1).when(a["lang"] > b["lang"], 1).otherwise(0))

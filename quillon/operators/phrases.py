@@ -1,17 +1,20 @@
-"""Phrases of two words: counted and scored in the JVM, applied in one left-to-right pass."""
+"""Phrases of two words: counted and scored in the JVM, applied to whole batches of words."""
 
 from __future__ import annotations
 
 from collections.abc import Collection, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillon.functions import text as T
 
-#: Phrases that one broadcast holds; a larger model is an error, for it would have to be joined.
-MAX_PHRASES = 5_000_000
+#: Bytes of phrases that one pass over the texts broadcasts; a larger model makes more passes.
+PASS_BYTES = 64 << 20
+_GLUE = "\x1f"
 
 
 def fit(df: DataFrame, threshold: float, min_count: int = 10, connectors: Collection[str] = (), text_col: str = "text", scoring: str = "default") -> DataFrame:
@@ -43,37 +46,103 @@ def fit(df: DataFrame, threshold: float, min_count: int = 10, connectors: Collec
 
 
 def apply(df: DataFrame, phrases: DataFrame, connectors: Collection[str] = (), sep: str = "_", text_col: str = "text") -> DataFrame:
-    """The frame with phrases of its text joined by ``sep``, greedily from the left; words are rejoined by spaces. Null stays null."""
-    rows = phrases.select("first", "middle", "second").limit(MAX_PHRASES + 1).collect()
-    if len(rows) > MAX_PHRASES:
-        raise ValueError(f"more than {MAX_PHRASES} phrases: raise the threshold")
-    shared = df.sparkSession.sparkContext.broadcast(({(r[0], *r[1], r[2]) for r in rows}, frozenset(connectors)))
+    """The frame with phrases of its text joined by ``sep``, greedily from the left; words are rejoined by spaces. Null stays null.
+
+    Words lie between ASCII white space, as where phrases are counted.
+    """
     place = df.columns.index(text_col)
+    names = df.columns
+    flat = df.toDF(*[f"_c{i}" for i in range(len(names))])
+    rows = flat.withColumn("_hits", F.array().cast("array<int>"))
+    schema = rows.schema
+    between = pa.array(sorted(set(connectors)), pa.string())
+    parts = _passes(phrases)
+    part = next(parts)
+    while part is not None:
+        shared, part = df.sparkSession.sparkContext.broadcast(part), next(parts, None)
+        last = part is None
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared, last=last) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                columns = batch.columns
+                offsets, words = _words(columns[place])
+                hits = known_pairs(offsets, words, shared.value, between, columns[-1])
+                if last:
+                    columns[place] = pc.if_else(columns[place].is_valid(), joined(offsets, words, hits, between, sep), pa.scalar(None, pa.string()))
+                columns[-1] = _as_lists(offsets, hits)
+                yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names)
+
+        rows = rows.mapInArrow(run, schema)
+    return rows.drop("_hits").toDF(*names)
+
+
+def _passes(phrases: DataFrame) -> Iterator[pa.Array]:
+    """The phrases in arrays of up to PASS_BYTES, one at least; the driver holds two at a time."""
+    own, size, some = [], 0, False
+    for r in phrases.select(F.array_join(F.concat(F.array("first"), "middle", F.array("second")), _GLUE)).toLocalIterator():
+        own.append(r[0])
+        size += len(r[0].encode())
+        if size > PASS_BYTES:
+            yield pa.array(own, pa.string())
+            own, size, some = [], 0, True
+    if own or not some:
+        yield pa.array(own, pa.string())
+
+
+def _words(texts: pa.Array) -> tuple[np.ndarray, pa.Array]:
+    """(offsets of each text's words, all words); a null text has none."""
+    lists = pc.ascii_split_whitespace(pc.fill_null(texts.cast(pa.string()), ""))
+    words, offsets = lists.flatten(), lists.offsets.to_numpy().astype(np.int64)
+    keep = np.r_[False, pc.greater(pc.binary_length(words), 0).to_numpy(zero_copy_only=False)]
+    return np.cumsum(keep)[offsets - offsets[0]], words.filter(pa.array(keep[1:]))
+
+
+def known_pairs(offsets: np.ndarray, words: pa.Array, known: pa.Array, between: pa.Array, before: pa.Array | None = None) -> np.ndarray:
+    """Where phrases begin, overlapping ones too: places among all words. ``before`` has those of earlier passes, by text."""
+    out = np.zeros(0, np.int64)
+    if before is not None and len(flat := before.flatten()):
+        count = pc.list_value_length(before).to_numpy(zero_copy_only=False).astype(np.int64)
+        out = np.repeat(offsets[:-1], count) + flat.to_numpy(zero_copy_only=False)
+    if len(words) < 2:
+        return out
+    text = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
+    plain = ~pc.is_in(words, between).to_numpy(zero_copy_only=False) if len(between) else np.ones(len(words), bool)
+    at = np.flatnonzero(plain)  # a phrase begins and ends with words that are no connectors
+    a, b = at[:-1], at[1:]
+    same = text[a] == text[b]
+    a, b = a[same], b[same]
+    if not len(a):
+        return out
+    size = b - a + 1
+    ends = np.cumsum(size)
+    every = np.repeat(a - (ends - size), size) + np.arange(ends[-1])
+    keys = pc.binary_join(pa.ListArray.from_arrays(pa.array(np.r_[0, ends].astype(np.int32)), words.take(pa.array(every))), _GLUE)
+    return np.r_[out, a[pc.is_in(keys, known).to_numpy(zero_copy_only=False)]]
+
+
+def joined(offsets: np.ndarray, words: pa.Array, hits: np.ndarray, between: pa.Array, sep: str) -> pa.Array:
+    """The texts with phrases that begin at ``hits`` joined, of a run of overlapping ones every second."""
+    n = len(words)
+    plain = ~pc.is_in(words, between).to_numpy(zero_copy_only=False) if len(between) else np.ones(n, bool)
+    number = np.cumsum(plain) - 1  # of the words that are no connectors
+    hit = np.zeros(int(plain.sum()) + 1, bool)
+    hit[number[hits]] = True
+    place = np.arange(len(hit))
+    start = hit & ~np.r_[False, hit[:-1]]
+    chosen = np.flatnonzero(hit & ((place - np.maximum.accumulate(np.where(start, place, 0))) % 2 == 0))
+    at = np.r_[np.flatnonzero(plain), n]
+    inside = np.zeros(n + 1, np.int64)  # from a phrase's first word up to its last
+    np.add.at(inside, at[chosen], 1)
+    np.add.at(inside, at[chosen + 1], -1)
+    glue = np.where(np.cumsum(inside)[:n] > 0, sep, " ").astype(object)
+    glue[offsets[1:][offsets[1:] > offsets[:-1]] - 1] = ""
+    pieces = pc.binary_join_element_wise(words, pa.array(glue, pa.string()), "")
+    return pc.binary_join(pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pieces), "")
+
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, between = shared.value
-        for batch in batches:
-            out = [None if t is None else " ".join(join_phrases(t.split(), known, between, sep)) for t in batch.column(place).to_pylist()]
-            columns = batch.columns
-            columns[place] = pa.array(out, batch.schema.field(place).type)
-            yield pa.RecordBatch.from_arrays(columns, schema=batch.schema)
-
-    return df.mapInArrow(run, df.schema)
-
-
-def join_phrases(words: list[str], known: set, between: Collection[str], sep: str) -> list[str]:
-    out: list[str] = []
-    pending: list[str] = []  # a word that could begin a phrase, and connectors after it
-    for w in words:
-        if pending and w in between:
-            pending.append(w)
-            continue
-        if pending and (*pending, w) in known:
-            out.append(sep.join([*pending, w]))
-            pending = []
-            continue
-        out += pending
-        pending = [w]
-        if w in between:
-            out, pending = out + pending, []
-    return out + pending
+def _as_lists(offsets: np.ndarray, hits: np.ndarray) -> pa.Array:
+    """The places of hits in their texts, a list a text."""
+    hits = np.sort(hits)
+    text = np.searchsorted(offsets, hits, side="right") - 1
+    ends = np.searchsorted(text, np.arange(len(offsets)))
+    return pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array((hits - offsets[text]).astype(np.int32) if len(hits) else np.zeros(0, np.int32)))
