@@ -49,3 +49,7 @@ STOP_PAIR_WORDS = frozenset("id im wed were weve ive i thats that youd youre you
 
 PUNCTUATION_TAGS = frozenset("SQT NFP LRB ! HYPH ? EQT ; RRB : , . 'S `` '' ` ' \" ( ) [ ] { }".split()) | {f"-{side}{kind}B-" for side in "LR" for kind in "RSC"}
 ENTITY_TAGS = frozenset("DATE TIME DURATION SET MONEY NUMBER ORDINAL PERCENT PERSON LOCATION ORGANIZATION MISC".split())
+
+#: Common words of praise and of blame, for a tone by rule.
+POSITIVE_WORDS = frozenset("good great best better fine happy love glad nice strong gain success win improve safe clear bright quick useful benefit".split())
+NEGATIVE_WORDS = frozenset("bad worse worst poor sad hate wrong weak loss fail failure danger risk fear doubt harm slow ugly broken problem".split())

@@ -21,6 +21,10 @@ class BadReply(ValueError):
     """A reply that isn't the rows that were asked for."""
 
 
+class ServiceError(Exception):
+    """What a client raises if the service fails, and may not fail the next time."""
+
+
 def questions(tasks: Sequence[str]) -> dict[str, str]:
     """``Question0``, ``Question1``, ... of the tasks in order."""
     return {f"Question{i}": t for i, t in enumerate(tasks)}
@@ -53,10 +57,10 @@ def chunks(df: DataFrame, size: int | None, target: str = "statement", identifie
     return out.select((F.shiftleft(F.col("_k").cast("long"), 20) + F.col("_g")).alias("chunk"), "n", "statements")
 
 
-def parse_reply(text: str, expected: int) -> tuple[list[dict], bool, bool]:
-    """(rows, wrong form, wrong number): a JSON list, in a fenced block or bare; one that ends in dots was cut off."""
+def parse_reply(text: str | None, expected: int) -> tuple[list[dict], bool, bool]:
+    """(rows, wrong form, wrong number): a JSON list, in a fenced block or bare; one that ends in dots was cut off, null is no reply."""
     try:
-        if text.endswith("..."):
+        if text is None or text.endswith("..."):
             raise BadReply("cut off")
         fenced = re.search(r"```json(.*?)```", text, re.DOTALL)
         rows = json.loads(fenced.group(1).strip() if fenced else text, strict=False)
@@ -102,42 +106,49 @@ def classify(
     result: str = "rows",
     stop: str | None = STOP,
     messages: Callable[[str], list[dict]] = default_messages,
+    prompts: Callable[..., Column] = prompt,
     on_form: str = "raise",
     on_number: str = "raise",
     one_by_one: bool = False,
     calls: int = 1000,
     period: float = 60.0,
     tries: int = 8,
+    pause: float = 1.0,
+    retry: tuple[type[Exception], ...] = (ServiceError, ConnectionError, TimeoutError),
     workers: int | None = None,
 ) -> DataFrame:
     """``chunk, answer MAP<STRING, STRING>, error`` (``rows``), or ``chunk, reply, error`` (``raw``).
 
-    A failed call is tried again after growing pauses, up to ``tries`` times. ``on_form``: skip
-    or raise; ``on_number``: warn (the error column says so), ignore or raise. ``one_by_one`` asks again
-    for each statement of a list whose reply was wrong. The limit is for each of ``workers`` partitions.
+    A call that fails by one of ``retry`` is tried again, up to ``tries`` times, after a random part of ``pause``,
+    doubled each time up to a minute; the last failure is raised. Any other failure counts as a reply of wrong form
+    and number. ``on_form``: skip or raise; ``on_number``: warn (the error column says so), ignore or raise.
+    ``one_by_one`` asks again for each statement of a list whose reply was wrong. The limit is for each of ``workers``
+    partitions. ``prompts`` makes the prompt, with the arguments of ``prompt``; without a ``size`` it has all statements.
     """
     if result not in ("rows", "raw") or on_form not in ("skip", "raise") or on_number not in ("warn", "ignore", "raise"):
         raise ValueError("result: rows or raw; on_form: skip or raise; on_number: warn, ignore or raise")
     marked = stop or ""
     lists = chunks(df, size, target, identifier).select("chunk", "n", "statements")
     lists = lists.repartition(workers) if workers else lists
-    header = prompt("statements", tasks, background, target, identifier, marked)
+    header = prompts("statements", tasks, background, target, identifier, marked)
     asked = lists.withColumn("prompt", header)
     # for single statements: what stands before and after them in a prompt
-    before, after = [r for r in df.sparkSession.range(1).select(F.split(prompt(F.lit("\x00"), tasks, background, target, identifier, marked), "\x00").alias("x")).first()["x"]]
+    before, after = [r for r in df.sparkSession.range(1).select(F.split(prompts(F.lit("\x00"), tasks, background, target, identifier, marked), "\x00").alias("x")).first()["x"]]
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         own, limit = client(), Limiter(calls, period)
 
-        def ask(text: str) -> str:
+        def ask(text: str) -> str | None:
             for k in range(tries):
                 limit.wait()
                 try:
                     return own(messages(text), stop)
-                except Exception:
+                except retry:
                     if k + 1 == tries:
                         raise
-                    time.sleep(min(2**k, 60) * random.random() * 0.1)
+                    time.sleep(min(pause * 2**k, 60) * random.random())
+                except Exception:
+                    return None
             raise AssertionError
 
         for frame in frames:
@@ -145,7 +156,7 @@ def classify(
             for chunk, n, statements, text in frame.itertuples(index=False):
                 reply = ask(text)
                 if result == "raw":
-                    out.append((chunk, reply, None))
+                    out.append((chunk, reply, "form" if reply is None else None))
                     continue
                 rows, form, number = parse_reply(reply, n)
                 if (form or number) and one_by_one:
@@ -154,7 +165,7 @@ def classify(
                         some, f, m = parse_reply(ask(before + json.dumps([s], ensure_ascii=False) + after), 1)
                         rows, form, number = rows + ([] if f else some), form or f, number or m
                 if form and on_form == "raise":
-                    raise BadReply(f"not a list of rows: {reply[:200]!r}")
+                    raise BadReply(f"not a list of rows: {(reply or "")[:200]!r}")
                 if number and not form and on_number == "raise":
                     raise BadReply(f"{len(rows)} rows for {n} statements")
                 error = "form" if form else "number" if number and on_number == "warn" else None

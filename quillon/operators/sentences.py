@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillon.functions import text as T
+from quillon.functions.lexicons import NEGATIVE_WORDS, POSITIVE_WORDS
 
 NESTED = "array<struct<text:string,sentiment:string,words:array<struct<text:string,lemma:string,pos:string,ner:string,at:int>>>>"
 
@@ -20,8 +21,8 @@ def split_sentences(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 
 def word_tokens(text: Column | str) -> Column:
-    """Words and single signs."""
-    return F.regexp_extract_all(F.col(text) if isinstance(text, str) else text, F.lit(r"(?U)\w+|[^\w\s]"), F.lit(0))
+    """Words, of letters, marks, numbers and ``_``, and single signs."""
+    return F.regexp_extract_all(F.col(text) if isinstance(text, str) else text, F.lit(r"[\p{L}\p{M}\p{N}\p{Pc}]+|[^\p{L}\p{M}\p{N}\p{Pc}\p{Z}\p{Cc}]"), F.lit(0))
 
 
 def tokenized(df: DataFrame, text_col: str = "text", sep: str = " ") -> DataFrame:
@@ -62,13 +63,51 @@ def annotate(df: DataFrame, annotator: Callable[[], Callable[[str], list[tuple[s
 
 def shape_tag(word: Column) -> Column:
     """A part-of-speech tag by a word's shape alone: what an annotator would replace."""
-    return F.when(word.rlike(r"^\p{N}+$"), "CD").when(word.rlike(r"^\p{P}$"), ".").when(word.rlike(r"^\p{Lu}"), "NNP").when(word.rlike(r"ing$"), "VBG").when(word.rlike(r"ly$"), "RB").when(word.rlike(r"^\W"), "SYM").otherwise("NN")
+    return F.when(word.rlike(r"^\p{N}+$"), "CD").when(word.rlike(r"^\p{P}$"), ".").when(word.rlike(r"^\p{Lu}"), "NNP").when(word.rlike(r"ing$"), "VBG").when(word.rlike(r"ly$"), "RB").when(word.rlike(r"^[^\p{L}\p{N}_]"), "SYM").otherwise("NN")
+
+
+#: Endings that a base form has not, in order: (ending, least letters before it, what takes its place).
+LEMMA_RULES = (("sses", 1, "ss"), ("ies", 2, "y"), ("xes", 1, "x"), ("ches", 1, "ch"), ("shes", 1, "sh"), ("ied", 2, "y"), ("ing", 3, ""), ("ed", 3, ""), ("s", 3, ""))
+
+
+def lemma(word: Column) -> Column:
+    """A base form by English endings: plurals, ``-ing`` and ``-ed`` go from words of letters, ``-ss``, ``-us`` and ``-is`` stay. Lower case."""
+    low = F.lower(word)
+    out = None
+    for ending, least, instead in LEMMA_RULES:
+        pattern = rf"^[a-z]{{{least - 1},}}" + ("[b-hj-rtv-z]" if ending == "s" else "[a-z]") + ending + "$"
+        value = F.concat(F.substring(low, F.lit(1), F.length(low) - len(ending)), F.lit(instead))
+        out = F.when(low.rlike(pattern), value) if out is None else out.when(low.rlike(pattern), value)
+    return out.otherwise(low)
+
+
+def entity_tag(word: Column, before: Column) -> Column:
+    """An entity tag by a word's shape and the word before it: numbers, percentages, money, years, and capitalised words inside a sentence."""
+    number = word.rlike(r"^\p{Nd}+$")
+    return F.when(number & before.isin("$", "€", "£"), "MONEY").when(word.rlike(r"^(1[89]|20)\p{Nd}{2}$"), "DATE").when(number, "NUMBER").when(word == "%", "PERCENT").when((before != "") & word.rlike(r"^\p{Lu}\p{Ll}+$"), "MISC").otherwise("O")
+
+
+def tone(words: Column) -> Column:
+    """``Positive``, ``Negative`` or ``Neutral``: of words of either kind, which there are more of."""
+    among = lambda own: F.size(F.filter(words, lambda w: F.lower(w).isin(*sorted(own))))
+    score = among(POSITIVE_WORDS) - among(NEGATIVE_WORDS)
+    return F.when(score > 0, "Positive").when(score < 0, "Negative").otherwise("Neutral")
 
 
 def nested(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", ends: str = r"[.\n]") -> DataFrame:
-    """``id, sentences``: each document as sentences of words (``NESTED``), from the built-in splitter."""
-    words = lambda s: F.transform(word_tokens(s), lambda w, i: F.struct(w.alias("text"), F.lower(w).alias("lemma"), shape_tag(w).alias("pos"), F.lit("O").alias("ner"), i.alias("at")))
-    return df.select(id_col, F.transform(T.sentences(text_col, ends), lambda s: F.struct(s.alias("text"), F.lit("Neutral").alias("sentiment"), words(s).alias("words"))).cast(NESTED).alias("sentences"))
+    """``id, sentences``: each document as sentences of words (``NESTED``), by rules in the JVM: splitting, endings, shapes, word lists.
+
+    A model's judgement needs an annotator (``annotate``).
+    """
+
+    def sentence(s: Column) -> Column:
+        def words(w: Column) -> Column:
+            one = lambda x, i: F.struct(x.alias("text"), lemma(x).alias("lemma"), shape_tag(x).alias("pos"), entity_tag(x, F.when(i > 0, F.get(w, i - 1)).otherwise(F.lit(""))).alias("ner"), i.alias("at"))
+            return F.struct(s.alias("text"), tone(w).alias("sentiment"), F.transform(w, one).alias("words"))
+
+        return T.let(word_tokens(s), words)
+
+    return df.select(id_col, F.transform(T.sentences(text_col, ends), sentence).cast(NESTED).alias("sentences"))
 
 
 def sentence_attribute(df: DataFrame, name: str, id_col: str = "doc_id") -> DataFrame:

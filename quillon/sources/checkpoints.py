@@ -72,8 +72,11 @@ def small(df: DataFrame, limit: int = 64 << 20) -> bool:
     from pyspark.sql import functions as F
     from pyspark.sql import types as T
 
-    variable = [f.name for f in df.schema if not isinstance(f.dataType, (T.NumericType, T.BooleanType, T.DateType, T.TimestampType))]
+    df = df.toDF(*[f"_c{i}" for i in range(len(df.columns))])
+    fixed = (T.NumericType, T.BooleanType, T.DateType, T.TimestampType)
+    nested = (T.ArrayType, T.MapType, T.StructType)
     width = 16 + 8 * len(df.columns)
-    size = sum((F.coalesce(F.length(F.to_json(F.struct(c)) if isinstance(df.schema[c].dataType, (T.ArrayType, T.MapType, T.StructType)) else F.col(c).cast("string")), F.lit(0)) for c in variable), F.lit(width))
+    as_text = lambda f: F.to_json(F.struct(f.name)) if isinstance(f.dataType, nested) else F.col(f.name).cast("string")
+    size = sum((F.coalesce(F.length(as_text(f)), F.lit(0)) for f in df.schema if not isinstance(f.dataType, fixed)), F.lit(width))
     total = df.limit(limit // width + 1).agg(F.sum(size.cast("long"))).first()[0]
     return (total or 0) <= limit

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import mimetypes
 import re
 import subprocess
 import tempfile
@@ -252,33 +253,69 @@ def _decode_html(data: bytes) -> str:
     return html_text(data.decode(guess_encoding(data), "replace"))
 
 
-#: By suffix. Further kinds, such as ``.doc`` and images, are given with ``external``.
-DECODERS: dict[str, Decoder] = {".html": _decode_html, ".htm": _decode_html, ".rtf": rtf_text, ".xml": tei_text, ".pdf": pdf_text}
+#: By kind. Further kinds, such as ``application/msword`` and images, are given with ``external``.
+DECODERS: dict[str, Decoder] = {"text/html": _decode_html, "application/xhtml+xml": _decode_html, "application/rtf": rtf_text, "text/rtf": rtf_text, "application/xml": tei_text, "text/xml": tei_text, "application/pdf": pdf_text}
 
 
-def read_documents(spark: SparkSession, path: str, decoders: Mapping[str, Decoder] | None = None, joiner: Callable[[str], str] | None = None) -> DataFrame:
-    """``path, text, error`` of all files below a folder, by their suffix.
+def kind_of(path: str, data: bytes = b"") -> str | None:
+    """The mime type of a file by its name, or by its first bytes where the name tells none."""
+    kind = {".rtf": "application/rtf", ".xml": "application/xml"}.get(Path(path).suffix.lower()) or mimetypes.guess_type(path)[0]
+    if kind or not data:
+        return kind
+    head = data[:512].lstrip().lower()
+    for mark, name in ((b"%pdf-", "application/pdf"), (b"{\\rtf", "application/rtf"), (b"<!doctype html", "text/html"), (b"<html", "text/html"), (b"<?xml", "application/xml")):
+        if head.startswith(mark):
+            return name
+    return None
 
-    A file that can't be decoded has a null text and the error. ``joiner`` maps each text, such as one that joins spaced letters.
+
+def read_documents(spark: SparkSession, path: str | Sequence[str], decoders: Mapping[str, Decoder] | None = None, joiner: Callable[[str], str] | None = None) -> DataFrame:
+    """``position INT, path, kind, text, error`` of a list of files in its order, or of all files below a folder in order of their paths.
+
+    ``decoders`` adds to DECODERS, by mime type or by suffix; a suffix comes first. A file that can't be decoded or read has
+    a null text and the error. ``joiner`` maps each text, such as one that joins spaced letters.
     """
     known = dict(DECODERS) | {k.lower(): v for k, v in (decoders or {}).items()}
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "content")
+    if isinstance(path, str):
+        names = [r.path for r in spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path").orderBy("path").toLocalIterator()]
+    else:
+        names = [p if "://" in p or p.startswith("file:") else Path(p).absolute().as_uri() for p in path]
+    plain = lambda p: re.sub(r"^file:/+", "/", p)
+    there = {p for p in set(names) if _exists(spark, p)}
+    rows = [(i, p, plain(p)) for i, p in enumerate(names)]
+    lost = spark.createDataFrame([(i, p) for i, p, _ in rows if p not in there], "position int, path string").withColumn("content", F.lit(None).cast("binary"))
+    read = lost
+    if there:
+        # the list of names, which the driver has, is broadcast; contents stay where they are read
+        order = F.broadcast(spark.createDataFrame([r for r in rows if r[1] in there], "position int, path string, _key string"))
+        found = spark.read.format("binaryFile").load(sorted(there)).select(F.regexp_replace("path", "^file:/+", "/").alias("_key"), "content")
+        read = found.join(order, "_key").select("position", "path", "content").unionByName(lost)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             out = []
-            for p, data in zip(f["path"], f["content"]):
-                suffix = Path(p).suffix.lower()
+            for i, p, data in zip(f["position"], f["path"], f["content"]):
+                kind = None
                 try:
-                    if suffix not in known:
-                        raise ValueError(f"no decoder for {suffix or 'files without a suffix'}")
-                    own = known[suffix](bytes(data))
-                    out.append((p, joiner(own) if joiner else own, None))
+                    if data is None:
+                        raise FileNotFoundError(p)
+                    data = bytes(data)
+                    kind = kind_of(p, data)
+                    decode = known.get(Path(p).suffix.lower()) or known.get(kind or "")
+                    if decode is None:
+                        raise ValueError(f"no decoder for {kind or 'files of unknown kind'}")
+                    own = decode(data)
+                    out.append((i, p, kind, joiner(own) if joiner else own, None))
                 except Exception as e:  # a bad file must not end the job: the row says what is wrong
-                    out.append((p, None, f"{type(e).__name__}: {e}"))
-            yield pd.DataFrame(out, columns=["path", "text", "error"])
+                    out.append((i, p, kind, None, f"{type(e).__name__}: {e}"))
+            yield pd.DataFrame(out, columns=["position", "path", "kind", "text", "error"])
+
+    return read.mapInPandas(run, "position int, path string, kind string, text string, error string")
+
 
-    return files.mapInPandas(run, "path string, text string, error string")
+def _exists(spark: SparkSession, path: str) -> bool:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
 
 
 def write_base64(df: DataFrame, data_col: str = "data") -> DataFrame:
