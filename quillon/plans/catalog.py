@@ -12,6 +12,7 @@ from quillon.functions import text as T
 from quillon.operators import annotated as A
 from quillon.operators import classify, language, lexrank, matching, ngrams, phrases, scoring, segment, sentences, tokens, topics, vectors, windows
 from quillon.sources import dictionaries, documents, lines
+from quillon.sources.tables import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
 _ALL: dict[str, tuple[Query, str | None]] = {}
@@ -34,7 +35,7 @@ def _query(sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+    return read_table(spark, f"{sf_dir}/{table}.parquet")
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -80,15 +81,12 @@ def long_tokens(spark, sf_dir):
 _STOP = ", ".join(f"'{w}'" for w in sorted(lexicons.STOPWORDS_UPPER))
 
 
-@_query(rf"SELECT doc_id, list_filter(regexp_extract_all(text, '\S+'), lambda w: upper(w) NOT IN ({_STOP})) AS tokens FROM documents WHERE lang = 'en'")
-def without_stopwords(spark, sf_dir):
-    """English texts, where the upper case of both engines is the same."""
-    return _docs(spark, sf_dir).where("lang = 'en'").select("doc_id", T.drop_words(T.tokens("text"), lexicons.STOPWORDS).alias("tokens"))
+# the upper case of a ligature is letters in one engine and the ligature in the other
+_UPPER = "upper(" + "replace(" * 7 + "w" + "".join(f", '{x}', '{y}')" for x, y in zip("ﬀﬁﬂﬃﬄﬅﬆ", "ff fi fl ffi ffl st st".split())) + ")"
 
 
-@_query()
-def all_without_stopwords(spark, sf_dir):
-    """Texts of all languages. No SQL: upper() of the engines differs on letters like the ligature ff."""
+@_query(rf"SELECT doc_id, list_filter(regexp_extract_all(text, '\S+'), lambda w: {_UPPER} NOT IN ({_STOP})) AS tokens FROM documents")
+def without_stopwords(spark, sf_dir):
     return _docs(spark, sf_dir).select("doc_id", T.drop_words(T.tokens("text"), lexicons.STOPWORDS).alias("tokens"))
 
 
@@ -259,10 +257,10 @@ def group_match_within(spark, sf_dir):
     return _rounded(matching.within(q, c, "c_name", "s_name", 55.0, "greater_equal", ["nation"], "levenshtein"), "match_score")
 
 
-@_query(f"WITH {_PAIRS} SELECT nation, origin_query, match_list, round(match_score, 6) AS match_score FROM p WHERE match_score < 50")
+@_query(f"WITH {_PAIRS} SELECT nation, origin_query, match_list, round(match_score, 6) AS match_score FROM p WHERE match_score < 56")
 def group_match_below(spark, sf_dir):
     q, c = _names(spark, sf_dir)
-    return _rounded(matching.within(q, c, "c_name", "s_name", 50.0, "less", ["nation"], "levenshtein"), "match_score")
+    return _rounded(matching.within(q, c, "c_name", "s_name", 56.0, "less", ["nation"], "levenshtein"), "match_score")
 
 
 @_query("WITH p AS (SELECT DISTINCT c_mktsegment AS origin_query, p_type AS match_list, 100.0 * (1 - levenshtein(c_mktsegment, p_type)::DOUBLE / greatest(length(c_mktsegment), length(p_type))) AS match_score FROM (SELECT DISTINCT c_mktsegment FROM customer), (SELECT DISTINCT p_type FROM part)), r AS (SELECT *, row_number() OVER (PARTITION BY origin_query ORDER BY match_score DESC, match_list) AS k FROM p) SELECT origin_query, match_list, round(match_score, 6) AS match_score FROM r WHERE k <= 4")
@@ -270,24 +268,35 @@ def list_match_largest(spark, sf_dir):
     return _rounded(matching.largest(_read(spark, sf_dir, "customer"), _read(spark, sf_dir, "part"), "c_mktsegment", "p_type", 4, scorer="levenshtein"), "match_score")
 
 
-@_query()
+def _ratio_sql(q: str, c: str) -> str:
+    """200 * LCS / (sum of lengths): a bit for each letter of ``q`` without which the LCS has gone on, as rows of one list."""
+    full = f"((1::BIGINT << length({q})) - 1)"
+    mask = f"list_transform(string_split({c}, ''), lambda x: CAST(list_sum(list_transform(range(length({q})), lambda i: CASE WHEN {q}[i + 1] = x THEN 1::BIGINT << i ELSE 0 END)) AS BIGINT))"
+    state = f"list_reduce(list_prepend({full}, {mask}), lambda v, m: ((v + (v & m)) | (v & ~m)) & {full})"
+    return f"200.0 * (length({q}) - bit_count({state})) / (length({q}) + length({c}))"
+
+
+_RATIOS = f"rat AS (SELECT origin_query, match_list, {_ratio_sql('origin_query', 'match_list')} AS match_score FROM (SELECT DISTINCT c_name AS origin_query FROM customer), (SELECT DISTINCT s_name AS match_list FROM supplier))"
+
+
+@_query(f"WITH {_RATIOS}, r AS (SELECT *, row_number() OVER (PARTITION BY origin_query ORDER BY match_score DESC, match_list) AS k FROM rat) SELECT origin_query, match_list, round(match_score, 6) AS match_score FROM r WHERE k <= 4")
 def list_match_ratio(spark, sf_dir):
     """All customers' names against all suppliers' by indel ratio, the best four."""
     return _rounded(matching.largest(_read(spark, sf_dir, "customer"), _read(spark, sf_dir, "supplier"), "c_name", "s_name", 4), "match_score")
 
 
-@_query()
+@_query(f"WITH p AS (SELECT DISTINCT c_nationkey AS nation, c_name AS origin_query, s_name AS match_list FROM customer JOIN supplier ON c_nationkey = s_nationkey), s AS (SELECT *, {_ratio_sql('origin_query', 'match_list')} AS match_score FROM p), r AS (SELECT *, row_number() OVER (PARTITION BY nation, origin_query ORDER BY match_score DESC, match_list) AS k FROM s) SELECT nation, origin_query, match_list, round(match_score, 6) AS match_score FROM r WHERE k = 1")
 def group_match_ratio(spark, sf_dir):
     q, c = _names(spark, sf_dir)
     return _rounded(matching.best(q, c, "c_name", "s_name", ["nation"]), "match_score")
 
 
-@_query()
+@_query(f"WITH {_RATIOS} SELECT origin_query, match_list, round(match_score, 6) AS match_score FROM rat WHERE match_score >= 72")
 def list_match_ratio_within(spark, sf_dir):
-    return _rounded(matching.within(_read(spark, sf_dir, "customer"), _read(spark, sf_dir, "supplier"), "c_name", "s_name", 85.0), "match_score")
+    return _rounded(matching.within(_read(spark, sf_dir, "customer"), _read(spark, sf_dir, "supplier"), "c_name", "s_name", 72.0), "match_score")
 
 
-@_query()
+@_query(f"SELECT p_partkey, round({_ratio_sql('p_name', 'p_type')}, 6) AS ratio FROM part")
 def ratio_column(spark, sf_dir):
     own = _read(spark, sf_dir, "part")
     return own.select("p_partkey", F.round(similarity.indel_ratio_column("p_name", "p_type"), 6).alias("ratio"))
@@ -412,7 +421,37 @@ def ngram_frequencies(spark, sf_dir):
     return ngrams.ngram_dictionary(own, longer_than=2).select(F.array_join("ngram", " ").alias("gram"), F.round("score", 9).alias("score"), "total")
 
 
-@_query()
+_PIECE = r"[\p{L}\p{M}\p{N}\p{Pc}]+|[^\p{L}\p{M}\p{N}\p{Pc}\p{Z}\p{Cc}]"
+
+
+def _tag_sql(w: str) -> str:
+    rules = ((r"^\p{N}+$", "CD"), (r"^\p{P}$", "."), (r"^\p{Lu}", "NNP"), ("ing$", "VBG"), ("ly$", "RB"), (r"^[^\p{L}\p{N}_]", "SYM"))
+    return "CASE " + " ".join(f"WHEN regexp_matches({w}, '{p}') THEN '{t}'" for p, t in rules) + " ELSE 'NN' END"
+
+
+def _lemma_sql(w: str) -> str:
+    cases = []
+    for ending, least, instead in sentences.LEMMA_RULES:
+        pattern = f"^[a-z]{{{least - 1},}}" + ("[b-hj-rtv-z]" if ending == "s" else "[a-z]") + ending + "$"
+        cases.append(f"WHEN regexp_matches(lower({w}), '{pattern}') THEN left(lower({w}), length({w}) - {len(ending)}) || '{instead}'")
+    return "CASE " + " ".join(cases) + f" ELSE lower({w}) END"
+
+
+def _entity_sql(w: str, before: str) -> str:
+    number = rf"regexp_matches({w}, '^\p{{Nd}}+$')"
+    return rf"CASE WHEN {number} AND {before} IN ('$', '€', '£') THEN 'MONEY' WHEN regexp_matches({w}, '^(1[89]|20)\p{{Nd}}{{2}}$') THEN 'DATE' WHEN {number} THEN 'NUMBER' WHEN {w} = '%' THEN 'PERCENT' WHEN {before} <> '' AND regexp_matches({w}, '^\p{{Lu}}\p{{Ll}}+$') THEN 'MISC' ELSE 'O' END"
+
+
+_WORDS = f"""{_SENT}, snt AS (SELECT doc_id, s, k, regexp_extract_all(s, '{_PIECE}') AS t FROM (SELECT doc_id, unnest(l) AS s, unnest(range(len(l))) AS k FROM sen)),
+wrd AS (SELECT doc_id, k, w, i, {_lemma_sql('w')} AS lemma, {_tag_sql('w')} AS pos, {_entity_sql('w', 'b')} AS ner FROM (SELECT doc_id, k, t[i + 1] AS w, CASE WHEN i > 0 THEN t[i] ELSE '' END AS b, i FROM (SELECT doc_id, k, t, unnest(range(len(t))) AS i FROM snt)))"""
+
+
+@_query(
+    f"""WITH {_WORDS}, stop(a, b) AS (VALUES {", ".join(f"('{a}', '{b}')" for a, b in sorted(lexicons.STOP_TAG_PAIRS))}),
+p AS (SELECT w || ' ' || lead(w) OVER o AS gram, lower(w) AS x, lower(lead(w) OVER o) AS y, lower(pos) AS pa, lower(lead(pos) OVER o) AS pb FROM wrd WINDOW o AS (PARTITION BY doc_id, k ORDER BY i)),
+g AS (SELECT gram FROM p WHERE gram IS NOT NULL AND x NOT IN ({_PAIR_STOP}) AND y NOT IN ({_PAIR_STOP}) AND (pa, pb) NOT IN (SELECT lower(a), lower(b) FROM stop)),
+c AS (SELECT gram, count(*) AS n FROM g GROUP BY gram) SELECT gram, n AS score, CAST(sum(n) OVER () AS BIGINT) AS total FROM c"""
+)
 def ngrams_of_tagged_words(spark, sf_dir):
     """Pairs of words of the shape-tagged sentences, without those whose tags are stop tags."""
     own = sentences.nested(_docs(spark, sf_dir)).select(F.explode("sentences").alias("s")).select(F.transform("s.words", lambda w: F.struct(w["text"].alias("word"), w["pos"])).alias("tokens"))
@@ -445,24 +484,65 @@ def parsed_annotations(spark, sf_dir):
     return own.select("doc_id", ner.alias("ner"), value("pos", "-").alias("pos"), F.array_join(F.transform("p", lambda p: p["original_text"]), " ").alias("words"), "sentiment")
 
 
-@_query()
+# tokens 5k + 4 and 5k + 5 are one, an entity every seventh
+_PARTS = f"{_ANN}, pt AS (SELECT *, i - (i > 0 AND i % 5 = 0)::INT AS g, i % 7 = 0 AS e, i > 0 AND i % 5 = 0 AND (i - 1) % 7 = 0 AS after_e FROM w)"
+
+
+@_query(f"""WITH {_PARTS}, part AS (SELECT doc_id, g, i, CASE WHEN e THEN '[NER:PERSON]' WHEN after_e THEN '' ELSE w END AS p FROM pt),
+tk AS (SELECT doc_id, g, string_agg(p, '_' ORDER BY i) AS t FROM part WHERE p <> '' GROUP BY ALL)
+SELECT d.doc_id, coalesce(string_agg(t, ' ' ORDER BY g), '') AS line, 'Neutral' AS sentiment FROM documents d LEFT JOIN tk USING (doc_id) GROUP BY d.doc_id""")
 def cleaned_annotations(spark, sf_dir):
     return A.clean(_annotated(spark, sf_dir), A.CORPUS_RULES, "line", with_sentiment=True)
 
 
-@_query()
+@_query(rf"""WITH {_PARTS}, n AS (SELECT doc_id, max(i) AS last FROM w GROUP BY doc_id),
+tk AS (SELECT doc_id, g, string_agg(lower(w), '' ORDER BY i) AS f, string_agg(lower(w), ' ' ORDER BY i) AS t, count(*) + max((i % 5 = 4 AND i = last)::INT) AS parts FROM pt JOIN n USING (doc_id) GROUP BY ALL),
+ok AS (SELECT doc_id, g, unnest(string_split(t, ' ')) AS p, unnest(range(len(string_split(t, ' ')))) AS k FROM tk WHERE regexp_full_match(f, '\p{{L}}+') AND length(f) > 1 AND (parts > 1 OR upper(f) NOT IN ({_STOP})))
+SELECT d.doc_id, coalesce(string_agg(p, ' ' ORDER BY g, k) FILTER (length(p) > 1), '') AS line FROM documents d LEFT JOIN ok USING (doc_id) GROUP BY d.doc_id""")
 def preprocessed_annotations(spark, sf_dir):
     return A.preprocess(_annotated(spark, sf_dir), A.NGRAM_RULES, "line")
 
 
-@_query()
+@_query(f"WITH {_WORDS} SELECT snt.doc_id || '_' || snt.k AS sent_id, coalesce(string_agg(w || '[POS:' || pos || ']', ' ' ORDER BY i), '') AS text, CAST(NULL AS VARCHAR) AS error FROM snt LEFT JOIN wrd USING (doc_id, k) GROUP BY snt.doc_id, snt.k")
 def annotated_sentences(spark, sf_dir):
     return sentences.annotate(_docs(spark, sf_dir))
 
 
-@_query()
+@_query(f"WITH {_WORDS}, j AS (SELECT doc_id, k, md5(coalesce(string_agg(concat_ws('/', w, lemma, pos, ner, i), ' ' ORDER BY i), '')) AS words FROM snt LEFT JOIN wrd USING (doc_id, k) GROUP BY ALL) SELECT doc_id, CAST(k AS INTEGER) AS sent_no, words FROM j")
 def nested_sentences(spark, sf_dir):
-    return sentences.dump_sentences(sentences.nested(_docs(spark, sf_dir)))
+    """The words of each sentence with all of their attributes, from their JSON."""
+    own = sentences.dump_sentences(sentences.nested(_docs(spark, sf_dir)))
+    words = F.from_json("words_json", "array<struct<text:string,lemma:string,pos:string,ner:string,at:int>>")
+    return own.select("doc_id", "sent_no", F.md5(F.array_join(F.transform(words, lambda w: F.concat_ws("/", w["text"], w["lemma"], w["pos"], w["ner"], w["at"].cast("string"))), " ")).alias("words"))
+
+
+def _tone_sql(t: str) -> str:
+    among = lambda own: f"len(list_filter({t}, lambda x: lower(x) IN ({', '.join(repr(w) for w in sorted(own))})))"
+    return f"CASE sign({among(lexicons.POSITIVE_WORDS)} - {among(lexicons.NEGATIVE_WORDS)}) WHEN 1 THEN 'Positive' WHEN -1 THEN 'Negative' ELSE 'Neutral' END"
+
+
+@_query(f"WITH {_WORDS} SELECT d.doc_id, coalesce(string_agg({_tone_sql('t')}, ' ' ORDER BY k), '') AS tones FROM documents d LEFT JOIN snt USING (doc_id) GROUP BY d.doc_id")
+def sentence_tones(spark, sf_dir):
+    own = sentences.sentence_attribute(sentences.nested(_docs(spark, sf_dir)), "sentiment")
+    return own.select("doc_id", F.array_join("values", " ").alias("tones"))
+
+
+@_query(f"SELECT doc_id, array_to_string(regexp_extract_all(text, '{_PIECE}'), ' ') AS text FROM documents")
+def tokenized_texts(spark, sf_dir):
+    return sentences.tokenized(_docs(spark, sf_dir)).select("doc_id", "text")
+
+
+@_query(f"""WITH {_WORDS}, n AS (SELECT doc_id, k, len(t) AS n FROM snt)
+SELECT doc_id || '_' || k AS sent_id, '[SENTIMENT:' || any_value(tone) || '] ' || coalesce(string_agg(CASE WHEN ner <> 'O' THEN '[NER:' || ner || ']' ELSE '' END || lemma || '[POS:' || pos || ']' || CASE WHEN i % 5 = 4 AND i + 1 < n THEN '[SEP]' ELSE ' ' END, '' ORDER BY i), '') AS line
+FROM (SELECT doc_id, k, {_tone_sql('t')} AS tone FROM snt) JOIN n USING (doc_id, k) LEFT JOIN wrd USING (doc_id, k) GROUP BY doc_id, k""")
+def rendered_sentences(spark, sf_dir):
+    """Lines of the nested sentences: an entity a word, every fifth word a compound with the next."""
+    rows = sentences.nested(_docs(spark, sf_dir)).select("doc_id", F.posexplode("sentences").alias("k", "s")).select("doc_id", "k", "s.*")
+    mentions = F.transform(F.filter("words", lambda w: w["ner"] != "O"), lambda w: F.struct(w["at"].alias("start"), (w["at"] + 1).alias("end"), w["ner"].alias("type")))
+    compounds = F.transform(F.filter("words", lambda w: (w["at"] % 5 == 4) & (w["at"] + 1 < F.size("words"))), lambda w: F.struct((w["at"] + 1).alias("source"), (w["at"] + 2).alias("target"), F.lit("compound").alias("dep")))
+    rows = rows.withColumns({"m": mentions, "d": compounds})
+    rows = rows.withColumn("joins", A.edge_sources(F.concat(A.mention_edges("m"), A.dependency_edges("d", F.lit(0)))))
+    return rows.select(F.concat_ws("_", "doc_id", "k").alias("sent_id"), A.render_sentence("words", "joins", "m", sentiment="sentiment").alias("line"))
 
 
 @_query(f"WITH {_SENT} SELECT doc_id, l AS \"values\" FROM sen")
@@ -470,9 +550,10 @@ def sentence_texts(spark, sf_dir):
     return sentences.sentence_attribute(sentences.nested(_docs(spark, sf_dir)), "text")
 
 
-@_query()
+@_query(f"WITH {_WORDS}, l AS (SELECT doc_id, k, coalesce(string_agg(lemma, ' ' ORDER BY i), '') AS l FROM snt LEFT JOIN wrd USING (doc_id, k) GROUP BY ALL) SELECT d.doc_id, list(l ORDER BY k) FILTER (l IS NOT NULL) AS \"values\" FROM documents d LEFT JOIN l USING (doc_id) GROUP BY d.doc_id")
 def word_lemmas(spark, sf_dir):
-    return sentences.word_attribute(sentences.nested(_docs(spark, sf_dir)), "lemma")
+    own = sentences.word_attribute(sentences.nested(_docs(spark, sf_dir)), "lemma")
+    return own.select("doc_id", F.when(F.size("values") > 0, F.transform("values", lambda v: F.array_join(v, " "))).alias("values"))
 
 
 # models
@@ -510,9 +591,8 @@ def expanded_dictionary(spark, sf_dir):
 
 @_query()
 def word_vectors(spark, sf_dir):
-    """Vectors of a small size; partitions grow with the cluster."""
-    out = vectors.train(_docs(spark, sf_dir), size=16, min_count=20, partitions=max(1, spark.sparkContext.defaultParallelism))
-    return out.select("word", "n", F.size("vector").alias("size"))
+    """Vectors of all words that occur five times; partitions grow with the cluster."""
+    return vectors.train(_docs(spark, sf_dir), partitions=max(1, spark.sparkContext.defaultParallelism))
 
 
 @_query(r"""WITH a AS (SELECT regexp_extract_all(text, '\S+') AS t FROM documents), wc AS (SELECT w, count(*) AS n FROM (SELECT unnest(t) AS w FROM a) GROUP BY w),
@@ -523,53 +603,112 @@ def phrase_scores(spark, sf_dir):
     return _rounded(phrases.fit(_docs(spark, sf_dir), 10.0, 10), "score").drop("middle")
 
 
-@_query()
+@_query(
+    r"""WITH a AS (SELECT doc_id, regexp_extract_all(text, '\S+') AS t FROM documents), tok AS (SELECT doc_id, unnest(t) AS w, unnest(range(len(t))) AS i FROM a), wc AS (SELECT w, count(*) AS n FROM tok GROUP BY w),
+nx AS (SELECT *, lead(w) OVER (PARTITION BY doc_id ORDER BY i) AS x FROM tok), bc AS (SELECT w, x, count(*) AS n FROM nx WHERE x IS NOT NULL GROUP BY ALL HAVING count(*) >= 10),
+ph AS (SELECT bc.w, bc.x FROM bc JOIN wc p ON p.w = bc.w JOIN wc q ON q.w = bc.x WHERE (bc.n - 10) * (SELECT count(*) FROM wc) / (p.n * q.n::DOUBLE) > 10),
+h AS (SELECT nx.*, ph.w IS NOT NULL AS hit FROM nx LEFT JOIN ph ON ph.w = nx.w AND ph.x = nx.x),
+r AS (SELECT *, sum((NOT hit)::INT) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM h),
+c AS (SELECT *, hit AND sum(hit::INT) OVER (PARTITION BY doc_id, run ORDER BY i) % 2 = 1 AS chosen FROM r),
+o AS (SELECT doc_id, i, CASE WHEN chosen THEN w || '_' || x ELSE w END AS p, coalesce(lag(chosen) OVER (PARTITION BY doc_id ORDER BY i), false) AS gone FROM c)
+SELECT d.doc_id, coalesce(string_agg(p, ' ' ORDER BY i) FILTER (NOT gone), '') AS text FROM documents d LEFT JOIN o USING (doc_id) GROUP BY d.doc_id"""
+)
 def phrases_applied(spark, sf_dir):
     docs = _docs(spark, sf_dir)
     return phrases.apply(docs, phrases.fit(docs, 10.0, 10)).select("doc_id", "text")
 
 
-@_query()
+_LANG = r"""WITH own AS (SELECT doc_id, lang, ' ' || lower(trim(regexp_replace(text, '[\t\n\x0b\f\r\x{85}\p{Z}\p{Nd}\p{P}\p{S}]+', ' ', 'g'), ' ')) || ' ' AS t FROM documents),
+gr AS (SELECT doc_id, lang, substring(t, i, 2) AS g FROM (SELECT doc_id, lang, t, unnest(range(1, length(t))) AS i FROM own)),
+ct AS (SELECT lang, g, count(*) AS n FROM gr WHERE lang IS NOT NULL GROUP BY lang, g),
+tot AS (SELECT lang, sum(n)::DOUBLE AS total, (SELECT count(DISTINCT g) FROM ct) AS size FROM ct GROUP BY lang),
+gs AS (SELECT doc_id, g, count(*) AS n FROM gr WHERE g IN (SELECT g FROM ct) GROUP BY doc_id, g),
+sc AS (SELECT doc_id, tot.lang, sum(gs.n * ln((coalesce(ct.n, 0) + 0.5) / (total + 0.5 * size))) AS s FROM gs CROSS JOIN tot LEFT JOIN ct ON ct.lang = tot.lang AND ct.g = gs.g GROUP BY doc_id, tot.lang),
+pr AS (SELECT doc_id, lang, s, exp(s - max(s) OVER w) / sum(exp(s - m)) OVER w AS prob, row_number() OVER (PARTITION BY doc_id ORDER BY s DESC, lang) AS k FROM (SELECT *, max(s) OVER (PARTITION BY doc_id) AS m FROM sc) WINDOW w AS (PARTITION BY doc_id))"""
+
+
+@_query(_LANG + " SELECT d.doc_id, pr.lang AS languages FROM documents d LEFT JOIN pr ON pr.doc_id = d.doc_id AND k = 1")
 def detected_languages(spark, sf_dir):
     docs = _docs(spark, sf_dir)
     return language.detect(docs, language.fit(docs), "max")
 
 
-@_query()
+@_query(_LANG + " SELECT d.doc_id, pr.lang, round(prob, 4) AS prob FROM documents d LEFT JOIN pr ON pr.doc_id = d.doc_id AND k = 1")
 def language_probabilities(spark, sf_dir):
     docs = _docs(spark, sf_dir)
     out = language.detect(docs, language.fit(docs), "max_prob")
-    return out.select("doc_id", F.col("languages.lang").alias("lang"), F.round("languages.prob", 6).alias("prob"))
+    return out.select("doc_id", F.col("languages.lang").alias("lang"), F.round("languages.prob", 4).alias("prob"))
 
 
-@_query()
+@_query(_LANG + " SELECT doc_id, lang FROM pr WHERE k = 1 AND lang NOT IN ('fr', 'de')")
+def without_languages(spark, sf_dir):
+    """Documents whose language is neither of two, by detection."""
+    docs = _docs(spark, sf_dir)
+    own = language.detect(docs, language.fit(docs), "max").select("doc_id", F.array("languages").alias("langs"))
+    return language.without_languages(own, "langs", ["fr", "de"]).select("doc_id", F.get("langs", 0).alias("lang"))
+
+
+_RANK = rf"""WITH {_SENT}, s AS (SELECT doc_id, unnest(l) AS t, unnest(range(len(l))) AS i, len(l) AS n FROM sen),
+tk AS (SELECT doc_id, i, n, w, count(*) AS c FROM (SELECT doc_id, i, n, unnest(regexp_extract_all(lower(t), '[^ \t\n\x0b\f\r]+')) AS w FROM s) GROUP BY ALL),
+df AS (SELECT doc_id, w, count(*) AS df FROM tk GROUP BY ALL),
+v AS (SELECT tk.doc_id, i, w, c * ln(1 + n / df) AS x FROM tk JOIN df USING (doc_id, w)),
+u AS (SELECT doc_id, i, w, x / sqrt(sum(x * x) OVER (PARTITION BY doc_id, i)) AS x FROM v),
+p AS (SELECT a.doc_id, a.i, b.i AS j, sum(a.x * b.x) AS sim FROM u a JOIN u b USING (doc_id, w) GROUP BY ALL),
+r AS (SELECT s.doc_id, s.i, any_value(s.n) AS n, any_value(s.t) AS t, coalesce(sum(sim), 0) AS plain, any_value(s.n) + coalesce(sum(exp(sim) - 1), 0) AS soft, count(sim) AS k FROM s LEFT JOIN p ON p.doc_id = s.doc_id AND p.i = s.i GROUP BY s.doc_id, s.i),
+z AS (SELECT doc_id, i, t, round(n * CASE WHEN sum(k) OVER d = n * n THEN plain / sum(plain) OVER d ELSE soft / sum(soft) OVER d END, 9) AS score FROM r WINDOW d AS (PARTITION BY doc_id))"""
+
+
+@_query(_RANK + " SELECT doc_id, CAST(i AS INTEGER) AS sent_no, round(score, 6) AS score FROM z")
 def sentence_centrality(spark, sf_dir):
-    own = _read(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "text"))).alias("x"))
-    own = own.select(F.col("conv_id").alias("doc_id"), F.flatten(F.transform("x", lambda t: T.sentences(t["text"]))).alias("sentences"))
-    return lexrank.lexrank(own).select("doc_id", "sent_no", "score")
+    return _rounded(lexrank.lexrank(sentences_of(spark, sf_dir)).select("doc_id", "sent_no", "score"), "score")
 
 
-@_query()
+@_query(_RANK + ", q AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, i) AS rank FROM z) SELECT doc_id, CAST(rank AS INTEGER) AS rank, CAST(i AS INTEGER) AS sent_no, t AS sentence FROM q WHERE rank <= 5")
 def sentence_summaries(spark, sf_dir):
-    own = _read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("doc_id"), T.sentences("text").alias("sentences"))
-    return lexrank.summary(lexrank.lexrank(own), 2)
+    return lexrank.summary(lexrank.lexrank(sentences_of(spark, sf_dir))).select("doc_id", "rank", "sent_no", "sentence")
 
 
-@_query(
-    r"""WITH a AS (SELECT item_id AS doc_id, unnest(regexp_extract_all(lower(text), '\S+')) AS word, unnest(range(len(regexp_extract_all(lower(text), '\S+')))) AS pos FROM benchmark),
-v AS (SELECT word, CAST(row_number() OVER (ORDER BY df DESC, word) - 1 AS INTEGER) AS word_id FROM (SELECT word, count(DISTINCT doc_id) AS df FROM a GROUP BY word)),
-c AS (SELECT doc_id, pos, word_id FROM a JOIN v USING (word))
-SELECT x.doc_id, least(x.word_id, y.word_id) AS a, greatest(x.word_id, y.word_id) AS b, count(*) AS n FROM c x JOIN c y ON x.doc_id = y.doc_id AND y.pos > x.pos AND y.pos < x.pos + 15 GROUP BY ALL"""
-)
+_BITERMS = r"""a AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '\S+')) AS word, unnest(range(len(regexp_extract_all(lower(text), '\S+')))) AS pos FROM documents),
+v AS MATERIALIZED (SELECT word, row_number() OVER (ORDER BY df DESC, word) - 1 AS word_id FROM (SELECT word, count(DISTINCT doc_id) AS df FROM a GROUP BY word)),
+c AS MATERIALIZED (SELECT doc_id, pos, word_id FROM a JOIN v USING (word)),
+bt AS MATERIALIZED (SELECT x.doc_id, least(x.word_id, y.word_id) AS a, greatest(x.word_id, y.word_id) AS b, count(*) AS n FROM (SELECT *, unnest(range(1, 15)) AS d FROM c) x JOIN c y ON x.doc_id = y.doc_id AND y.pos = x.pos + x.d GROUP BY ALL)"""
+
+
+@_query(f"WITH {_BITERMS} SELECT doc_id, a, b, n FROM bt")
 def biterms(spark, sf_dir):
-    own = _read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("doc_id"), "text")
-    return topics.biterms(own, topics.vocabulary(own))
+    docs = _docs(spark, sf_dir)
+    return topics.biterms(docs, topics.vocabulary(docs))
+
+
+def _topics_sql(topics: int = 8, iterations: int = 20, beta: float = 0.01) -> str:
+    """The rounds one after another; P(topic) and the weights of words after the last."""
+    k = range(topics)
+    each = lambda f, sep=", ": sep.join(f(i) for i in k)
+    out = f"WITH {_BITERMS}, size AS (SELECT count(*) AS v FROM v), pr AS MATERIALIZED (SELECT a, b, CAST(sum(n) AS DOUBLE) AS n FROM bt GROUP BY a, b)"
+    share = lambda i: f"(('0x' || substr(md5('1 ' || a || ' ' || b || ' {i}'), 1, 6))::BIGINT + 1)"
+    out += f", s0 AS (SELECT a, b, n, {each(lambda i: f'{share(i)} AS r{i}')} FROM pr)"
+    for t in range(1, iterations + 1):
+        whole = each(lambda i: f"r{i}", " + ")
+        out += f", z{t} AS MATERIALIZED (SELECT word_id, {each(lambda i: f'sum(z{i}) AS z{i}')} FROM (SELECT unnest([a, b]) AS word_id, {each(lambda i: f'n * r{i} / ({whole}) AS z{i}')} FROM s{t - 1}) GROUP BY word_id)"
+        out += f", t{t} AS MATERIALIZED (SELECT v, {each(lambda i: f'coalesce(sum(z{i}), 0) AS s{i}')} FROM size LEFT JOIN z{t} ON true GROUP BY v)"
+        half = each(lambda i: f"s{i}", " + ")
+        out += f", w{t} AS MATERIALIZED (SELECT v.word_id, {each(lambda i: f'(coalesce(z{i}, 0) + {beta}) / (s{i} + v * {beta}) AS p{i}')}, {each(lambda i: f'(s{i} / 2 + {50 / topics}) / (({half}) / 2 + 50) AS h{i}')} FROM v LEFT JOIN z{t} USING (word_id), t{t})"
+        out += f", s{t} AS (SELECT pr.*, {each(lambda i: f'x.h{i} * x.p{i} * y.p{i} AS r{i}')} FROM pr JOIN w{t} x ON x.word_id = a JOIN w{t} y ON y.word_id = b)"
+    last = f"w{iterations}"
+    whole = each(lambda i: f"x.h{i} * x.p{i} * y.p{i}", " + ")
+    out += f", d AS (SELECT bt.doc_id, {each(lambda i: f'sum(n * x.h{i} * x.p{i} * y.p{i} / ({whole})) / sum(n) AS d{i}')} FROM bt JOIN {last} x ON x.word_id = a JOIN {last} y ON y.word_id = b GROUP BY bt.doc_id)"
+    return out + f", m AS (SELECT documents.doc_id, [{each(lambda i: f'coalesce(d{i}, (SELECT h{i} FROM {last} LIMIT 1))')}] AS p FROM documents LEFT JOIN d USING (doc_id)) SELECT doc_id, CAST(list_position(p, list_max(p)) - 1 AS INTEGER) AS topic FROM m"
+
+
+@_query(_topics_sql())
+def document_topics(spark, sf_dir):
+    docs = _docs(spark, sf_dir)
+    return topics.top_topic(topics.transform(docs, topics.fit(docs)))
 
 
 @_query()
-def document_topics(spark, sf_dir):
-    own = _read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("doc_id"), "text")
-    return topics.top_topic(topics.transform(own, topics.fit(own, topics=4, iterations=10)))
+def topic_words(spark, sf_dir):
+    return topics.topic_words(topics.fit(_docs(spark, sf_dir)))
 
 
 @_query()

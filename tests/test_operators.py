@@ -18,7 +18,7 @@ from quillon.functions import text as T
 from quillon.operators import annotated as A
 from quillon.operators import classify, language, lexrank, matching, ngrams, phrases, scoring, segment, sentences, tokens, topics, vectors, windows
 from quillon.plans import catalog
-from quillon.sources import dictionaries, documents, lines
+from quillon.sources import checkpoints, corpus, dictionaries, documents, lines
 from quillon.streaming import lines as stream
 
 R = random.Random(5)
@@ -60,7 +60,7 @@ def test_stop_words_of_all_languages(spark, tmp_path):
     """Every document has a row; words are dropped as plain Python would."""
     rows = [(1, "en", "The bank IS here"), (2, "fr", "Été à la forêt THE où"), (3, "de", "daß An ﬀ Über o\ufb00 maß"), (4, "zz", "и the は Δεν ıt ıs"), (5, None, "so née"), (6, "es", ""), (7, "es", None)]
     spark.createDataFrame(rows, "doc_id long, lang string, text string").write.parquet(f"{tmp_path}/documents.parquet")
-    got = {r.doc_id: r.tokens for r in catalog.queries()["all_without_stopwords"](spark, str(tmp_path)).collect()}
+    got = {r.doc_id: r.tokens for r in catalog.queries()["without_stopwords"](spark, str(tmp_path)).collect()}
     assert got == {i: None if t is None else [w for w in t.split() if w.upper() not in lexicons.STOPWORDS_UPPER] for i, _, t in rows}
     assert got[3] == ["daß", "ﬀ", "Über", "maß"] and got[4] == ["и", "は", "Δεν"]
 
@@ -173,6 +173,17 @@ def test_matches(spark, scorer, groups, monkeypatch):
         assert {tuple(r)[:-1] for r in matching.within(qd, cd, "a", "b", 50.0, method, groups, scorer).collect()} == {k for k, v in pairs.items() if test(v, 50.0)}
 
 
+def test_own_scorer_and_first_group(spark):
+    q = spark.createDataFrame([(1, "ab"), (2, "abc"), (2, "x")], "g int, a string")
+    c = spark.createDataFrame([(1, "ab"), (2, "abd"), (2, "b")], "g int, b string")
+    same = lambda a, b: (a.str.len() == b.str.len()) * 100.0
+    assert {tuple(r) for r in matching.best(q, c, "a", "b", ["g"], same).collect()} == {(1, "ab", "ab", 100.0), (2, "abc", "abd", 100.0), (2, "x", "b", 100.0)}
+    assert {r.g for r in matching.best(q, c, "a", "b", ["g"], drop_first_group=True).collect()} == {2}
+    assert {(r.origin_query, r.match_list) for r in matching.within(q, c, "a", "b", 50.0, scorer=same).collect()} == {("ab", "ab"), ("abc", "abd"), ("x", "b")}
+    with pytest.raises(ValueError):
+        matching.best(q, c, "a", "b", scorer="other")
+
+
 def _levenshtein(a, b):
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
@@ -335,6 +346,17 @@ def test_cleaner(spark, rules):
         assert r.s == (m[11:-1] if m else "")
 
 
+def test_topic_tables_of_thousands(spark):
+    """Large tables of n-grams and of words are looked up by checksum."""
+    words = [f"w{i}" for i in range(900)]
+    table = {(R.choice(words), R.choice(words)): float(i % 7 + 1) for i in range(4000)}
+    subject = set(words[:400])
+    rows = [(i, " ".join(R.choice(words) for _ in range(400))) for i in range(10)] + [(10, " ".join(f"{a} {b}" for a, b in list(table)[:300]))]
+    out = windows.topic_windows(spark.createDataFrame(rows, "doc_id long, text string"), {"t": table}, {"s": subject}, scale=False, multiplier=1)
+    got = {r.doc_id: tuple(r)[1:] for r in out.collect()}
+    assert all(np.allclose(got[i], slow_topics(t, table, subject, 2, 20, False)) for i, t in rows) and got[10][2] > 100
+
+
 def test_cleaner_refuses_wrong_rules():
     for wrong in ({"composition": "x"}, {"longer_than": True}, {"ner": {"x": "all"}}):
         with pytest.raises(ValueError):
@@ -354,6 +376,15 @@ def test_rendered_sentences(spark):
     assert got.x == "[SENTIMENT:Neutral] [NER:CITY]new[POS:NNP][SEP]york[POS:NNP] be[POS:VB] " and got.y == "New[SEP]York is "
 
 
+def test_rules_of_annotation(spark):
+    df = spark.createDataFrame([(1, "The parties walked to 3 boxes, classes and buses in 1999. They paid $ 20 or 5 % to Paris. good day. a bad fear")], "doc_id long, text string")
+    own = sentences.nested(df).first().sentences
+    word = {w.text: w for s in own for w in s.words}
+    assert [word[w].lemma for w in ("parties", "walked", "boxes", "classes", "buses", "The", "paid")] == ["party", "walk", "box", "class", "buse", "the", "paid"]
+    assert [word[w].ner for w in ("3", "1999", "20", "%", "Paris", "They", "or")] == ["NUMBER", "DATE", "MONEY", "PERCENT", "MISC", "O", "O"]
+    assert [s.sentiment for s in own] == ["Neutral", "Neutral", "Positive", "Negative"]
+
+
 def test_sentences_and_annotator(spark):
     df = spark.createDataFrame([(1, "A b. C d!\n e"), (2, ""), (3, None)], "doc_id long, text string")
     assert [(r.sent_id, r.text) for r in sentences.split_sentences(df).orderBy("sent_id").collect()] == [("1_0", "A b"), ("1_1", "C d!"), ("1_2", "e")]
@@ -387,6 +418,41 @@ def test_phrases(spark):
     assert "new_york is far" in out and "bank_of_america wins" in out and "new_york new_york" in out
 
 
+def slow_join(words, known, between, sep):
+    out, pending = [], []
+    for w in words:
+        if pending and w in between:
+            pending.append(w)
+        elif pending and (*pending, w) in known:
+            out.append(sep.join([*pending, w]))
+            pending = []
+        elif w in between:
+            out, pending = [*out, *pending, w], []
+        else:
+            out, pending = out + pending, [w]
+    return out + pending
+
+
+@pytest.mark.parametrize("most", [1 << 20, 8])
+def test_phrases_against_a_walk(spark, most, monkeypatch):
+    """All phrases at once, or in passes of one or two, as a walk from word to word joins them."""
+    monkeypatch.setattr(phrases, "PASS_BYTES", most)
+    between = ["of", "the"]
+    known = {("a", "b"), ("b", "a"), ("a", "a"), ("b", "of", "c"), ("a", "of", "the", "b"), ("c", "the", "c")}
+    rows = [(i, R.choice([None, "", *[" ".join(R.choice(["a", "b", "c", "of", "the"]) for _ in range(R.randrange(20))) for _ in range(8)]])) for i in range(200)]
+    table = spark.createDataFrame([(k[0], list(k[1:-1]), k[-1]) for k in known], "first string, middle array<string>, second string")
+    got = texts(phrases.apply(spark.createDataFrame(rows, "doc_id long, text string"), table, between))
+    assert got == {i: None if t is None else " ".join(slow_join(t.split(), known, between, "_")) for i, t in rows}
+
+
+def test_language_by_shuffle(spark, monkeypatch):
+    df = spark.createDataFrame([(i, t, t[:1]) for i, t in enumerate(["a banana", "b kiwi kiwi", "a ananas", "b wiki", "b"])], "doc_id long, text string, lang string")
+    found = lambda: sorted((r.doc_id, [(x.lang, round(x.prob, 9)) for x in r.languages]) for r in language.detect(df, language.fit(df), "all_prob").collect())
+    want = found()
+    monkeypatch.setattr(language, "small", lambda df: False)
+    assert found() == want
+
+
 def test_language_held_out(spark):
     import os
 
@@ -431,7 +497,19 @@ def test_lexrank(spark):
     assert len(top) == 1 and "bank" in top[0].sentence
 
 
-def test_topics(spark):
+def test_centrality_without_the_matrix(spark, monkeypatch):
+    """A row's share of the sum is where power iteration ends, whatever the blocks."""
+    for n in (0, 1, 2, 40):
+        own = [" ".join(R.choice("a b c dd e f g the of".split()) for _ in range(R.randrange(9))) for _ in range(n)] + ["the", ""][: n and 2]
+        for threshold in (None, 0.3, 0.0):
+            want = lexrank.centrality(lexrank.sentence_similarity(own), threshold)
+            for block in (1 << 22, 60):
+                monkeypatch.setattr(lexrank, "BLOCK", block)
+                assert np.allclose(lexrank.sentence_centrality(own, threshold), want, atol=1e-4)
+    assert np.allclose(lexrank.sentence_centrality(["the bank", "the bank"]), [1, 1])
+
+
+def test_topics(spark, monkeypatch):
     rows = [(i, "apple pear plum fruit" if i % 2 else "steel iron coal mine") for i in range(40)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
     model = topics.fit(df, topics=2, iterations=20, alpha=1.0)
@@ -439,8 +517,12 @@ def test_topics(spark):
     assert all(abs(sum(r.topics) - 1) < 1e-9 for r in own.collect())
     best = {r.doc_id: r.topic for r in topics.top_topic(own).collect()}
     assert len({best[i] for i in range(0, 40, 2)}) == len({best[i] for i in range(1, 40, 2)}) == 1 and best[0] != best[1]
-    assert topics.topic_words(spark, model, 3).count() == 6 and topics.top_documents(own, 3).count() == 6
-    assert np.allclose(topics.fit(df, topics=2, iterations=20, alpha=1.0).phi, model.phi)
+    assert topics.topic_words(model, 3).count() == 6 and topics.top_documents(own, 3).count() == 6
+    p = lambda m: np.array([(r.p0, r.p1) for r in m.words.orderBy("word_id").collect()])
+    assert np.allclose(p(model).sum(0), 1) and abs(sum(model.theta) - 1) < 1e-9
+    monkeypatch.setattr(topics, "BROADCAST_BYTES", 0)  # all by shuffle
+    again = topics.fit(df, topics=2, iterations=20, alpha=1.0)
+    assert np.allclose(p(again), p(model)) and np.allclose(again.theta, model.theta)
 
 
 def test_word_vectors(spark):
@@ -502,6 +584,34 @@ def test_classification(spark):
     assert sum(r.n for r in classify.chunks(df, 3).collect()) == 20
 
 
+class Failing:
+    """Fails by service a few times, then by something else for one of the prompts."""
+
+    def __init__(self):
+        self.calls = 0
+
+    def __call__(self, messages, stop):
+        self.calls += 1
+        if self.calls <= 2:
+            raise classify.ServiceError("busy")
+        if "s1" in messages[-1]["content"]:
+            raise KeyError("no choices")
+        return Client()(messages, stop)
+
+
+def test_failures_of_the_client(spark):
+    df = spark.createDataFrame([(1, "s1"), (2, "s2")], "id int, statement string").coalesce(1)
+    run = lambda **o: classify.classify(df, {"What?": None, "Why?": None}, Failing, size=1, pause=0.01, workers=1, **o)
+    rows = run(on_form="skip", on_number="ignore").collect()
+    assert sorted((r.answer and r.answer["Question0"], r.error) for r in rows if r.answer) == [("S2", None)] and [r.error for r in rows if not r.answer] == ["form"]
+    with pytest.raises(Exception, match="busy"):
+        run(tries=2).collect()
+    with pytest.raises(Exception, match="not a list"):
+        run().collect()
+    shout = lambda statements, *a: F.concat(F.lit("HEY\nStatements:\n"), F.upper(statements), F.lit("\nJSON ="))
+    assert classify.classify(df, {"x": None}, lambda: lambda m, s: m[-1]["content"], size=1, result="raw", prompts=shout).first().reply.startswith("HEY")
+
+
 def test_replies():
     assert classify.parse_reply('x ```json\n[{"a": "b\n"}]``` y', 1) == ([{"a": "b\n"}], False, False)
     assert classify.parse_reply('[{"a": 1}]', 2)[2] and classify.parse_reply("[1]", 1)[1] and classify.parse_reply("[{}]...", 1) == ([], True, True)
@@ -561,6 +671,47 @@ def test_read_documents(spark, tmp_path):
     assert got["a.html"].text == "hi" and got["d.up"].text == "Q" and got["b.xyz"].text is None and got["c.xml"].error.startswith("ParseError")
 
 
+def test_documents_keep_their_order(spark, tmp_path):
+    (tmp_path / "b.html").write_text("<p>b</p>")
+    (tmp_path / "a").write_text("{\\rtf1 a}")
+    (tmp_path / "c.txt").write_text("c")
+    names = [str(tmp_path / n) for n in ("b.html", "gone.html", "a", "c.txt", "b.html")]
+    rows = documents.read_documents(spark, names, {"text/plain": lambda b: b.decode()}).orderBy("position").collect()
+    assert [(r.position, r.kind, r.text) for r in rows] == [(0, "text/html", "b"), (1, None, None), (2, "application/rtf", "a"), (3, "text/plain", "c"), (4, "text/html", "b")]
+    assert rows[1].error.startswith("FileNotFoundError") and all(r.error is None for i, r in enumerate(rows) if i != 1)
+    assert [r.position for r in documents.read_documents(spark, str(tmp_path)).orderBy("path").collect()] == [0, 1, 2]
+
+
+def test_saved_corpus_and_pairs(spark, tmp_path):
+    df = spark.createDataFrame([(1, "a b a"), (2, "b")], "key long, body string")
+    corpus.save_corpus(df, f"{tmp_path}/c", "key", "body")
+    own, frequencies = corpus.load_corpus(spark, f"{tmp_path}/c")
+    assert {tuple(r) for r in own.collect()} == {(1, "a b a"), (2, "b")} and {tuple(r) for r in frequencies.collect()} == {("a", 1), ("b", 2)}
+    (tmp_path / "p.csv").write_text("bigram,politicaltbb\nof_the,0.5\nto_me,2\n")
+    assert {tuple(r) for r in dictionaries.read_weighted_pairs(spark, f"{tmp_path}/p.csv").collect()} == {("of the", 0.5), ("to me", 2.0)}
+
+
+def test_tables_that_cut_lineage(spark, tmp_path, monkeypatch):
+    df = spark.createDataFrame([(1, "x", [1.5])], "a long, A_ string, c array<double>").toDF("a", "A", "c")
+    own = checkpoints.Cut(df)
+    assert own.df.columns == ["a", "A", "c"] and [tuple(r) for r in own.df.collect()] == [(1, "x", [1.5])]
+    own.drop()
+    assert checkpoints.small(df) and not checkpoints.small(df, 3)
+
+    class Cluster:
+        class sparkContext:  # noqa: N801
+            master = "spark://host:7077"
+
+            class _jsc:  # noqa: N801
+                sc = staticmethod(lambda: type("S", (), {"getCheckpointDir": staticmethod(lambda: type("O", (), {"isDefined": staticmethod(lambda: False)}))}))
+
+        class conf:  # noqa: N801
+            get = staticmethod(lambda k, d: d)
+
+    with pytest.raises(ValueError, match="share"):
+        checkpoints.shared_folder(Cluster)
+
+
 def test_external_decoder(tmp_path):
     upper = documents.external(["sh", "-c", "tr a-z A-Z < {in} > {dir}/in.txt"], ".doc", str(tmp_path))
     assert upper(b"some  text") == "SOME TEXT" and not list(tmp_path.iterdir())
@@ -582,6 +733,17 @@ def test_stream_resumes(spark, tmp_path):
     assert spark.read.parquet(place[1]).count() == 3
 
 
+def test_stream_of_tables(spark, tmp_path):
+    place = [str(tmp_path / p) for p in ("in", "out", "state")]
+    spark.createDataFrame([(1, "a b")], "doc_id long, text string").write.parquet(place[0])
+    run = lambda: stream.process_table(spark, *place, lambda d: d.select("doc_id", F.size(T.tokens("text")).alias("n")))
+    run()
+    spark.createDataFrame([(2, "c")], "doc_id long, text string").write.mode("append").parquet(place[0])
+    run()
+    run()
+    assert sorted(map(tuple, spark.read.parquet(place[1]).collect())) == [(1, 2), (2, 1)]
+
+
 def test_limits():
     assert limits.call_within(20, lambda: 3) == 3
     began = time.time()
