@@ -157,13 +157,31 @@ def test_stages_against_brute_force(spark, tables):
 
 @pytest.mark.parametrize("stage", [s for _, s in corpus_pipeline.STAGES], ids=[n for n, _ in corpus_pipeline.STAGES])
 def test_stages_awkward(spark, tmp_path, awkward, empty, stage):
-    spark.createDataFrame([(1, 1, 0), (6, 0, 0), (None, 1, 1), (2, None, 1)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(None, 1, 1), (2, None, 1)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     spark.createDataFrame([(1, prose(80, 77)), (None, None)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    own, words = Counter(repr(r[:2]) for r in awkward.collect()), [r for r in awkward.collect() if r.text and r.text.strip()]
     out = stage(spark, awkward, str(tmp_path))
-    assert 0 < out.count() <= awkward.count()
+    if stage is corpus_pipeline.STAGES[-1][1]:
+        assert Counter(r.doc_id for r in out.collect()) == Counter(r.doc_id for r in awkward.collect())
+    else:
+        assert out.columns == awkward.columns
+        want = {"_quality": Counter(repr(r[:2]) for r in words), "_decontaminate": own, "_mask": own}.get(stage.__name__)
+        got = Counter(repr(r[:2]) for r in out.collect())
+        assert got == want if want else not got - own and sum(got.values()) == sum(own.values()) - 3
     assert stage(spark, empty, str(tmp_path)).count() == 0
 
 
+def test_run_awkward(spark, tmp_path, awkward, empty):
+    """All stages in a row: what is kept of an awkward table is what the stages' rules keep, and nothing of an empty one."""
+    for name, docs in (("full", awkward), ("none", empty)):
+        docs.select("doc_id", "text").write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        spark.createDataFrame([(None, 1, 1), (2, None, 1)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/{name}/labels.parquet")
+        spark.createDataFrame([(1, prose(80, 77)), (None, None)], "item_id long, text string").write.parquet(f"{tmp_path}/{name}/benchmark.parquet")
+    rows = corpus_pipeline.run(spark, f"{tmp_path}/full").collect()
+    assert sorted(str(r.doc_id) for r in rows) == sorted(map(str, [1, 5, 6, 7, 9, 10, None])) and all(r.round_trip and r.n_tokens for r in rows)
+    assert corpus_pipeline.run(spark, f"{tmp_path}/none").collect() == []
+
+
 def test_queries_and_sql(spark):
     import __spark_entry__
 
