@@ -231,16 +231,27 @@ def render_sentence(tokens: Column | str, joins: Column | str, mentions: Column
     """
     toks, glue = (F.col(x) if isinstance(x, str) else x for x in (tokens, joins))
     spans = F.col(mentions) if isinstance(mentions, str) else mentions
-    begins = (lambda t: F.array_contains(F.transform(spans, lambda m: F.least(m["start"], m["end"])), t["at"]) & (t["ner"] != "O")) if spans is not None else (lambda t: F.lit(False))
 
-    def one(t: Column, i: Column) -> Column:
-        base = F.concat(t["lemma"] if lemma else t["text"], F.concat(F.lit(f"[{rules.pos_label}:"), t["pos"], F.lit("]")) if pos else F.lit(""), F.when(F.array_contains(glue, t["at"]), F.lit(rules.part_sep)).otherwise(F.lit(rules.token_sep)))
-        if spans is None:
-            return base
-        k = F.size(F.filter(F.slice(toks, 1, i), begins))
-        return F.concat(F.when(begins(t), F.concat(F.lit(f"[{rules.ner_label}:"), F.coalesce(F.get(spans, k)["type"], F.lit("")), F.lit("]"))).otherwise(F.lit("")), base)
+    def text_of(t: Column) -> Column:
+        tag = F.concat(F.lit(f"[{rules.pos_label}:"), t["pos"], F.lit("]")) if pos else F.lit("")
+        return F.concat(t["lemma"] if lemma else t["text"], tag, F.when(F.array_contains(glue, t["at"]), F.lit(rules.part_sep)).otherwise(F.lit(rules.token_sep)))
 
-    line = F.array_join(F.transform(toks, one), "")
+    def with_types(first: Column) -> Column:
+        """The line, the places of the tokens that begin a mention being known."""
+
+        def one(t: Column, i: Column) -> Column:
+            k = F.array_position(first, i)
+            label = F.when(k > 0, F.concat(F.lit(f"[{rules.ner_label}:"), F.coalesce(F.get(spans, (k - 1).cast("int"))["type"], F.lit("")), F.lit("]"))).otherwise(F.lit(""))
+            return F.concat(label, text_of(t))
+
+        return F.array_join(F.transform(toks, one), "")
+
+    if spans is None:
+        line = F.array_join(F.transform(toks, text_of), "")
+    else:
+        begin = F.transform(spans, lambda m: F.least(m["start"], m["end"]))
+        places = lambda starts: F.filter(F.transform(toks, lambda t, i: F.when(F.array_contains(starts, t["at"]) & (t["ner"] != "O"), i)), lambda i: i.isNotNull())
+        line = T.let(begin, lambda starts: T.let(places(starts), with_types))
     if sentiment is None:
         return line
     own = F.col(sentiment) if isinstance(sentiment, str) else sentiment
