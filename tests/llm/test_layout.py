@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from quillon.llm import chat, decontam, ngram_join, pii, quality, queries, ring
+from quillon.llm._frames import pick
 from tests.llm.conftest import DATA, prose
 
 ROOT = Path(__file__).parents[2]
@@ -174,7 +175,7 @@ def test_stages_awkward(spark, tmp_path, awkward, empty, stage):
 def test_run_awkward(spark, tmp_path, awkward, empty):
     """All stages in a row: what is kept of an awkward table is what the stages' rules keep, and nothing of an empty one."""
     for name, docs in (("full", awkward), ("none", empty)):
-        docs.select("doc_id", "text").write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        pick(docs, doc_id="doc_id", text="text").write.parquet(f"{tmp_path}/{name}/documents.parquet")
         spark.createDataFrame([(None, 1, 1), (2, None, 1)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/{name}/labels.parquet")
         spark.createDataFrame([(1, prose(80, 77)), (None, None)], "item_id long, text string").write.parquet(f"{tmp_path}/{name}/benchmark.parquet")
     rows = corpus_pipeline.run(spark, f"{tmp_path}/full").collect()
