@@ -385,6 +385,27 @@ def test_rules_of_annotation(spark):
     assert [s.sentiment for s in own] == ["Neutral", "Neutral", "Positive", "Negative"]
 
 
+def test_attributes_that_are_asked_for(spark):
+    odd = "Running flies only ugly Ǆabc ing ly ß Straße x1 1999 $ 20 % 5 _a ½ good bad GOOD classes Ties é boxing İx"
+    df = spark.createDataFrame([(1, odd + ". good. bad day\nGood bad"), (2, ""), (3, None)], "doc_id long, text string")
+    full = {r.doc_id: r.sentences for r in sentences.nested(df).collect()}
+    for sent, word in ((["text"], []), (["sentiment"], []), (["words"], ["lemma"]), (["sentiment", "words"], ["pos", "at"])):
+        part = {r.doc_id: r.sentences for r in sentences.nested(df, attributes=sent, word_attributes=word).collect()}
+        assert part[3] is None and part[2] == []
+        for a, b in zip(full[1], part[1], strict=True):
+            assert list(b.asDict()) == sent
+            assert all(b[x] == a[x] for x in sent if x != "words")
+            if "words" in sent:
+                assert [w.asDict() for w in b.words] == [{x: w[x] for x in word} for w in a.words]
+    words = full[1][0].words
+    plain = spark.createDataFrame([(w.at, w.text, words[w.at - 1].text if w.at else "") for w in words], "at int, w string, b string")
+    rules = plain.select("at", sentences.lemma(F.col("w")), sentences.shape_tag(F.col("w")), sentences.entity_tag(F.col("w"), F.col("b"))).collect()
+    assert sorted(tuple(r) for r in rules) == [(w.at, w.lemma, w.pos, w.ner) for w in words]
+    assert [s.sentiment for s in full[1]] == ["Neutral", "Positive", "Negative", "Neutral"]
+    with pytest.raises(ValueError):
+        sentences.nested(df, attributes=["tone"])
+
+
 def test_sentences_and_annotator(spark):
     df = spark.createDataFrame([(1, "A b. C d!\n e"), (2, ""), (3, None)], "doc_id long, text string")
     assert [(r.sent_id, r.text) for r in sentences.split_sentences(df).orderBy("sent_id").collect()] == [("1_0", "A b"), ("1_1", "C d!"), ("1_2", "e")]
