@@ -8,6 +8,7 @@ import math
 import random
 import re
 import time
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -546,6 +547,28 @@ def test_topics(spark, monkeypatch):
     assert np.allclose(p(again), p(model)) and np.allclose(again.theta, model.theta)
 
 
+@pytest.mark.parametrize("step", [1, 40, 1 << 18])
+def test_biterms_without_a_shuffle_of_pairs(spark, monkeypatch, step):
+    monkeypatch.setattr(topics, "STEP", step)
+    own = [(1, "a b a c"), (2, ""), (3, "x"), (4, None), (5, " ".join(R.choice("abcde") for _ in range(200))), (5, "a b c d e f"), (None, "p q p")]
+    df = spark.createDataFrame(own, "doc_id long, text string")
+    for least in (1, 2):
+        vocab = topics.vocabulary(df, least)
+        codes = {r.word: r.word_id for r in vocab.collect()}
+        want = Counter()
+        words = [(i, p, codes[w]) for i, t in own for p, w in enumerate((t or "").split()) if w in codes]
+        for i, p, x in words:
+            for j, q, y in words:
+                if i == j and 1 <= q - p <= 14:
+                    want[i, min(x, y), max(x, y)] += 1
+        out = topics.biterms(df, vocab)
+        assert out.dtypes == [("doc_id", "bigint"), ("a", "bigint"), ("b", "bigint"), ("n", "bigint")]
+        assert {(r.doc_id, r.a, r.b): r.n for r in out.collect()} == want and out.count() == len(want)
+    # pairs don't travel: no exchange lies above where they are made
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate explode" not in plan and "Window" not in plan.split("MapInArrow")[0]
+
+
 def test_word_vectors(spark):
     df = spark.createDataFrame([(" ".join(R.choice(VOCAB) for _ in range(8)),) for _ in range(60)], "text string")
     a, b = (vectors.train(df, 8, min_count=2, seed=3).orderBy("word").collect() for _ in range(2))
