@@ -174,6 +174,35 @@ def test_matches(spark, scorer, groups, monkeypatch):
         assert {tuple(r)[:-1] for r in matching.within(qd, cd, "a", "b", 50.0, method, groups, scorer).collect()} == {k for k, v in pairs.items() if test(v, 50.0)}
 
 
+def test_distances():
+    pick = lambda: "".join(R.choice("abcé ") for _ in range(R.choice([0, 1, 3, 20, 63, 64, 65, 90])))
+    table = similarity.Choices(choices := [pick() for _ in range(60)])
+    for q in [pick() for _ in range(20)] + ["", "zz"]:
+        at, value = table.levenshtein_ratios(q)
+        assert sorted(at) == list(range(60))
+        for i, d, v in zip(at, table.distances(q), value, strict=True):
+            most = max(len(q), len(choices[i]))
+            assert d == _levenshtein(q, choices[i]) and v == (100.0 * (1 - d / most) if most else 100.0)
+    assert similarity.Choices([""]).distances("abc").tolist() == [3]
+
+
+@pytest.mark.parametrize("scorer", ["ratio", "levenshtein"])
+def test_links_are_the_counts_of_pairs(spark, scorer, monkeypatch):
+    monkeypatch.setattr(matching, "QUERY_BLOCK", 5)
+    monkeypatch.setattr(matching, "CHOICE_BLOCK", 7)
+    word = lambda: "".join(R.choice("abc") for _ in range(R.randrange(1, 6)))
+    q = spark.createDataFrame([(R.choice([1, 2, None]), R.choice([word(), None])) for _ in range(40)], "g int, a string")
+    c = spark.createDataFrame([(R.choice([1, 2, 3]), word()) for _ in range(40)], "g int, b string")
+    for method in matching.PREDICATES:
+        pairs = matching.within(q, c, "a", "b", 50.0, method, ["g"], scorer).collect()
+        got = matching.links(q, c, "a", "b", 50.0, method, ["g"], scorer)
+        assert got.dtypes == [("g", "int"), ("origin_query", "string"), ("links", "bigint")]
+        assert {(r.g, r.origin_query): r.links for r in got.collect()} == Counter((r.g, r.origin_query) for r in pairs)
+    # the best are found in blocks, not by a join of all pairs
+    plan = matching.best(q, c, "a", "b", ["g"], scorer)._jdf.queryExecution().optimizedPlan().toString()
+    assert "levenshtein" not in plan and "FlatMapCoGroupsInPandas" in plan
+
+
 def test_own_scorer_and_first_group(spark):
     q = spark.createDataFrame([(1, "ab"), (2, "abc"), (2, "x")], "g int, a string")
     c = spark.createDataFrame([(1, "ab"), (2, "abd"), (2, "b")], "g int, b string")
