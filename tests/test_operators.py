@@ -604,6 +604,29 @@ def test_word_vectors(spark):
     assert a == b and {r.word for r in a} <= set(VOCAB) and len(a[0].vector) == 8
 
 
+def test_similarities_have_the_bits_of_the_sql_engine(spark):
+    """Two seeds are equally near to their mean, so that their order hangs on the last bit."""
+    import duckdb
+
+    r = random.Random(5)
+    vecs = {f"w{i}": [r.gauss(0, 1) for _ in range(64)] for i in range(40)}
+    df = spark.createDataFrame(list(vecs.items()), "word string, vector array<float>")
+    seeds = {f"d{i}": [f"w{2 * i}", f"w{2 * i + 1}"] for i in range(20)}
+    got = {(x.dimension, x.word): x.similarity for x in vectors.similarities(df, vectors.seeds_frame(spark, seeds)).collect()}
+    con = duckdb.connect()
+    con.execute("CREATE TABLE v (word VARCHAR, e DOUBLE[])")
+    con.executemany("INSERT INTO v VALUES (?, ?)", [(x.word, list(x.vector)) for x in df.collect()])
+    for d, (a, b) in seeds.items():
+        want = con.execute(
+            """WITH u AS (SELECT i, e[i] / sqrt(list_sum(list_transform(e, lambda x: x * x))) AS x FROM (SELECT e, unnest(range(1, 65)) AS i FROM v WHERE word IN (?, ?))),
+            c AS (SELECT list(x ORDER BY i) AS c FROM (SELECT i, avg(x) AS x FROM u GROUP BY i)) SELECT word, list_cosine_similarity(e, c) FROM v, c""",
+            [a, b],
+        ).fetchall()
+        assert {w: got[d, w] for w, _ in want} == dict(want)
+    odd = spark.createDataFrame([([1.0, 0.0], [2.0, 0.0]), ([0.0, 0.0], [1.0, 0.0]), (None, [1.0, 0.0]), ([1.0, None], [1.0, 0.0]), ([1.0], [1.0, 0.0])], "a array<double>, b array<double>")
+    assert [x[0] for x in odd.select(vectors.cosine("a", "b")).collect()] == [1.0, None, None, None, None]
+
+
 def test_letters_joined_by_all_words(spark, tmp_path):
     """Words beyond the 10,000 commonest are joined too, by the ranks that a plain sort gives."""
     letters = "abcdefghijklmnopqrstuvwxyz"
