@@ -604,6 +604,19 @@ def test_word_vectors(spark):
     assert a == b and {r.word for r in a} <= set(VOCAB) and len(a[0].vector) == 8
 
 
+@pytest.mark.parametrize("name", ["sentence_tones", "parsed_annotations", "cleaned_annotations", "preprocessed_annotations"])
+def test_documents_without_words_are_as_in_sql(spark, tmp_path, name):
+    import duckdb
+
+    rows = [(0, ""), (1, None), (2, " . \n."), (3, "a good thing. bad"), (4, " ")]
+    spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    got = catalog.queries()[name](spark, str(tmp_path))
+    want = con.execute(f"SELECT {', '.join(got.columns)} FROM ({catalog.oracle_sql()[name]}) ORDER BY doc_id").fetchall()
+    assert [tuple(r) for r in got.orderBy("doc_id").collect()] == want
+
+
 def test_similarities_have_the_bits_of_the_sql_engine(spark):
     """Two seeds are equally near to their mean, so that their order hangs on the last bit."""
     import duckdb
