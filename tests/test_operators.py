@@ -640,6 +640,24 @@ def test_similarities_have_the_bits_of_the_sql_engine(spark):
     assert [x[0] for x in odd.select(vectors.cosine("a", "b")).collect()] == [1.0, None, None, None, None]
 
 
+def test_word_vectors_are_made_by_tasks(spark, monkeypatch):
+    """No process holds all vectors: chunks are trained by themselves and words of several chunks meet by their means."""
+    monkeypatch.setattr(vectors, "CHUNK", 5_000)
+    r = random.Random(2)
+    kinds = [f"a{i}" for i in range(10)], [f"b{i}" for i in range(10)]
+    rows = [(" ".join(r.choice(kinds[k % 2]) for _ in range(30)),) for k in range(2_000)] + [("x " * 2_000,), (None,), ("",), ("rare",)]
+    df = spark.createDataFrame(rows, "text string").repartition(3)
+    out = vectors.train(df, 20, epochs=3, partitions=3)
+    assert "MapInArrow" in out._jdf.queryExecution().optimizedPlan().toString()
+    got = out.collect()
+    vec = {x.word: np.array(x.vector) for x in got}
+    assert {x.word: x.n for x in got} == {w: n for w, n in Counter(w for (t,) in rows for w in (t or "").split()).items() if n >= 5}
+    assert all(np.isfinite(v).all() and len(v) == 20 for v in vec.values())
+    cos = lambda a, b: vec[a] @ vec[b] / np.linalg.norm(vec[a]) / np.linalg.norm(vec[b])
+    alike = np.mean([cos(a, b) for own in kinds for a in own for b in own if a != b])
+    assert alike > 0.05 + np.mean([cos(a, b) for a in kinds[0] for b in kinds[1]])
+
+
 def test_letters_joined_by_all_words(spark, tmp_path):
     """Words beyond the 10,000 commonest are joined too, by the ranks that a plain sort gives."""
     letters = "abcdefghijklmnopqrstuvwxyz"
