@@ -6,6 +6,9 @@ is counted, so what is shuffled are counts of the words that matched, not of all
 
 from __future__ import annotations
 
+import operator
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,6 +16,8 @@ from quillon.functions import text as T
 from quillon.operators import tokens as K
 from quillon.sources.checkpoints import small
 
+#: Words of a dictionary that tokens are searched for as expressions, in a vague match.
+PARTS = 200
 METHODS = ("TFIDF", "WFIDF", "TFIDF+SIMWEIGHT", "WFIDF+SIMWEIGHT")
 
 
@@ -34,9 +39,12 @@ def word_weights(dictionary: DataFrame) -> DataFrame:
 def counted_hits(df: DataFrame, dictionary: DataFrame, id_col: str = "doc_id", text_col: str = "text", vague: bool = False) -> DataFrame:
     """``id, word, n, dimensions ARRAY<STRING>``: how often each word of the dictionary is in each document, and its dimensions.
 
-    Vague: words that hold a dictionary word; of those, distinct words only are searched, then joined back by equality.
+    Vague: words that hold a dictionary word. Of up to ``PARTS`` dictionary words each token is searched where it is, and
+    what travels are counts of those that matched; of more, distinct words only are searched, then joined back by equality.
     """
     words = dictionary.select("dimension", "word").where("word is not null and dimension is not null").distinct()
+    if vague and len(few := words.limit(PARTS + 1).collect()) <= PARTS:
+        return _searched(df, [tuple(r) for r in few], id_col, text_col)
     fits = small(words)
     if vague:
         part = words.withColumnRenamed("word", "_part")
@@ -44,10 +52,24 @@ def counted_hits(df: DataFrame, dictionary: DataFrame, id_col: str = "doc_id", t
         words = every.join(_hint(part, fits), F.contains(F.col("word"), F.col("_part"))).select("word", "dimension")
     table = words.groupBy("word").agg(F.collect_set("dimension").alias("dimensions"))
     tokens = df.select(F.col(id_col), F.explode(T.tokens(text_col)).alias("word"))
-    found = tokens.join(_hint(table, fits and not vague), "word")
+    if vague:  # a common word meets the table once a document
+        counted = tokens.groupBy(id_col, "word").agg(F.count("*").alias("n"))
+        return counted.join(table, "word").select(id_col, "word", "n", "dimensions")
+    found = tokens.join(_hint(table, fits), "word")
     return found.groupBy(id_col, "word").agg(F.count("*").alias("n"), F.first("dimensions").alias("dimensions"))
 
 
+def _searched(df: DataFrame, parts: list[tuple[str, str]], id_col: str, text_col: str) -> DataFrame:
+    """``counted_hits`` of words that hold one of a few parts, as expressions."""
+    by_dimension: dict[str, list[str]] = {}
+    for dimension, part in sorted(parts):
+        by_dimension.setdefault(dimension, []).append(part)
+    holds = lambda own: reduce(operator.or_, [F.contains(F.col("word"), F.lit(p)) for p in own], F.lit(False))
+    counted = df.select(F.col(id_col), F.explode(T.tokens(text_col)).alias("word")).where(holds(sorted({p for _, p in parts}))).groupBy(id_col, "word").agg(F.count("*").alias("n"))
+    dims = F.array_compact(F.array(*[F.when(holds(own), F.lit(d)) for d, own in by_dimension.items()])) if parts else F.array().cast("array<string>")
+    return counted.select(id_col, "word", "n", dims.alias("dimensions"))
+
+
 def _wide(hits: DataFrame, value: Column, lengths: DataFrame, dims: list[str], id_col: str, scale: bool, normalize: bool) -> DataFrame:
     sums = [F.sum(F.when(F.array_contains("dimensions", d), value)).alias(d) for d in dims]
     wide = hits.groupBy(id_col).agg(*sums) if dims else hits.select(id_col).distinct()
