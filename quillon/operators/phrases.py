@@ -1,4 +1,4 @@
-"""Phrases of two words: counted and scored in the JVM, applied to whole batches of words."""
+"""Phrases of two words: counted in and applied to whole batches of words."""
 
 from __future__ import annotations
 
@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillon.functions import text as T
+from quillon.functions.words import gram_counts, split_words
 
 #: Bytes of phrases that one pass over the texts broadcasts; a larger model makes more passes.
 PASS_BYTES = 64 << 20
@@ -26,14 +27,19 @@ def fit(df: DataFrame, threshold: float, min_count: int = 10, connectors: Collec
     if scoring not in ("default", "npmi"):
         raise ValueError("scoring: default or npmi")
     toks = df.select(T.tokens(text_col).alias("t"))
-    words = toks.select(F.explode("t").alias("w")).groupBy("w").agg(F.count("*").alias("n"))
+    words = gram_counts(toks, "t", 1).groupBy(F.get("ngram", F.lit(0)).alias("w")).agg(F.sum("n").alias("n"))
     own = sorted(set(connectors))
-    isc = (lambda w: w.isin(*own)) if own else (lambda w: F.lit(False))
-    # the place of the next word that is no connector, for each word that is none
-    indexed = toks.select("t", F.filter(F.transform("t", lambda w, i: F.when(~isc(w), i)), lambda i: i.isNotNull()).alias("at"))
-    pairs = indexed.select("t", F.explode(F.zip_with(F.slice("at", 1, F.greatest(F.size("at") - 1, F.lit(0))), F.slice("at", 2, F.greatest(F.size("at") - 1, F.lit(0))), lambda a, b: F.struct(a.alias("a"), b.alias("b")))).alias("p"))
-    pairs = pairs.select(F.get("t", F.col("p.a")).alias("first"), F.slice("t", F.col("p.a") + 2, F.col("p.b") - F.col("p.a") - 1).alias("middle"), F.get("t", F.col("p.b")).alias("second"))
-    counted = pairs.groupBy("first", "middle", "second").agg(F.count("*").alias("n")).where(F.col("n") >= min_count)
+    if own:
+        isc = lambda w: w.isin(*own)
+        # the place of the next word that is no connector, for each word that is none
+        indexed = toks.select("t", F.filter(F.transform("t", lambda w, i: F.when(~isc(w), i)), lambda i: i.isNotNull()).alias("at"))
+        pairs = indexed.select("t", F.explode(F.zip_with(F.slice("at", 1, F.greatest(F.size("at") - 1, F.lit(0))), F.slice("at", 2, F.greatest(F.size("at") - 1, F.lit(0))), lambda a, b: F.struct(a.alias("a"), b.alias("b")))).alias("p"))
+        pairs = pairs.select(F.get("t", F.col("p.a")).alias("first"), F.slice("t", F.col("p.a") + 2, F.col("p.b") - F.col("p.a") - 1).alias("middle"), F.get("t", F.col("p.b")).alias("second"))
+        counted = pairs.groupBy("first", "middle", "second").agg(F.count("*").alias("n"))
+    else:
+        counted = gram_counts(toks, "t", 2).groupBy(F.get("ngram", F.lit(0)).alias("first"), F.get("ngram", F.lit(1)).alias("second")).agg(F.sum("n").alias("n"))
+        counted = counted.select("first", F.array().cast("array<string>").alias("middle"), "second", "n")
+    counted = counted.where(F.col("n") >= min_count)
     total = words.agg(F.count("*").alias("v"), F.sum("n").alias("total"))
     a, b = (words.select(F.col("w").alias(x), F.col("n").alias("n_" + x)) for x in ("first", "second"))
     scored = counted.join(a, "first").join(b, "second").crossJoin(F.broadcast(total))  # total: one row
@@ -65,7 +71,7 @@ def apply(df: DataFrame, phrases: DataFrame, connectors: Collection[str] = (), s
         def run(batches: Iterator[pa.RecordBatch], shared=shared, last=last) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 columns = batch.columns
-                offsets, words = _words(columns[place])
+                offsets, words = split_words(columns[place])
                 hits = known_pairs(offsets, words, shared.value, between, columns[-1])
                 if last:
                     columns[place] = pc.if_else(columns[place].is_valid(), joined(offsets, words, hits, between, sep), pa.scalar(None, pa.string()))
@@ -89,14 +95,6 @@ def _passes(phrases: DataFrame) -> Iterator[pa.Array]:
         yield pa.array(own, pa.string())
 
 
-def _words(texts: pa.Array) -> tuple[np.ndarray, pa.Array]:
-    """(offsets of each text's words, all words); a null text has none."""
-    lists = pc.ascii_split_whitespace(pc.fill_null(texts.cast(pa.string()), ""))
-    words, offsets = lists.flatten(), lists.offsets.to_numpy().astype(np.int64)
-    keep = np.r_[False, pc.greater(pc.binary_length(words), 0).to_numpy(zero_copy_only=False)]
-    return np.cumsum(keep)[offsets - offsets[0]], words.filter(pa.array(keep[1:]))
-
-
 def known_pairs(offsets: np.ndarray, words: pa.Array, known: pa.Array, between: pa.Array, before: pa.Array | None = None) -> np.ndarray:
     """Where phrases begin, overlapping ones too: places among all words. ``before`` has those of earlier passes, by text."""
     out = np.zeros(0, np.int64)

@@ -658,6 +658,66 @@ def test_word_vectors_are_made_by_tasks(spark, monkeypatch):
     assert alike > 0.05 + np.mean([cos(a, b) for a in kinds[0] for b in kinds[1]])
 
 
+def _plan(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_vague_hits_search_tokens_where_they_are(spark, monkeypatch):
+    rows = [(1, "other others the of x"), (2, "ere there there"), (2, "there"), (3, ""), (4, None)]
+    df, dic = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([("a", "er"), ("a", "the"), ("b", "er"), ("b", "zz")], "dimension string, word string")
+    few = scoring.counted_hits(df, dic, vague=True)
+    assert "Join" not in _plan(few)
+    monkeypatch.setattr(scoring, "PARTS", 1)
+    every = [sorted((r.doc_id, r.word, r.n, tuple(sorted(r.dimensions))) for r in x.collect()) for x in (few, scoring.counted_hits(df, dic, vague=True))]
+    assert every[0] == every[1] == [(1, "other", 1, ("a", "b")), (1, "others", 1, ("a", "b")), (1, "the", 1, ("a",)), (2, "ere", 1, ("a", "b")), (2, "there", 3, ("a", "b"))]
+
+
+def test_tfidf_vectors_of_repeated_ids_and_of_one_row_each(spark):
+    rows = [(1, "a b b c"), (2, "a c"), (3, ""), (4, None), (5, "d")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    out = tokens.tfidf_vectors(df)
+    assert "MapInArrow" in _plan(out) and "Join LeftOuter" not in _plan(out) and _plan(out).count("Aggregate") <= 2
+    same = tokens.tfidf_vectors(df.union(spark.createDataFrame([(1, None)], df.schema)))
+    assert "MapInArrow" not in _plan(same)
+    got = [sorted((r.doc_id, r.word, round(r.weight, 9)) for r in x.collect()) for x in (out, same)]
+    assert got[0] == got[1] and [g[:2] for g in got[0]] == [(1, "a"), (1, "b"), (1, "c"), (2, "a"), (2, "c"), (5, "d")]
+
+
+def test_similarity_matrix_joins_no_pairs(spark):
+    x = spark.createDataFrame([(1, "a b"), (1, "a b"), (2, "z"), (None, "a")], "doc_id long, text string")
+    y = spark.createDataFrame([(7, "a"), (8, "b q"), (None, "q")], "doc_id long, text string")
+    out = tokens.similarity_matrix(x, y)
+    assert "Join LeftOuter, ((x" not in _plan(out)
+    assert out.count() == 12 and {(r.x, r.y) for r in out.where("score > 0").collect()} == {(1, 7), (1, 8)}
+
+
+@pytest.mark.parametrize("n", [2, 3, 4])
+def test_languages_in_batches_are_those_of_plain_sums(spark, n):
+    rows = [(i, " ".join(R.choice(("the", "of", "and") if i % 2 else ("der", "die", "straße", "𝒳" if n < 4 else "x")) for _ in range(5)), "en" if i % 2 else "de") for i in range(40)]
+    df = spark.createDataFrame([*rows, (50, "", None), (51, None, None), (52, "??", None), (0, "the the the", None)], "doc_id long, text string, lang string")
+    model = language.fit(df, n=n)
+    grams = lambda t: [f" {t} "[i : i + n] for i in range(len(t) + 3 - n)]
+    count = {x: Counter(g for _, t, lang in rows if lang == x for g in grams(t)) for x in ("en", "de")}
+    size = len(set(count["en"]) | set(count["de"]))
+    p = {(r.lang, r.gram): r.log_p for r in model.collect()}
+    assert all(abs(p[x, g] - math.log((c + 0.5) / (sum(count[x].values()) + 0.5 * size))) < 1e-9 for x in count for g, c in count[x].items())
+    got = {r.doc_id: r.languages for r in language.detect(df, model, "max", n).collect()}
+    assert len(got) == 43 and got[51] is got[52] is None and all(got[i] == lang for i, _, lang in rows if i)
+    assert n > 3 or "Generate" not in _plan(language.detect(df, model, "max", n))
+
+
+@pytest.mark.parametrize("n", [1, 2, 3])
+def test_ngrams_are_counted_in_batches(spark, n, monkeypatch):
+    rows = [(i, [R.choice(["the", "a", "bb", "cc", "İt", "é"]) for _ in range(i % 5)]) for i in range(60)] + [(60, None), (61, ["bb"] * 6)]
+    df = spark.createDataFrame(rows, "id long, tokens array<string>").repartition(3)
+    out = ngrams.ngram_dictionary(df, n=n, scorer="count", stop_words=("A",))
+    assert "Generate" not in _plan(out)
+    own = lambda t: [tuple(t[i : i + n]) for i in range(len(t) - n + 1) if "a" not in t[i : i + n]]
+    assert {tuple(r.ngram): r.score for r in out.collect()} == Counter(g for _, t in rows for g in own(t or []))
+    across = ngrams.ngram_dictionary(df, n=n, scorer="count", by="all", order_cols=["id"], stop_words=("a",), longer_than=1)
+    assert {tuple(r.ngram): r.score for r in across.collect()} == Counter(own([w for _, t in rows for w in t or [] if len(w) > 1]))
+
+
 def test_letters_joined_by_all_words(spark, tmp_path):
     """Words beyond the 10,000 commonest are joined too, by the ranks that a plain sort gives."""
     letters = "abcdefghijklmnopqrstuvwxyz"
