@@ -203,6 +203,60 @@ def test_links_are_the_counts_of_pairs(spark, scorer, monkeypatch):
     assert "levenshtein" not in plan and "FlatMapCoGroupsInPandas" in plan
 
 
+def _words(alphabet, n, most, head=""):
+    return [head + "".join(R.choice(alphabet) for _ in range(R.randrange(most + 1))) for _ in range(n)]
+
+
+@pytest.mark.parametrize("alphabet", ["ab", "0123456789", "aé\0b😀"])
+def test_tries_find_all_that_is_near(alphabet, monkeypatch):
+    choices = sorted({*_words(alphabet, 60, 12, "x#"), *_words(alphabet, 20, 40), ""})
+    queries = [*_words(alphabet, 12, 12, "y#"), *_words(alphabet, 8, 40), "", "a" * 65]
+    scores = [sorted((-slow_ratio(q, c), i) for i, c in enumerate(choices)) for q in queries]
+    for nodes, limit in ((1 << 14, 10**9), (16, 10**9), (16, 100)):
+        monkeypatch.setattr(similarity.Tries, "NODES", nodes)
+        tries = similarity.Tries(choices)
+        tries.limit = limit
+        for least, k in ((40.0, None), (72.0, None), (0.0, 1), (0.0, 4), (60.0, 2), (0.0, 1000)):
+            own, at, value, given_up = tries.nearest(queries, least, k)
+            assert len(queries) - 1 in given_up and (limit < 10**9 or len(given_up) == 1)
+            for i in set(range(len(queries))) - set(given_up.tolist()):
+                want = [(s, c) for s, c in scores[i] if least == 0 or -s >= least - 1e-9][:k]
+                got = [(-v, c) for v, c in zip(value[own == i].tolist(), at[own == i].tolist())]
+                assert [c for _, c in sorted(got)] == [c for _, c in want] and all(abs(x - y) < 1e-9 for (x, _), (y, _) in zip(sorted(got), want))
+
+
+def test_search_looks_at_few_pairs():
+    names = lambda head, n: [f"{head}#{i:09d}" for i in range(n)]
+    spent = []
+    for n in (1_000, 8_000):
+        tries = similarity.Tries(names("Supplier", n))
+        # a hundred names have the limit of one comparison with all, and none is given up
+        tries.limit = 1_000
+        assert not len(tries.nearest(names("Customer", 100), 72.0, None)[3])
+        seen = []
+        descend = tries._descend
+        tries._descend = lambda *a: (descend(*a), seen.append(a[-1].sum()))[0]
+        assert tries.nearest(names("Customer", 100), 72.0, None)[0].tolist() == list(range(100))
+        spent.append(int(seen[-1]))
+    assert spent[1] < 2 * spent[0]
+
+
+@pytest.mark.parametrize("groups", [[], ["g"]])
+def test_searched_blocks(spark, groups, monkeypatch):
+    monkeypatch.setattr(matching, "SEARCH_QUERIES", 9)
+    monkeypatch.setattr(matching, "SEARCH_CHOICES", 11)
+    q = [(R.choice([1, 2]), w) for w in [*_words("abc", 30, 8), *_words("abc", 6, 90), "", "a" * 70]]
+    c = [(R.choice([1, 2, 3]), w) for w in [*_words("abc", 30, 8), *_words("abc", 6, 90), "", "a" * 66]]
+    qd, cd = spark.createDataFrame(q, "g int, a string"), spark.createDataFrame(c, "g int, b string")
+    pairs = {(*x[: len(groups)], x[1], y[1]): slow_ratio(x[1], y[1]) for x in q for y in c if not groups or x[0] == y[0]}
+    got = {tuple(r)[:-1]: r.match_score for r in matching.within(qd, cd, "a", "b", 60.0, "greater_equal", groups).collect()}
+    assert got.keys() == {k for k, v in pairs.items() if v >= 60} and all(abs(got[k] - pairs[k]) < 1e-9 for k in got)
+    best = {}
+    for k, _ in sorted(pairs.items(), key=lambda p: (-p[1], p[0][-1])):
+        best.setdefault(k[:-1], []).append(k)
+    assert Counter(tuple(r)[:-1] for r in matching.largest(qd, cd, "a", "b", 4, groups).collect()) == Counter(k for v in best.values() for k in v[:4])
+
+
 def test_own_scorer_and_first_group(spark):
     q = spark.createDataFrame([(1, "ab"), (2, "abc"), (2, "x")], "g int, a string")
     c = spark.createDataFrame([(1, "ab"), (2, "abd"), (2, "b")], "g int, b string")
