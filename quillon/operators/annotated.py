@@ -1,4 +1,4 @@
-"""Annotated lines: parsing, rendering and rule-based cleaning, in built-in expressions.
+"""Annotated lines: parsing, rendering and rule-based cleaning, in built-in expressions; whole frames are cleaned in batches.
 
 A line holds tokens between spaces; a token holds parts between ``[SEP]``; a part is
 ``[NER:x]text[POS:y]`` with either label optional; one token ``[SENTIMENT:z]`` can lead.
@@ -8,11 +8,14 @@ Parsed, a line is ``ARRAY<ARRAY<STRUCT<ner, pos, original_text>>>``.
 from __future__ import annotations
 
 import re
-from collections.abc import Collection, Mapping
+import unicodedata
+from collections.abc import Callable, Collection, Mapping
 from dataclasses import dataclass, field
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.functions import pandas_udf
 
 from quillon.functions import text as T
 from quillon.functions.lexicons import PUNCTUATION_TAGS, STOPWORDS
@@ -79,6 +82,9 @@ def sentiment(line: Column | str, rules: Rules = Rules()) -> Column:
     hits = F.filter(_raw_tokens(line, rules), lambda t: t.startswith("[") & F.lower(t).startswith(mark) & t.rlike(pattern))
     found = F.coalesce(F.regexp_extract(F.try_element_at(hits, F.lit(1)), pattern, 1), F.lit(""))
     own = F.col(line) if isinstance(line, str) else line
+    if sep := _cased(rules.token_sep, rules):  # mostly it is the first token, and the others needn't be looked at
+        first = F.substring_index(F.lower(F.trim(own)) if rules.lower_case else F.trim(own), sep, 1)
+        found = F.when(first.startswith("[") & F.lower(first).startswith(mark) & first.rlike(pattern), F.regexp_extract(first, pattern, 1)).otherwise(found)
     # most lines have no such mark, and one search of the line tells
     return F.when(F.contains(F.lower(own), F.lit(mark)), found).otherwise(F.lit(""))
 
@@ -185,6 +191,147 @@ def clean_line(line: Column | str, rules: Rules) -> Column:
     return render(clean_tokens(parse(line, rules), rules), rules)
 
 
+#: Where Java ends a text: there, or before a last line break.
+_END = "(?=\\Z|\r\n\\Z|(?<!\r)\n\\Z|[\r\x85\u2028\u2029]\\Z)"
+_BREAK = re.compile("(?:\r\n|[\n\r\x85\u2028\u2029])\\Z")
+#: Signs that are letters or numbers, or not, in every version of Unicode that an engine may have: lines with others are cleaned by expressions.
+_SETTLED = re.compile("[\0-\u0377\u0400-\u0523\u2000-\u206f\u20a0-\u20b5\u2190-\u23e7\u3000-\u303f\u3041-\u3096\u30a0-\u30ff\u4e00-\u9fa5\uac00-\ud7a3\uff01-\uff5e\ufffd\U0001f300-\U0001f9ff]*+\\Z")
+#: Tags and rows of tags of which a cleaner remembers what they lead to.
+KEPT = 1 << 14
+
+
+def _is(text: str, kinds: str) -> bool:
+    return all(unicodedata.category(c)[0] in kinds for c in text)
+
+
+_COMPOSED: dict[str, Callable[[str], bool]] = {
+    "contains_alphabet_only": lambda x: x.isalpha() or x[-1:].isspace() and _BREAK.sub("", x).isalpha(),
+    "contains_alphabet_or_number_only": lambda x: (x := _BREAK.sub("", x)) != "" and _is(x, "LN"),
+    "contains_number_only": lambda x: (x := _BREAK.sub("", x)) != "" and _is(x, "N"),
+    "contains_alphabet": lambda x: any(c.isalpha() for c in x),
+    "contains_number": lambda x: any(_is(c, "N") for c in x),
+    "contains_alphabet_or_number": lambda x: any(_is(c, "LN") for c in x),
+}
+
+
+def line_cleaner(rules: Rules, longer_than: int | None = None) -> Callable[[str], str]:
+    """``clean_line`` in Python, for a line in lower case where the rules say so: what its tags lead to is worked out once for all tokens that have the same.
+
+    Of the result's pieces between ``joined_tokens``, those of at most ``longer_than`` characters are dropped.
+    """
+    flags = re.I | re.S | re.A  # of letters without case signs Java takes those of ASCII alone
+    tone = re.compile(rf"\A\[{re.escape(rules.sentiment_label)}:(.+?)\]" + _END, flags)
+    ner = re.compile(rf"\A\[{re.escape(rules.ner_label)}:(.+?)\]", flags)
+    pos = re.compile(rf"\A.*(\[{re.escape(rules.pos_label)}:.+?\]{_END})", flags)
+    mark = re.compile(re.escape(f"[{rules.sentiment_label}:"), flags)
+    token_sep, part_sep = _cased(rules.token_sep, rules), _cased(rules.part_sep, rules)
+    ner_tag, pos_tag, skip = _cased("[NER:", rules), _cased("[POS:", rules), len(rules.pos_label) + 2
+    composed = _COMPOSED[rules.composition] if rules.composition else None
+    gone, least = {w.upper() for w in (*rules.punctuation, *rules.stopwords)}, -1 if rules.longer_than is None else rules.longer_than
+    heads: dict[str, str] = {}
+    tails: dict[str, str] = {}
+    plans: dict[tuple, list[tuple[str, str, bool]]] = {}
+
+    def hits(which: str | Collection[str]) -> Callable[[str], bool]:
+        own = which if which == ALL else {w.upper() for w in which}
+        return lambda x: x != "" if which == ALL else x.upper() in own
+
+    by_ner = [(hits(which), *_TAKES[option]) for option, which in rules.ner.items()]
+    by_pos = [(hits(which), *_TAKES[option]) for option, which in rules.pos.items()]
+
+    def known(table: dict, key, value):
+        if len(table) >= KEPT:
+            table.clear()
+        table[key] = value
+        return value
+
+    def part(p: str) -> tuple[str, str, str]:
+        """(ner, pos, text) of a part with a bracket."""
+        label = tag = ""
+        if p[0] == "[" and (end := p.find("]") + 1):
+            # up to the first bracket that closes, unless nothing is before it
+            head = p[:end]
+            if (label := heads.get(head)) is None:
+                label = known(heads, head, m[1] if (m := ner.match(head)) else "")
+            if label:
+                p = p[end:]
+            elif m := ner.match(p):
+                label, p = m[1], p[m.end() :]
+        if p[-1:] == "]":
+            begin = p.rfind("[")
+            if begin < 0:
+                return label, "", p
+            tail = p[begin:]
+            if (tag := tails.get(tail)) is None:
+                tag = known(tails, tail, tail[skip:-1] if pos.match(tail) else "")
+            if tag:
+                return label, tag, p[:begin]
+        elif "[" not in p or not _BREAK.search(p):
+            return label, "", p
+        if m := pos.match(p):
+            broken = _BREAK.sub("", p)
+            return label, m[1][skip:-1], broken[: max(len(broken) - len(m[1]), 0)]
+        return label, "", p
+
+    def plan(key: tuple) -> list[tuple[str, str, bool]]:
+        """(label before, label behind, whether the text stays) of each of a token's parts by their (ner, pos)."""
+        out, seen, over = [], 0, [False] * len(by_ner)
+        for label, tag in key:
+            keep_ner, keep_pos, keep_text = rules.most_ner_tags is None or seen < rules.most_ner_tags, True, True
+            seen += label != ""
+            for i, (hit, of_tag, of_text) in enumerate(by_ner):
+                over[i] = over[i] or hit(label)  # for its own part and all after it
+                if over[i]:
+                    keep_ner, keep_text = keep_ner and not of_tag, keep_text and not of_text
+            for hit, of_tag, of_text in by_pos:
+                if hit(tag):
+                    keep_pos, keep_text = keep_pos and not of_tag, keep_text and not of_text
+            label, tag = (label.lower(), tag.lower()) if rules.lower_case else (label, tag)
+            out.append((f"{ner_tag}{label}]" if keep_ner and label else "", f"{pos_tag}{tag}]" if keep_pos and tag else "", keep_text))
+        return known(plans, key, out)
+
+    def token(t: str) -> str:
+        if part_sep in t:
+            parts = [part(p) if "[" in p else ("", "", p) for p in t.split(part_sep)]
+            full = "".join([p[2] for p in parts])
+            if len(full) <= least or composed and not composed(full):
+                return ""
+            key = tuple([p[:2] for p in parts])
+            own = [before + p[2] + behind if keep else before + behind for (before, behind, keep), p in zip(plans.get(key) or plan(key), parts)]
+            return rules.joined_parts.join([x for x in own if x])
+        label, tag, text = part(t) if "[" in t else ("", "", t)
+        if len(text) <= least or composed and not composed(text) or gone and text.upper() in gone:
+            return ""
+        key = ((label, tag),)
+        before, behind, keep = (plans.get(key) or plan(key))[0]
+        return before + text + behind if keep else before + behind
+
+    def line(text: str) -> str:
+        toks = text.strip(" ").split(token_sep)
+        if mark.search(text):
+            first = next((i for i, t in enumerate(toks) if t.startswith("[") and tone.match(t)), None)
+            if first is not None:
+                del toks[first]
+        out = rules.joined_tokens.join([x for t in toks if (x := token(t))])
+        return out if longer_than is None else rules.joined_tokens.join([w for w in out.split(rules.joined_tokens) if len(w) > longer_than])
+
+    return line
+
+
+def _clean_in_batches(line: Column, rules: Rules, longer_than: int | None = None) -> Column:
+    """``clean_line`` and ``drop_short``: by batches of lines, and by expressions where signs are such that Python and the JVM may differ."""
+    exact = T.drop_short(clean_line(line, rules), rules.joined_tokens, longer_than)
+    if "" in (rules.token_sep, rules.part_sep, rules.joined_tokens):
+        return exact
+
+    @pandas_udf("string")
+    def cleaned(lines: pd.Series) -> pd.Series:
+        own = line_cleaner(rules, longer_than)
+        return pd.Series([own(x) if x is not None and (x.isascii() or _SETTLED.match(x)) else None for x in lines], dtype=object)
+
+    return F.coalesce(cleaned(F.lower(line) if rules.lower_case else line), exact)
+
+
 #: Entities become their tags alone, tags of parts of speech go, punctuation goes; parts are joined by ``_``.
 CORPUS_RULES = Rules(ner={"removes_original_text": ALL}, pos={"removes_tags": ALL, "removes_tags_and_original_text": tuple(sorted(PUNCTUATION_TAGS))}, joined_parts="_")
 #: Words of letters only, without stop words and single letters; tags go, texts stay.
@@ -200,7 +347,7 @@ def clean(df: DataFrame, rules: Rules = CORPUS_RULES, line_col: str = "text", wi
 def preprocess(df: DataFrame, rules: Rules = NGRAM_RULES, line_col: str = "text", collapse: bool = True, piece_longer_than: int | None = 1) -> DataFrame:
     """Lines for n-gram scores: white space collapsed to the token separator, cleaned, short pieces dropped."""
     own = F.regexp_replace(F.col(line_col), r"(?U)\s+", rules.token_sep.replace("\\", "\\\\").replace("$", "\\$")) if collapse else F.col(line_col)
-    return df.withColumn(line_col, T.drop_short(clean_line(own, rules), rules.joined_tokens, piece_longer_than))
+    return df.withColumn(line_col, _clean_in_batches(own, rules, piece_longer_than))
 
 
 def edge_sources(edges: Column | str) -> Column:
