@@ -341,7 +341,7 @@ NGRAM_RULES = Rules(lower_case=True, composition="contains_alphabet_only", stopw
 def clean(df: DataFrame, rules: Rules = CORPUS_RULES, line_col: str = "text", with_sentiment: bool = False) -> DataFrame:
     """The frame with its annotated lines cleaned in place; ``sentiment`` in one more column."""
     out = df.withColumn("sentiment", sentiment(line_col, rules)) if with_sentiment else df
-    return out.withColumn(line_col, clean_line(line_col, rules))
+    return out.withColumn(line_col, _clean_in_batches(F.col(line_col), rules))
 
 
 def preprocess(df: DataFrame, rules: Rules = NGRAM_RULES, line_col: str = "text", collapse: bool = True, piece_longer_than: int | None = 1) -> DataFrame:
